@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate_perspectives
+
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import shared_passages
+
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -45,6 +57,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, weights).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -65,6 +83,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+#: What the edits of op10 put in.
+INSERTS = ("", " an added phrase", "2024", "\n\nNew line. ", "'ll")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four edits of every document, at places that its id and length give: deletions, insertions and replacements."""
+    import public_tokenizers
+
+    from .token_counts import count_with_edits
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda i: F.pmod(F.xxhash64("doc_id", i, F.length("text")), F.coalesce(F.length("text"), F.lit(0)) + 1).cast("int")
+    size = lambda i: F.pmod(F.xxhash64(i, "doc_id"), F.lit(40)).cast("int")
+    insert = lambda i: F.element_at(F.array(*map(F.lit, INSERTS)), (F.pmod(F.xxhash64("doc_id", i), F.lit(len(INSERTS))) + 1).cast("int"))
+    edits = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.struct(place(i).alias("at"), size(i).alias("delete"), insert(i).alias("insert")))
+    return count_with_edits(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op3_exact_dedup": EXACT_DEDUP_SQL, "op7_topk": TOPK_SQL}
 
 
 EXACT_DEDUP_SQL = """
@@ -86,3 +122,34 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM d
 """
+
+CHAT_SQL = """
+WITH rows AS (
+  SELECT conv_id AS conv, turn, replace(translate(CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE replace(role, '<|', '< |') END, chr(13) || chr(10), '  '), '', '') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations),
+speakers AS (SELECT DISTINCT conv, role AS speaker FROM rows WHERE role <> 'system'),
+views AS (
+  SELECT r.*, speaker, role = speaker AS own,
+         CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || role || chr(10) END AS head
+  FROM rows r JOIN speakers s ON r.conv IS NOT DISTINCT FROM s.conv),
+parts AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM views),
+placed AS (
+  SELECT *, length(rendered) AS size, row_number() OVER w AS no, sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM parts WINDOW w AS (PARTITION BY conv, speaker ORDER BY turn NULLS LAST, role, text))
+SELECT conv AS conv_id, speaker, CAST(no - 1 AS BIGINT) AS position, turn, role, rendered, CAST(upto - size AS BIGINT) AS seg_start, CAST(upto AS BIGINT) AS seg_end,
+       own AS trained, CAST(CASE WHEN own THEN upto - size + length(head) END AS BIGINT) AS mask_start, CAST(CASE WHEN own THEN upto - 1 END AS BIGINT) AS mask_end
+FROM placed
+"""
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, q.v AS qv, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""

@@ -20,7 +20,7 @@ def target_sizes(sizes: list[int], weights: list[float], most: float) -> list[fl
         share = left / sum(weights[i] for i in open_)
         full = [i for i in open_ if share * weights[i] >= most * sizes[i]]
         for i in full or open_:
-            targets[i] = most * sizes[i] if full else share * weights[i]
+            targets[i] = float(most * sizes[i]) if full else share * weights[i]
         if not full:
             break
         left -= sum(targets[i] for i in full)
