@@ -1,0 +1,123 @@
+"""Seeded synthetic networks: Poisson events on edges, with planted changes of groups and rates.
+
+All chance comes from hashes of the seed, the edge, the region and the event's number, so a network
+is the same however its rows are dealt over tasks."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .storage import staged
+
+
+def uniform(seed: int, *of: Column | str) -> Column:
+    """A number in [0, 1) that the seed and the columns give."""
+    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)) / float(1 << 52)
+
+
+@dataclass
+class Scenario:
+    """sizes: group sizes by membership version, or one list and changes [(time, nodes, new group or None)];
+    rates: [(from time, matrix)]; rho and sizes_prime: edge probabilities between connection groups (none: all edges)."""
+
+    nodes: int
+    end: float
+    rates: list[tuple[float, list[list[float]]]]
+    sizes: list[tuple[float, list[int]]]
+    changes: list[tuple[float, list[int], int | None]] = ()
+    rho: list[list[float]] | None = None
+    sizes_prime: list[int] | None = None
+    seed: int = 1
+
+    def __post_init__(self) -> None:
+        groups = len(self.rates[0][1])
+        if any(len(m) != groups or any(len(r) != groups or min(r) < 0 for r in m) for _, m in self.rates):
+            raise ValueError("rates are square matrices of one size, not below 0")
+        if any(sum(s) != self.nodes or len(s) > groups for _, s in self.sizes):
+            raise ValueError("group sizes add up to the number of nodes, in no more groups than rates have")
+        if self.rho is not None and (self.sizes_prime is None or sum(self.sizes_prime) != self.nodes or len(self.sizes_prime) != len(self.rho)):
+            raise ValueError("rho needs sizes_prime, which add up to the number of nodes")
+        times = [t for t, *_ in (*self.rates[1:], *self.sizes[1:], *self.changes)]
+        if self.rates[0][0] != 0 or self.sizes[0][0] != 0 or any(not 0 < t < self.end for t in times):
+            raise ValueError("first rates and sizes begin at 0, changes lie inside the record")
+
+    @property
+    def edges_of_regions(self) -> list[float]:
+        times = {t for t, *_ in (*self.rates, *self.sizes, *self.changes)}
+        return [*sorted(times), self.end]
+
+
+def memberships(spark: SparkSession, s: Scenario) -> DataFrame:
+    """memberships(region, node, grp): a label for each node and stretch between changes.
+
+    A change without a new group moves a node to one of the other groups by its hash."""
+    groups, times = len(s.rates[0][1]), s.edges_of_regions
+    nodes, parts, label = spark.range(s.nodes).select(F.col("id").cast("int").alias("node")), [], None
+    for region, t in enumerate(times[:-1]):
+        for at, sizes in s.sizes:
+            if at == t:
+                bounds = np.cumsum(sizes).tolist()
+                label = F.lit(0) + sum(((F.col("node") >= b).cast("int") for b in bounds[1:-1]), (F.col("node") >= bounds[0]).cast("int")) if len(bounds) > 1 else F.lit(0)
+        for i, (at, moved, to) in enumerate(s.changes):
+            if at == t:
+                other = F.pmod(label + 1 + F.floor(uniform(s.seed + 100 + i, "node") * (groups - 1)).cast("int"), F.lit(groups))
+                label = F.when(F.col("node").isin(list(moved)), F.lit(to) if to is not None else other).otherwise(label)
+        parts.append(nodes.select(F.lit(region).alias("region"), "node", label.cast("int").alias("grp")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def regions(spark: SparkSession, s: Scenario) -> DataFrame:
+    """regions(region, t0, t1, k, m, rate)."""
+    times, rows = s.edges_of_regions, []
+    for region, (t0, t1) in enumerate(zip(times[:-1], times[1:], strict=True)):
+        matrix = [m for at, m in s.rates if at <= t0][-1]
+        rows += [(region, float(t0), float(t1), k, m, float(x)) for k, r in enumerate(matrix) for m, x in enumerate(r)]
+    return spark.createDataFrame(rows, "region int, t0 double, t1 double, k int, m int, rate double")
+
+
+def sample_edges(spark: SparkSession, s: Scenario) -> DataFrame:
+    """edges(src, dst), loops too: every ordered pair, or one by one with the probability of its connection groups."""
+    pairs = spark.range(s.nodes * s.nodes).select(F.floor(F.col("id") / s.nodes).cast("int").alias("src"), (F.col("id") % s.nodes).cast("int").alias("dst"))
+    if s.rho is None:
+        return pairs
+    bounds, k = np.cumsum(s.sizes_prime).tolist()[:-1], len(s.rho)
+    group = lambda c: sum(((F.col(c) >= b).cast("int") for b in bounds), F.lit(0))
+    p = F.element_at(F.array(*(F.lit(float(x)) for r in s.rho for x in r)), (group("src") * k + group("dst") + 1).cast("int"))
+    return pairs.where(uniform(s.seed, "src", "dst") < p)
+
+
+@F.pandas_udf("int")
+def poisson(u: pd.Series, mean: pd.Series) -> pd.Series:
+    """Poisson quantiles of u, by adding up probabilities, all rows at once."""
+    u, mean = u.to_numpy(), mean.to_numpy(float)
+    n, p = np.zeros(len(u), np.int32), np.exp(-mean)
+    total, top = p.copy(), mean + 12 * np.sqrt(mean) + 30
+    open_ = u >= total
+    while open_.any():
+        n[open_] += 1
+        p[open_] *= mean[open_] / n[open_]
+        total[open_] += p[open_]
+        open_ &= (u >= total) & (n < top)
+    return pd.Series(n)
+
+
+def sample_network(spark: SparkSession, s: Scenario) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, edge_events(src, dst, t), memberships): edges meet regions by label, each part gets a Poisson number of events at uniform times."""
+    edges, labels = sample_edges(spark, s), staged(memberships(spark, s))
+    rows = edges
+    for end, name in (("src", "k"), ("dst", "m")):
+        own = labels.select("region", F.col("node").alias(end), F.col("grp").alias(name))
+        rows = rows.join(own, [end] if end == "src" else ["region", end])
+    rows = rows.join(F.broadcast(regions(spark, s)), ["region", "k", "m"])  # regions x K x K rows
+    rows = rows.withColumn("n", poisson(uniform(s.seed + 1, "src", "dst", "region"), F.col("rate") * (F.col("t1") - F.col("t0"))))
+    rows = rows.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    t = F.col("t0") + (F.col("t1") - F.col("t0")) * uniform(s.seed + 2, "src", "dst", "region", "i")
+    return edges, rows.select("src", "dst", t.alias("t")), labels
