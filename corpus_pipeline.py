@@ -26,8 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select(docs.columns)
+    """Keeps one document of each group of equal texts. Of rows that repeat an id and its text one stays too."""
+    kept = staged(exact_dedup(docs).where("kept").select(docs.columns))
+    again = staged(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    twice = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(twice)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it (none to three times)."""
     copies = staged(mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies")))
     # Most documents are taken once: only the others' numbers are joined.
-    other = copies.where("__copies <> 1").distinct()
+    other = copies.where("__copies <> 1").groupBy("__id").agg(F.max("__copies").alias("__copies"))
     rows = docs.join(if_small(other, 200_000), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1)))))
     return rows.select(docs.columns)
