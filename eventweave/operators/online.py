@@ -152,11 +152,14 @@ def _log_weight(state: State) -> np.ndarray:
 
 def _sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
     k, p = state.options.k, state.params
-    log_rate, rate, weight = (psi(p["alpha"]) - np.log(p["beta"])).tolist(), (p["alpha"] / p["beta"]).tolist(), _log_weight(state).tolist()
+    # Parameters come as a row, not as literals, so that every interval runs the same generated code.
+    numbers = {"w": _log_weight(state), "l": (psi(p["alpha"]) - np.log(p["beta"])).ravel(), "r": (p["alpha"] / p["beta"]).ravel()}
+    row = F.broadcast(tau.sparkSession.createDataFrame([tuple(float(x) for v in numbers.values() for x in v)], ", ".join(f"{n}{i} double" for n, v in numbers.items() for i in range(len(v)))))
+    square = lambda n: [[F.col(f"{n}{i * k + j}") for j in range(k)] for i in range(k)]
     for _ in range(state.options.n_sweeps):
         rows = _joined(state, tau, counts, k)
         shares = tau.columns
-        scores = membership_scores(rows.select(*shares), rows.drop(*shares[1:]), weight, log_rate, rate, state.options.delta, self_weight=state.options.mode == "graph")
+        scores = membership_scores(rows.select(*shares).crossJoin(row), rows.drop(*shares[1:]), [F.col(f"w{i}") for i in range(k)], square("l"), square("r"), state.options.delta, self_weight=state.options.mode == "graph")
         tau = softmax(scores, k, ["node"])
     return staged(tau)
 

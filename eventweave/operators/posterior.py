@@ -117,12 +117,12 @@ def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w")
     return both.groupBy("node").agg(*sums)
 
 
-def membership_scores(tau: DataFrame, sums: DataFrame, log_weight: list[float], log_rate: list[list[float]], rate: list[list[float]], delta: float, self_weight: bool = True, rest: Column | None = None) -> DataFrame:
+def membership_scores(tau: DataFrame, sums: DataFrame, log_weight: list, log_rate: list[list], rate: list[list], delta: float, self_weight: bool = True) -> DataFrame:
     """tau with score columns q0 .. q{K-1}: one Jacobi step of the membership update.
 
     score_k = log_weight_k + own (n L_kk - delta E_kk) + sum over m and other nodes j of
     tau_jm [n_ij L_km - delta E_km + n_ji L_mk - delta E_mk], where a node's own loop counts for
-    m other than k. self_weight: the own term is weighed by the self-loop's probability; else it
+    m other than k. Parameters are numbers, or columns of tau. self_weight: the own term is weighed by the self-loop's probability; else it
     counts as if it were there."""
     k = len(log_weight)
     joined = tau.join(sums, "node", "left").na.fill(0.0)
@@ -131,7 +131,7 @@ def membership_scores(tau: DataFrame, sums: DataFrame, log_weight: list[float],
         own = F.col("own_n") * log_rate[a][a] - (F.col("own_w") if self_weight else F.lit(1.0)) * delta * rate[a][a]
         loop = F.col(f"p{a}") * 2 * (F.col("own_n") * log_rate[a][a] - F.col("own_w") * delta * rate[a][a])
         parts = [log_rate[a][m] * F.col(f"so{m}") + log_rate[m][a] * F.col(f"si{m}") - delta * (rate[a][m] * F.col(f"to{m}") + rate[m][a] * F.col(f"ti{m}")) for m in range(k)]
-        scores.append((F.lit(float(log_weight[a])) + own + reduce(lambda x, y: x + y, parts) - loop).alias(f"q{a}"))
+        scores.append((F.lit(log_weight[a]) + own + reduce(lambda x, y: x + y, parts) - loop).alias(f"q{a}"))
     return joined.select(*tau.columns, *scores)
 
 
