@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .storage import staged
 
@@ -94,7 +95,7 @@ def sample_edges(spark: SparkSession, s: Scenario) -> DataFrame:
     return pairs.where(uniform(s.seed, "src", "dst") < p)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def poisson(u: pd.Series, mean: pd.Series) -> pd.Series:
     """Poisson quantiles of u, by adding up probabilities, all rows at once."""
     u, mean = u.to_numpy(), mean.to_numpy(float)
