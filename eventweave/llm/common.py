@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); component: the least node of it.
 
     Alternates large-star and small-star steps until the edges no longer change; each round
-    is a few joins and map-side combined minima, and its edges are staged. Edges with a null
+    is a few joins and map-side combined minima. Both sides of a join are staged tables, so that
+    AQE can split a hub's rows. Edges with a null
     end and loops don't connect anything; without edges the result is empty."""
     order = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = staged(order(edges.select("a", "b")))
@@ -56,9 +57,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last, seen = None, print_of(now)
     while seen != last and seen[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         now = order(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        now = staged(now)
+        least = staged(now.groupBy("a").agg(F.min("b").alias("m")))
         now = staged(order(now.join(least, "a").select("b", "m").toDF("a", "b").union(least.toDF("a", "b"))))
         last, seen = seen, print_of(now)
     heads = now.select(F.col("b").alias("node")).distinct()

@@ -344,3 +344,16 @@ def test_pipeline(spark, documents):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("piece = 0").count() == docs.count()
     assert corpus_pipeline.run(spark, SF).where("piece = 0").count() == docs.count()
+
+
+def test_pipeline_stages_on_repeated_and_null_rows(spark):
+    rows = [(1, "same text here", "en", "a", 14), (1, "same text here", "en", "a", 14), (1, "another text of the id", "en", "a", 22), (None, None, None, None, None), (None, None, None, None, None), (2, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.exact(spark, docs, SF)
+    assert Counter(r.doc_id for r in kept.collect()) == {1: 2, 2: 1}
+    near = corpus_pipeline.near(spark, kept, SF)
+    mixed = corpus_pipeline.mixing(spark, near, SF)
+    assert near.count() == 3 and {r.doc_id for r in mixed.collect()} <= {1, 2}
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, mixed, SF).collect()} == {r.doc_id for r in mixed.collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
