@@ -280,28 +280,30 @@ def simulate_network(spark: SparkSession, sf: str) -> DataFrame:
     return sm.sample_network(spark, SCENARIO)[1]
 
 
-def _online(spark: SparkSession, sf: str, options: on.Options, steps: int = 6) -> tuple[DataFrame, DataFrame, on.State]:
-    counts = ct.interval_counts(nw.trade_events(spark, sf), options.delta)
-    return on.run_online(counts, _groups(spark, sf).select("node"), options, steps)
+#: Days of an interval of the online queries; five cover the whole record.
+ONLINE_DELTA, ONLINE_STEPS = 500.0, 5
+
+
+def _online(spark: SparkSession, sf: str, **options) -> tuple[DataFrame, DataFrame, on.State]:
+    counts = ct.interval_counts(nw.trade_events(spark, sf), ONLINE_DELTA)
+    return on.run_online(counts, _groups(spark, sf).select("node"), on.Options(delta=ONLINE_DELTA, forget_rate=0.1, n_cavi=1, n_sweeps=2, **options), ONLINE_STEPS)
 
 
 def online_known_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return _online(spark, sf, on.Options(k=3, delta=365.0, forget_rate=0.1, n_sweeps=2))[0]
+    return _online(spark, sf, k=3)[0]
 
 
 def online_infer_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _online(spark, sf, on.Options(k=5, delta=365.0, mode="groups", forget_rate=0.1, n_sweeps=2))[1]
+    return _online(spark, sf, k=5, mode="groups")[1]
 
 
 def online_infer_graph(spark: SparkSession, sf: str) -> DataFrame:
-    counts = ct.interval_counts(nw.trade_events(spark, sf), 30.0)
-    options = on.Options(k=2, delta=30.0, mode="graph", k_prime=2, forget_rate=0.1, n_cavi=1, n_sweeps=2)
-    return on.edge_probabilities(on.run_online(counts, _groups(spark, sf).select("node"), options, 3)[2])
+    return on.edge_probabilities(_online(spark, sf, k=2, mode="graph", k_prime=2)[2])
 
 
 def group_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Flagged nodes of every step that has a whole window before it."""
-    js = staged(cp.js_lags(_history(spark, sf), GROUPS, 2))
+    js = staged(cp.js_lags(_history(spark, sf), GROUPS, 2))  # read once for every step
     out = None
     for step in range(10, STEPS):
         flags = cp.js_flags(js, step, 2, 10, 0.4).where("flagged").select(F.lit(step).alias("step"), "node")
