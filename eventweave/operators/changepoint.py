@@ -48,20 +48,39 @@ def js_lags(history: DataFrame, k: int, most: int) -> DataFrame:
     return rows.select("step", "x.lag", "node", js.alias("js"), (F.col("best") != F.col("x.obest")).alias("moved"))
 
 
-def js_flags(js: DataFrame, step: int, most: int, window: int, limit: float) -> DataFrame:
-    """flags(node, low, moved, flagged) at a step: a node is flagged when log |js| lies over limit
-    median absolute deviations from the median at every lag, and its best group differs from all
-    `most` before. Median and MAD are those of the window's steps before, over nodes and lags."""
-    js = js.where((F.col("step") > step - window + most) & (F.col("step") <= step)).withColumn("log_js", F.log(F.abs("js")))
-    pool = js.where(F.col("step") < step)
-    median = pool.agg(F.median("log_js").alias("median"))
-    mad = pool.crossJoin(F.broadcast(median)).agg(F.median(F.abs(F.col("log_js") - F.col("median"))).alias("mad"))
-    now = js.where(F.col("step") == step).crossJoin(F.broadcast(median)).crossJoin(F.broadcast(mad))
+def js_flags(js: DataFrame, most: int, window: int, limit: float) -> DataFrame:
+    """flags(step, node, low, moved, flagged), for all steps that have others before them in the window.
+
+    A node is flagged when log |js| lies over limit median absolute deviations from the median at
+    every lag, and its best group differs from all `most` before. Median and MAD are those of the
+    window's steps before, over nodes and lags: each divergence goes to the few steps whose window
+    holds it, so one aggregate does for all steps."""
+    js = js.withColumn("log_js", F.log(F.abs("js")))
+    reach = F.sequence(F.col("step") + 1, F.col("step") + (window - most - 1))
+    pool = js.select(F.explode(reach).alias("step"), "log_js")
+    medians = pool.groupBy("step").agg(F.median("log_js").alias("median"))
+    mads = pool.join(medians, "step").groupBy("step").agg(F.median(F.abs(F.col("log_js") - F.col("median"))).alias("mad"))
+    now = js.join(medians, "step").join(mads, "step")
     score = F.coalesce(mad_score(F.col("log_js"), F.col("median"), F.col("mad")), F.lit(0.0))
-    out = now.groupBy("node").agg(F.min(score).alias("low"), F.bool_and("moved").alias("moved"))
+    out = now.groupBy("step", "node").agg(F.min(score).alias("low"), F.bool_and("moved").alias("moved"))
     return out.withColumn("flagged", (F.col("low") > limit) & F.col("moved"))
 
 
+def monitor(history: DataFrame, k: int, burn_in: int, buffer: int, lags: int, limit: float) -> DataFrame:
+    """memberships_online(step, node, grp, flagged) of a tau history (step, node, p0 ..), from step burn_in on.
+
+    Labels are those of step burn_in until a flag; flags begin after burn_in + buffer + 1 steps. A
+    flag looks at the shares up to the step before, and gives the node its best group of the step."""
+    from .posterior import best_group
+
+    flags = js_flags(js_lags(history, k, lags), lags, buffer, limit)
+    flags = flags.where(F.col("flagged") & (F.col("step") + 1 > burn_in + buffer + 1)).select((F.col("step") + 1).alias("step"), "node", "flagged")
+    labels = history.select("step", "node", best_group(k).alias("grp"))
+    later = labels.where(F.col("step") > burn_in).join(flags, ["step", "node"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    carried = carry_labels(labels.where(F.col("step") == burn_in), later)
+    return carried.join(later.select("step", "node", "flagged"), ["step", "node"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+
+
 def carry_labels(first: DataFrame, flags: DataFrame) -> DataFrame:
     """memberships(step, node, grp): the first labels, carried on until a flagged step gives a new one.
 

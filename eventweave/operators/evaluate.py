@@ -99,3 +99,10 @@ def truth_at(changes: DataFrame, steps: DataFrame) -> DataFrame:
     order = Window.partitionBy("node").orderBy("t", "late", "grp")
     rows = a.unionByName(b).withColumn("grp", F.last("grp", ignorenulls=True).over(order))
     return rows.where("step is not null").select("step", "node", "grp")
+
+
+def station_groups(stations: DataFrame, memberships: DataFrame) -> DataFrame:
+    """stations with grp and shown: groups that occur, numbered from 0 by the least node of each."""
+    first = memberships.groupBy("grp").agg(F.min("node").alias("node"))
+    shown = first.select("grp", (F.row_number().over(Window.orderBy("node")) - 1).alias("shown"))  # a row for a group
+    return stations.join(memberships.select("node", "grp"), "node").join(F.broadcast(shown), "grp")

@@ -66,6 +66,7 @@ JS = " + ".join(f"a.p{i} * ln(2 * a.p{i} / (a.p{i} + b.p{i})) + b.p{i} * ln(2 *
 #: A share equal to its earlier value makes terms of 0, which count as 1e-300.
 JS_ROWS = f"""js AS (SELECT a.step, CAST(a.step - b.step AS INTEGER) AS lag, a.node, ({JS}) / 2 AS js, la.grp <> lb.grp AS moved
   FROM his a JOIN his b ON a.node = b.node AND b.step IN (a.step - 1, a.step - 2) JOIN lab la ON la.step = a.step AND la.node = a.node JOIN lab lb ON lb.step = b.step AND lb.node = b.node)"""
+OFF = "CASE WHEN mad > 0 THEN abs(x - md) / mad WHEN abs(x - md) > 0 THEN CAST('infinity' AS DOUBLE) ELSE 0 END"
 HISTORY = f"WITH {COUNTS}, {GRP}, {TAU_STEPS}"
 
 SQL = {
@@ -105,8 +106,16 @@ SQL = {
     "rate_mad_score": f"""WITH {COUNTS}, s AS (SELECT src, dst, median(n) AS median, mad(n) AS mad FROM cnt GROUP BY src, dst)
       SELECT step, src, dst, {r6('median')} AS median, {r6('mad')} AS mad, {r6("CASE WHEN mad > 0 THEN abs(n - median) / mad END")} AS score FROM cnt JOIN s USING (src, dst)""",
     "js_divergence_lag": f"{HISTORY}, {JS_ROWS} SELECT step, lag, node, {r6('js')} AS js, moved FROM js",
-    "js_flag": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js WHERE step > 4 AND step <= 12), st AS (SELECT median(x) AS md, mad(x) AS mad FROM lj WHERE step < 12)
-      SELECT node, {r6('min(abs(x - md) / mad)')} AS low, bool_and(moved) AS moved, min(abs(x - md) / mad) > 0.4 AND bool_and(moved) AS flagged FROM lj, st WHERE step = 12 GROUP BY node""",
+    "js_flag": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
+      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(9, 28)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 8 AND lj.step < s.step GROUP BY s.step)
+      SELECT step, node, CASE WHEN min({OFF}) < 1e300 THEN {r6(f'min({OFF})')} END AS low, bool_and(moved) AS moved, min({OFF}) > 0.4 AND bool_and(moved) AS flagged FROM lj JOIN st USING (step) GROUP BY step, node""",
+    "group_changes": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
+      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(12, 27)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 6 AND lj.step < s.step GROUP BY s.step),
+      fl AS (SELECT step + 1 AS step, node FROM lj JOIN st USING (step) GROUP BY step, node HAVING min({OFF}) > 0.4 AND bool_and(moved))
+      SELECT l.step, l.node, last_value(CASE WHEN l.step = 3 OR fl.node IS NOT NULL THEN l.grp END IGNORE NULLS) OVER (PARTITION BY l.node ORDER BY l.step) AS grp, fl.node IS NOT NULL AS flagged
+      FROM lab l LEFT JOIN fl ON fl.step = l.step AND fl.node = l.node WHERE l.step >= 3""",
+    "station_groups": f"""{HISTORY}, la AS (SELECT node, grp FROM lab WHERE step = {STEPS - 1}), sh AS (SELECT grp, CAST(row_number() OVER (ORDER BY min(node)) - 1 AS INTEGER) AS shown FROM la GROUP BY grp)
+      SELECT grp, node, n_name AS name, shown FROM la JOIN sh USING (grp) JOIN nation ON n_nationkey = node""",
     "adjusted_rand": f"""{HISTORY}, cells AS (SELECT step, l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) GROUP BY ALL),
       x AS (SELECT step, sum(n * (n - 1) / 2.0::DOUBLE) AS b, sum(n) AS total FROM cells GROUP BY step),
       y AS (SELECT step, sum(n * (n - 1) / 2.0::DOUBLE) AS a FROM (SELECT step, f, sum(n) AS n FROM cells GROUP BY step, f) GROUP BY step),

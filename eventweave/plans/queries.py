@@ -15,7 +15,6 @@ from ..operators import online as on
 from ..operators import posterior as po
 from ..operators import relabel as rl
 from ..operators import simulate as sm
-from ..operators.storage import staged
 from ..sources import networks as nw
 
 DELTA, STEPS, GROUPS, SOFT = 90.0, 28, 5, 3
@@ -211,8 +210,9 @@ def js_divergence_lag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def js_flag(spark: SparkSession, sf: str) -> DataFrame:
-    flags = cp.js_flags(cp.js_lags(_history(spark, sf), GROUPS, 2), 12, 2, 10, 0.4)
-    return rounded(flags, "low")
+    flags = cp.js_flags(cp.js_lags(_history(spark, sf), GROUPS, 2), 2, 10, 0.4)
+    finite = F.when(F.col("low") < float("inf"), F.col("low"))
+    return rounded(flags.where("step between 9 and 27").withColumn("low", finite), "low")
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,18 +302,18 @@ def online_infer_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagged nodes of every step that has a whole window before it."""
-    js = staged(cp.js_lags(_history(spark, sf), GROUPS, 2))  # read once for every step
-    out = None
-    for step in range(10, STEPS):
-        flags = cp.js_flags(js, step, 2, 10, 0.4).where("flagged").select(F.lit(step).alias("step"), "node")
-        out = flags if out is None else out.union(flags)
-    return out
+    return cp.monitor(_history(spark, sf), GROUPS, 3, 8, 2, 0.4)
+
+
+def station_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as stations, with their last label, numbered by first appearance."""
+    stations = nw.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
+    return ev.station_groups(stations, _labels(spark, sf).where(F.col("step") == STEPS - 1))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
     week_bucket, haversine_pairs, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
-    churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, simulate_network, online_known_graph, online_infer_groups, online_infer_graph, group_changes,
+    churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, simulate_network, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}

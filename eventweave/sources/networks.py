@@ -65,6 +65,19 @@ def parameter_grid(spark: SparkSession, **values: list[float]) -> DataFrame:
     return out
 
 
+def write_grid(grid: DataFrame, path: str) -> None:
+    """The grid as JSON lines."""
+    grid.write.json(path)
+
+
+def read_setting(spark: SparkSession, path: str, idx: int) -> dict:
+    """The values of one row of a grid."""
+    row = spark.read.json(path).where(F.col("idx") == idx).first()
+    if row is None:
+        raise ValueError(f"no setting {idx}")
+    return {k: v for k, v in row.asDict().items() if k != "idx"}
+
+
 def write_run(df: DataFrame, path: str, study: str, idx: int, run: int) -> None:
     """Adds an artefact of a run to a table partitioned by study, idx and run."""
     df.withColumns({"study": F.lit(study), "idx": F.lit(idx), "run": F.lit(run)}).write.mode("append").partitionBy("study", "idx", "run").parquet(path)

@@ -233,7 +233,27 @@ def test_js_flags(spark):
         x = 1 - x if node == 7 and step == 11 else x
         rows.append((step, node, float(x), float(1 - x)))
     js = cp.js_lags(spark.createDataFrame(rows, "step int, node int, p0 double, p1 double"), 2, 2)
-    assert [r.node for r in cp.js_flags(js, 11, 2, 10, 3.5).where("flagged").collect()] == [7]
+    assert [r.node for r in cp.js_flags(js, 2, 10, 3.5).where("flagged and step = 11").collect()] == [7]
+
+
+def test_monitor(spark):
+    """A node that moves is flagged once both of the steps compared lie before, and keeps its new label."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for step, node in product(range(20), range(40)):
+        x = float(np.clip((0.2 if node == 7 and step >= 14 else 0.8) + rng.normal(0, 0.01), 0.01, 0.99))
+        rows.append((step, node, x, 1 - x))
+    out = cp.monitor(spark.createDataFrame(rows, "step int, node int, p0 double, p1 double"), 2, 3, 8, 2, 3.5).collect()
+    assert [(r.step, r.node) for r in out if r.flagged] == [(15, 7)]
+    assert {(r.step, r.grp) for r in out if r.node == 7} == {(s, int(s >= 15)) for s in range(3, 20)}
+    assert {r.grp for r in out if r.node != 7} == {0}
+
+
+def test_grid_files(spark, tmp_path):
+    nw.write_grid(nw.parameter_grid(spark, a=[1, 2], b=[0.5, 0.25]), str(tmp_path / "grid"))
+    assert nw.read_setting(spark, str(tmp_path / "grid"), 2) == {"a": 2.0, "b": 0.5}
+    with pytest.raises(ValueError):
+        nw.read_setting(spark, str(tmp_path / "grid"), 9)
 
 
 def test_streaming(spark, tmp_path):
