@@ -30,7 +30,7 @@ class WordIds(dict):
 
     PLAIN = re.compile("[!-~\u00c0-\u012f]+")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
