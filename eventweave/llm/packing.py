@@ -139,7 +139,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return runs, bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, block_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, block_rows: int = 2000) -> DataFrame:
     """One row per piece of a document: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only longer ones are cut, into pieces of capacity ids. Full
