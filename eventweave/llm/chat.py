@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 
 def _plain(text: Column) -> Column:
     """Text that can't be taken for a marker."""
@@ -30,7 +32,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     """
     role = F.when(F.trim(F.coalesce(F.col(role_col), F.lit(""))) == "", F.lit("unknown")).otherwise(F.col(role_col))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.translate(_plain(role), "\r\n", "  ").alias("role"), _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    speakers = rows.where(F.col("role") != system_role).select(F.col("conv").alias("__conv"), F.col("role").alias("speaker")).distinct()
+    # Both sides of each join are plain tables and what follows is dealt anew, so AQE can split a hot conversation.
+    speakers = staged(rows.where(F.col("role") != system_role).select(F.col("conv").alias("__conv"), F.col("role").alias("speaker")).distinct())
     rows = rows.join(speakers, F.col("conv").eqNullSafe(F.col("__conv"))).drop("__conv")
 
     own = F.col("role") == F.col("speaker")
@@ -41,7 +44,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     view = ["conv", "speaker"]
     blocks = rows.groupBy(*view, "block").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
     upto = Window.partitionBy(*view).orderBy("block")
-    blocks = blocks.select(F.col("conv").alias("__conv"), F.col("speaker").alias("__speaker"), F.col("block").alias("__block"), (F.sum("n").over(upto) - F.col("n")).alias("n_before"), (F.sum("sizes").over(upto) - F.col("sizes")).alias("size_before"))
+    blocks = staged(blocks.select(F.col("conv").alias("__conv"), F.col("speaker").alias("__speaker"), F.col("block").alias("__block"), (F.sum("n").over(upto) - F.col("n")).alias("n_before"), (F.sum("sizes").over(upto) - F.col("sizes")).alias("size_before")))
+    rows = rows.repartition("conv", "speaker", "block")
     here = Window.partitionBy(*view, "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     rows = rows.withColumns({"no": F.row_number().over(here), "inside": F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0))})
     rows = rows.join(blocks, F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("speaker") == F.col("__speaker")) & F.col("block").eqNullSafe(F.col("__block")))
