@@ -31,6 +31,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
+    """Bounds the Arrow batches of the session by bytes: long texts then don't add up in executors and Python workers.
+
+    A setting of the session, as batches are cut when a plan runs; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1] in "kmg" else int(now)
+    if not 0 < size <= most_mb << 20:
+        spark.conf.set(key, f"{most_mb}m")
+
+
 def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has been counted to at most most_rows rows.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, staged
+from .common import if_small, small_batches, staged
 
 
 def target_sizes(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -75,6 +75,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty table gives an empty result. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("__text"))
     schema = rows.drop("__text").schema.add("size", "long")
     rows = staged(rows.mapInArrow(_count_words, schema))

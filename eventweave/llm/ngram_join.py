@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, if_small, staged
+from .common import connected_components, if_small, small_batches, staged
 from .words import mix, scan
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -134,6 +134,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     but never name a class unless it has no other id. Other columns don't matter; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(similarity, recall, most_hashes)
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = source.schema[0].dataType.simpleString()

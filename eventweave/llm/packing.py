@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Null text counts as empty (one id). Repeated rows and null ids are packed like others, each
     row for itself; other columns don't matter; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType
     names = ["__id", "piece", "start", "length", "ids_crc32"]

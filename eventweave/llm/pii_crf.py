@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import CLASSES, LOWER, UPPER, Words, scan
 
 EDGES, TRAILING = ",.;:!?\"'#$%&*", ",.;:!?\"'"
@@ -282,6 +283,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     as empty; repeated rows and null ids are treated like others, each row for itself; other
     columns don't matter; an empty table gives an empty result. The whole text is read."""
     spans = "array<struct<kind:string,start:int,end:int>>"
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, base {spans}, added {spans}"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

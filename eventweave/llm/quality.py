@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import small_batches
 from .words import mix, scan
 
 BITS = 18
@@ -71,6 +72,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     agree. Each of the shards learns apart, in a task of its own, and the weights are averaged.
     Labels that are null or not 0 or 1 don't count; of several labels of an id, the largest does.
     Without labelled rows all weights are 0, and all scores 0.5."""
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(most_rows).withColumnRenamed(id_col, "__label_id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), F.col("__id") == F.col("__label_id"))
@@ -94,6 +96,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text")
 
     Null and empty texts get the score of the bias. A column named score is replaced."""
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 class Counter(dict):
     """pre-token -> number of its tokens; emptied when it has most."""
@@ -154,6 +156,7 @@ def count_with_edits(docs: DataFrame, tokenizer_path: str, pattern: str, edits_c
     rows and null ids are counted each for itself; other columns don't matter; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.col(edits_col).alias("__edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
