@@ -289,6 +289,19 @@ def test_shared_passages(spark):
     assert (rows[17].start, rows[17].end, rows[17].matches) == (57, 118, 59)
 
 
+def planted(spark, texts):
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+
+
+def test_passages_far_apart(spark):
+    rng = random.Random(12)
+    run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    head, foot, copied = run(60), run(60), run(500)
+    texts = {0: head + run(200) + foot, 1: head + run(200) + foot, 2: copied, 3: copied[:250] + run(200) + copied[250:], 4: run(30) + head + run(100) + foot}
+    rows = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in shared_passages(planted(spark, texts)).collect()}
+    assert rows - {(4, 190, 250, 1, 260, 320)} == {(1, 0, 60, 0, 0, 60), (1, 260, 320, 0, 260, 320), (3, 0, 250, 2, 0, 250), (3, 450, 700, 2, 250, 500), (4, 30, 90, 0, 0, 60), (4, 190, 250, 0, 260, 320)}  # a seed at the foot's edge may be first in 1
+
+
 def test_passages_of_documents(spark, documents):
     """Every run of at least 50 equal words that a document shares with another is told for it or from it."""
     words = {i: (d.text or "").lower().split() for i, d in documents.items()}
