@@ -302,6 +302,15 @@ def test_passages_far_apart(spark):
     assert rows - {(4, 190, 250, 1, 260, 320)} == {(1, 0, 60, 0, 0, 60), (1, 260, 320, 0, 260, 320), (3, 0, 250, 2, 0, 250), (3, 450, 700, 2, 250, 500), (4, 30, 90, 0, 0, 60), (4, 190, 250, 0, 260, 320)}  # a seed at the foot's edge may be first in 1
 
 
+def test_passage_twice_in_a_document(spark):
+    rng = random.Random(13)
+    run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    passage = run(60)
+    texts = {0: run(20) + passage + run(30), 1: passage + run(300) + passage + run(200) + passage}
+    rows = sorted((r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in shared_passages(planted(spark, texts)).collect())
+    assert rows == [(1, at, at + 60, 0, 20, 80) for at in (0, 360, 620)]
+
+
 def test_passages_of_documents(spark, documents):
     """Every run of at least 50 equal words that a document shares with another is told for it or from it."""
     words = {i: (d.text or "").lower().split() for i, d in documents.items()}
