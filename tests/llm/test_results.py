@@ -311,6 +311,22 @@ def test_passage_twice_in_a_document(spark):
     assert rows == [(1, at, at + 60, 0, 20, 80) for at in (0, 360, 620)]
 
 
+def test_passages_of_common_lines(spark):
+    """Later holders of a passage meet, though earlier documents hold each of its lines."""
+    rng = random.Random(14)
+    run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    texts, want = {}, set()
+    for i in range(0, 100, 5):
+        one, two = run(30), run(30)
+        texts |= {i: run(40) + one + run(40), i + 1: run(40) + two + run(40), i + 2: run(50) + one + two + run(50), i + 3: run(70) + one + two + run(20)}
+        want.add((i + 3, 70, 130, i + 2, 50, 110))
+    one, two = run(30), run(30)  # the lines stand apart in the holder before the passage
+    texts |= {100: two + run(40) + one + run(40) + one + two + run(20), 101: run(30) + one + two + run(30)}
+    want.add((101, 30, 90, 100, 140, 200))
+    rows = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in shared_passages(planted(spark, texts)).collect()}
+    assert rows == want
+
+
 def test_passages_of_documents(spark, documents):
     """Every run of at least 50 equal words that a document shares with another is told for it or from it."""
     words = {i: (d.text or "").lower().split() for i, d in documents.items()}
