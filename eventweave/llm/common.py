@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,6 +51,11 @@ def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The Arrow type of a column, ids of any kind included."""
+    return to_arrow_type(df.schema[name].dataType)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same on pure ASCII, several times faster."""
     pure = F.octet_length(text) == F.char_length(text)

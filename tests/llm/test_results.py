@@ -283,32 +283,66 @@ def test_shared_passages(spark):
         texts[i] = texts[i][: 40 + i] + p + texts[i][40 + i :]
     texts[21] = texts[21] + texts[5][100:130]  # under 50 words
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    rows = {r.doc_id: r for r in shared_passages(docs).collect()}
-    assert set(rows) == {9, 17} and all(r.other_id == 3 for r in rows.values())
-    assert (rows[9].start, rows[9].end, rows[9].other_start, rows[9].other_end, rows[9].matches) == (49, 109, 43, 103, 60)
-    assert (rows[17].start, rows[17].end, rows[17].matches) == (57, 118, 59)
+    rows = {(r.doc_id, r.other_id): r for r in shared_passages(docs).collect()}
+    assert set(rows) == {(9, 3), (17, 3), (17, 9)}
+    one, two = rows[9, 3], rows[17, 3]
+    assert (one.start, one.end, one.other_start, one.other_end, one.matches) == (49, 109, 43, 103, 60)
+    assert (two.start, two.end, two.matches) == (57, 118, 59)
 
 
 def planted(spark, texts):
     return spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
 
 
+def places(rows):
+    return {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in rows}
+
+
 def test_passages_far_apart(spark):
     rng = random.Random(12)
     run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
     head, foot, copied = run(60), run(60), run(500)
     texts = {0: head + run(200) + foot, 1: head + run(200) + foot, 2: copied, 3: copied[:250] + run(200) + copied[250:], 4: run(30) + head + run(100) + foot}
-    rows = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in shared_passages(planted(spark, texts)).collect()}
-    assert rows - {(4, 190, 250, 1, 260, 320)} == {(1, 0, 60, 0, 0, 60), (1, 260, 320, 0, 260, 320), (3, 0, 250, 2, 0, 250), (3, 450, 700, 2, 250, 500), (4, 30, 90, 0, 0, 60), (4, 190, 250, 0, 260, 320)}  # a seed at the foot's edge may be first in 1
+    of_four = {(4, 30, 90, 0, 0, 60), (4, 190, 250, 0, 260, 320), (4, 30, 90, 1, 0, 60), (4, 190, 250, 1, 260, 320)}
+    assert places(shared_passages(planted(spark, texts)).collect()) == {(1, 0, 60, 0, 0, 60), (1, 260, 320, 0, 260, 320), (3, 0, 250, 2, 0, 250), (3, 450, 700, 2, 250, 500)} | of_four
 
 
 def test_passage_twice_in_a_document(spark):
+    """The first place is told with the earlier document, each other one with the place before; so are repeats that no other document holds."""
     rng = random.Random(13)
     run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
-    passage = run(60)
-    texts = {0: run(20) + passage + run(30), 1: passage + run(300) + passage + run(200) + passage}
-    rows = sorted((r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in shared_passages(planted(spark, texts)).collect())
-    assert rows == [(1, at, at + 60, 0, 20, 80) for at in (0, 360, 620)]
+    passage, line = run(60), run(10)
+    texts = {0: run(20) + passage + run(30), 1: passage + run(300) + passage + run(200) + passage, 2: run(40) + line * 200 + run(40)}
+    want = {(1, 0, 60, 0, 20, 80), (1, 360, 420, 1, 0, 60), (1, 620, 680, 1, 360, 420), (2, 50, 2040, 2, 40, 2030)}
+    assert places(shared_passages(planted(spark, texts)).collect()) == want
+
+
+def test_whole_passages_beyond_the_margin(spark):
+    """Seeds of words that an earlier document holds lead there; the pair of later holders is whole all the same."""
+    rng = random.Random(15)
+    run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    passage, long = run(300), run(3000)
+    texts = {20: run(30) + passage[:150], 21: passage + run(40), 22: run(10) + passage, 30: long[:2900], 31: run(5) + long, 32: long + run(5)}
+    for few in (0, 4):
+        got = places(shared_passages(planted(spark, texts), few=few).collect())
+        assert {(22, 10, 310, 21, 0, 300), (21, 0, 150, 20, 30, 180), (22, 10, 160, 20, 30, 180), (32, 0, 3000, 31, 5, 3005)} <= got
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """60 words with a fifth of them changed, evenly or anywhere: at least nine in ten are found."""
+    rng = random.Random(3)
+    run = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    texts = {}
+    for i in range(0, 600, 2):
+        passage = run(60)
+        fuzzy = passage[:]
+        for at in range(2, 60, 5) if i < 300 else rng.sample(range(60), 12):
+            fuzzy[at] = run(1)[0]
+        texts |= {i: run(70) + passage + run(30), i + 1: run(20) + fuzzy + run(90)}
+    rows = shared_passages(planted(spark, texts)).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.identity >= 0.8 - 1e-9 and r.end - r.start >= 50 for r in rows)
+    for half in (range(0, 300, 2), range(300, 600, 2)):
+        assert len({r.other_id for r in rows} & set(half)) >= 0.9 * len(half)
 
 
 def test_passages_of_common_lines(spark):
@@ -328,16 +362,24 @@ def test_passages_of_common_lines(spark):
 
 
 def test_passages_of_documents(spark, documents):
-    """Every run of at least 50 equal words that a document shares with another is told for it or from it."""
+    """Every place of every run of 50 equal words that stands in an earlier document, or earlier in its own, lies in a passage told for it; and each row is as alike as it says."""
     words = {i: (d.text or "").lower().split() for i, d in documents.items()}
-    first, shared = {}, set()
+    rows = entry.op2_substring_dedup(spark, SF).collect()
+    covered = defaultdict(set)
+    for r in rows:
+        covered[r.doc_id] |= set(range(r.start, r.end))
+        assert (r.other_id, r.other_start) < (r.doc_id, r.start) and r.end - r.start >= 50 and r.identity >= 0.8 - 1e-9
+        a, b = words[r.doc_id][r.start : r.end], words[r.other_id][r.other_start : r.other_end]
+        assert r.matches <= sum((Counter(a) & Counter(b)).values()) and r.identity == pytest.approx(r.matches / max(len(a), len(b)))
+    seen, runs = set(), 0
     for i in sorted(words):
         for j in range(len(words[i]) - 49):
             key = tuple(words[i][j : j + 50])
-            if first.setdefault(key, i) != i:
-                shared |= {i, first[key]}
-    told = {x for r in entry.op2_substring_dedup(spark, SF).collect() for x in (r.doc_id, r.other_id)}
-    assert shared <= told
+            if key in seen:
+                runs += 1
+                assert set(range(j, j + 50)) <= covered[i], (i, j)
+            seen.add(key)
+    assert runs > 100
 
 
 def test_token_tree():
