@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}  # application -> folder, where none is named
+_marked: set[str] = set()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Without that setting, a session on one machine gets a temporary folder; on a cluster that is an
+    error, as executors would write to their own disks."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="eventweave-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        root = "file://" + _local[app]
+    return root.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder in spark.checkpoint.dir and reads it back, which cuts its lineage."""
+    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage; unlike a localCheckpoint, it outlives lost executors.
+
+    An application's tables are in a folder of its own, which goes when its driver ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests, one machine
-        root = "file://" + tempfile.mkdtemp(prefix="eventweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/staged/{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/staged/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _marked:
+        _marked.add(folder)
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
