@@ -30,7 +30,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     conversation of system turns only, and an empty table, give no rows; a null conversation is
     one like others; other columns don't matter.
     """
-    role = F.when(F.trim(F.coalesce(F.col(role_col), F.lit(""))) == "", F.lit("unknown")).otherwise(F.col(role_col))
+    role = F.when(F.coalesce(F.col(role_col), F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$"), F.lit("unknown")).otherwise(F.col(role_col))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.translate(_plain(role), "\r\n", "  ").alias("role"), _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     # Both sides of each join are plain tables and what follows is dealt anew, so AQE can split a hot conversation.
     speakers = staged(rows.where(F.col("role") != system_role).select(F.col("conv").alias("__conv"), F.col("role").alias("speaker")).distinct())

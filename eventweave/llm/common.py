@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (tests, one machine) gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="eventweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..operators.storage import shared_root, staged
 
+__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "shared_root", "small_batches", "staged"]
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
-
-    Cuts the lineage; unlike a localCheckpoint, it outlives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
@@ -56,6 +37,19 @@ def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
+def one_of_repeats(df: DataFrame, *columns: str) -> DataFrame:
+    """df with one of each set of rows that agree in the columns, nulls too.
+
+    Only rows of such sets are shuffled; the table of them is small where tables are sound."""
+    print_of = F.xxhash64(*columns)
+    again = staged(df.groupBy(print_of.alias("__print")).count().where("count > 1").select("__print"))
+    if again.isEmpty():
+        return df
+    same = print_of == F.col("__print")
+    more = if_small(again, 200_000)
+    return df.join(more, same, "left_anti").unionByName(df.join(more, same, "left_semi").dropDuplicates(list(columns)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same on pure ASCII, several times faster."""
     pure = F.octet_length(text) == F.char_length(text)
@@ -71,15 +65,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     end and loops don't connect anything; without edges the result is empty."""
     order = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = staged(order(edges.select("a", "b")))
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    last, seen = None, print_of(now)
-    while seen != last and seen[0]:
+    while not now.isEmpty():
         both = now.union(now.select("b", "a"))
         least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        now = order(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))
-        now = staged(now)
-        least = staged(now.groupBy("a").agg(F.min("b").alias("m")))
-        now = staged(order(now.join(least, "a").select("b", "m").toDF("a", "b").union(least.toDF("a", "b"))))
-        last, seen = seen, print_of(now)
+        large = order(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))
+        large = staged(large)
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")))
+        last, now = now, staged(order(large.join(least, "a").select("b", "m").toDF("a", "b").union(least.toDF("a", "b"))))
+        # Both are sets of pairs: as many, and none new, means that nothing changed.
+        if last.count() == now.count() and now.join(last, ["a", "b"], "left_anti").isEmpty():
+            break
     heads = now.select(F.col("b").alias("node")).distinct()
     return now.toDF("node", "component").union(heads.withColumn("component", F.col("node")))

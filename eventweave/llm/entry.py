@@ -125,7 +125,7 @@ FROM d
 
 CHAT_SQL = """
 WITH rows AS (
-  SELECT conv_id AS conv, turn, replace(translate(CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE replace(role, '<|', '< |') END, chr(13) || chr(10), '  '), '', '') AS role,
+  SELECT conv_id AS conv, turn, translate(CASE WHEN regexp_full_match(coalesce(role, ''), '[ \\t\\n\\x0B\\f\\r]*') THEN 'unknown' ELSE replace(role, '<|', '< |') END, chr(13) || chr(10), '  ') AS role,
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
 speakers AS (SELECT DISTINCT conv, role AS speaker FROM rows WHERE role <> 'system'),

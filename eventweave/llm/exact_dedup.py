@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, if_small, staged
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, broadcast_rows: int = 100_000) -> DataFrame:
-    """Adds keep_id, group_size and kept to every row of docs.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, broadcast_rows: int = 100_000, names: tuple[str, str, str] = ("keep_id", "group_size", "kept")) -> DataFrame:
+    """Adds keep_id, group_size and kept (or other names) to every row of docs.
 
     Groups by length, then by the hash of the first prefix_chars characters, then by the
     SHA-256 of the whole text, which is worked out only for rows whose length and prefix
@@ -20,9 +20,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z; of equal ones the row with the
     largest id stays. Null text counts as empty. Null ids are the least; a group of null ids
     only keeps null. Rows that repeat an id and its text share its verdict. Columns named
-    like the results are replaced; an empty table gives an empty result.
+    like the results are replaced; an empty table gives an empty result. Texts may be of any length: only their hashes meet.
     """
-    docs = docs.drop("keep_id", "group_size", "kept")
+    docs = docs.drop(*names)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"__len": F.octet_length(text), "__pre": F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))})
 
@@ -34,8 +34,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows read no further get a key of their own, so that they don't meet in one partition.
     alone = F.concat(F.lit("-"), F.xxhash64(F.col(id_col), "__len", "__pre").cast("string"))
     rows = rows.withColumn("__key", F.when(F.col("__read"), F.sha2(ascii_lower(text), 256)).otherwise(alone))
-    groups = rows.where("__read").groupBy("__key").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    groups = staged(groups.where("group_size > 1"))
+    groups = rows.where("__read").groupBy("__key").agg(F.max(id_col).alias("__keep"), F.count("*").alias("__size"))
+    groups = staged(groups.where("__size > 1"))
     rows = rows.join(if_small(groups, broadcast_rows), "__key", "left")
-    rows = rows.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
-    return rows.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("__len", "__pre", "__read", "__key")
+    keep = F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
+    results = [keep, F.coalesce("__size", F.lit(1).cast("long")), F.col(id_col).eqNullSafe(keep)]
+    return rows.select(*docs.columns, *(x.alias(n) for x, n in zip(results, names, strict=True)))

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import if_small, small_batches, staged
@@ -59,8 +59,39 @@ def _count_words(batches):
         yield b.drop_columns(["__text"]).append_column("size", sizes)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_copies: int = 3, seed: int = 7, fan_in: int = 8192, most_sources: int = 1_000_000) -> DataFrame:
-    """One row per row of docs: its id, source, size, source_size, target, copies and taken.
+def _shares(rows: DataFrame, weights: tuple[float, ...], most: float, fan_in: int) -> DataFrame:
+    """source, source_size, target and blocks of every source, as target_sizes() has them.
+
+    A source is full when the share by weight is at least most times its size: when size / weight is at most
+    some level. So sources are sums by weight and a search for that level, a few numbers on the driver, never the table."""
+    table = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    table = staged(_numbered(table).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("no") % len(weights) + 1).cast("int"))))
+    left, weight, level = 0.0, 0.0, 0.0
+    total = float(table.agg(F.sum("source_size")).first()[0] or 0)
+    while True:  # each round fills at least one source, or ends
+        full = F.col("source_size") <= level * F.col("weight")
+        left, weight = table.where("source_size > 0").agg(F.sum(F.when(full, -float(most) * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not weight:
+            break
+        new = (total + left) / weight / most
+        if new <= level * (1 + 1e-12):
+            break
+        level = new
+    share = F.lit((total + (left or 0.0)) / weight if weight else 0.0) * F.col("weight")
+    target = F.when(F.col("source_size") <= level * F.col("weight"), float(most) * F.col("source_size")).otherwise(share)
+    return table.select("source", "source_size", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"), F.ceil(F.col("n") / fan_in).alias("blocks"))
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """Adds no: the place of the source in code point order, null last, counted range by range without a single task for all."""
+    ranged = staged(table.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
+    return ranged.join(F.broadcast(before), "__part").withColumn("no", F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__row", "__before")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_copies: int = 3, seed: int = 7, fan_in: int = 8192, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: its id, source, size, source_size, target, copies, taken and the extra columns.
 
     size: runs of other than ASCII white space (null text: 0). Sources in code point order,
     null last, get the weights in turn, and targets as target_sizes() shares them. A row's
@@ -71,22 +102,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     less than one document. Lots depend on seed, id and size only: reruns agree.
 
     Rows of size 0 take 0 words. Repeated rows count each; null ids are ids like others.
-    most_sources bounds the per-source table that the driver shares out (else ValueError);
+    Very long texts are counted whole. The table of sources stays in Spark, however long it is;
     an empty table gives an empty result. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__x{i}") for i, c in enumerate(extra)))
     schema = rows.drop("__text").schema.add("size", "long")
     rows = staged(rows.mapInArrow(_count_words, schema))
 
-    table = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
-    if len(table) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    table = sorted(table, key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = target_sizes([r["size"] for r in table], [weights[i % len(weights)] for i in range(len(table))], most_copies)
-    shares = [(r["source"], r["size"], t, math.ceil(r["n"] / fan_in)) for r, t in zip(table, targets, strict=True)]
-    shares = spark.createDataFrame(shares, f"source {rows.schema['source'].dataType.simpleString()}, source_size long, target double, blocks long")
+    shares = _shares(rows, weights, most_copies, fan_in)
     joined = rows.withColumnRenamed("source", "__s").join(if_small(shares, 10_000), F.col("__s").eqNullSafe(F.col("source")), "left").drop("__s")
 
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -104,8 +129,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pdf.assign(p=p)
         return run
 
-    most = max((r["n"] for r in table), default=0)
-    done, blocks = [], math.ceil(most / fan_in)
+    done, blocks = [], shares.agg(F.max("blocks")).first()[0] or 0
     while True:
         last = blocks <= 1
         joined = staged(joined.groupBy("source", "block").applyInPandas(level(last), schema))
@@ -117,4 +141,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for d in done:
         joined = joined.unionByName(d)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"__x{i}").alias(c) for i, c in enumerate(extra)))

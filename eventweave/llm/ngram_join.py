@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import connected_components, if_small, small_batches, staged
+from .common import arrow_type, connected_components, if_small, one_of_repeats, small_batches, staged
 from .words import mix, scan
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -73,7 +74,7 @@ def _signatures(n: int, bands: int, rows: int, schema: pa.Schema):
                 if node and node not in last:
                     last = {node: band_keys(grams, bands, rows)}
                 keys.append(last[node] if node else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -117,7 +118,7 @@ def _block_links(similarity: float):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.9999, most_hashes: int = 192, bucket: int = 32, block: int = 128, broadcast_rows: int = 200_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of docs: id, class_id, class_size and links.
 
     links: how many other rows have an n-gram Jaccard similarity of at least `similarity` with it.
@@ -129,18 +130,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair of blocks a task that returns counts and a spanning forest, never its pairs; this is the
     exact way for hot buckets, with no cap. Every link is verified on full n-gram sets.
 
-    Null and empty texts, and those of white space, have no n-grams: no links, a class each. A
+    options are those of classes(). Null and empty texts, and those of white space, have no n-grams: no links, a class each. A
     text of fewer than n words is one n-gram. Repeated rows are copies; with a null id they count,
     but never name a class unless it has no other id. Other columns don't matter; an empty table
-    gives an empty result.
+    gives an empty result. Texts of any length count whole.
     """
+    return classes(docs, id_col, text_col, **options).select(id_col, "class_id", "class_size", "links")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), n: int = 5, similarity: float = 0.8, recall: float = 0.9999, most_hashes: int = 192, bucket: int = 32, block: int = 128, broadcast_rows: int = 200_000) -> DataFrame:
+    """What ngram_join() returns, with the extra columns and class: a name that no two classes share (null: a row alone)."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(similarity, recall, most_hashes)
-    source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    kind = source.schema[0].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("id", arrow), ("node", pa.string()), ("keys", pa.list_(pa.int64()))])
-    signed = staged(source.mapInArrow(_signatures(n, bands, rows, schema), f"id {kind}, node string, keys array<long>"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__x{i}") for i, c in enumerate(extra)))
+    out = source.drop("__text").schema.add("node", "string").add("keys", ArrayType(LongType()))
+    schema = pa.schema([("id", arrow_type(source, "id")), *((f"__x{i}", arrow_type(source, f"__x{i}")) for i in range(len(extra))), ("node", pa.string()), ("keys", pa.list_(pa.int64()))])
+    signed = staged(source.mapInArrow(_signatures(n, bands, rows, schema), out))
 
     nodes = staged(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
     members = nodes.select("node", F.explode("keys").alias("key"))
@@ -157,7 +162,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct())
     # One row of each wanted node is read again for its set; only ids, not texts, decide which.
     keep = wanted.join(nodes.select("node", "least"), "node").select(F.col("least").alias("__least"), "node")
-    texts = source.join(if_small(keep, broadcast_rows), F.col(id_col).eqNullSafe(F.col("__least"))).select("node", "__text")
+    texts = source.join(if_small(keep, broadcast_rows), F.col("id").eqNullSafe(F.col("__least"))).select("node", "__text")
     sets = texts.mapInArrow(_checked_sets(n), "node string, grams array<long>").dropDuplicates(["node"])
     sets = staged(sets)
 
@@ -166,11 +171,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = pairs.join(one, "a").join(two, "b").withColumn("both", both)
     alike = alike.where(F.col("both") >= similarity * (F.size("grams_a") + F.size("grams_b") - F.col("both")) - 1e-9).select("a", "b")
 
+    # Nodes in a hot component by size of their sets: blocks of about `block` of like size meet only where sizes allow the similarity.
     weight = nodes.select("node", "copies")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    spread = groups.join(sizes, "component").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    spread = spread.select("component", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    spread = spread.join(sets, "node").join(weight, "node")
+    sized = groups.join(sets, "node").withColumn("size", F.size("grams"))
+    blocks = _size_blocks(sized.select("component", "node", "size"), block)
+    spans = staged(blocks.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high")))
+    mine, theirs = (spans.select("component", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in "ab")
+    meets = mine.join(theirs, "component").where("block_a <= block_b").where(F.least("high_a", "high_b") >= similarity * F.greatest("low_a", "low_b") - 1e-9)
+    meets = staged(meets.select("component", F.col("block_a").alias("lo"), F.col("block_b").alias("hi")))
+    asked = meets.select("component", F.col("lo").alias("block"), "lo", "hi").union(meets.where("lo < hi").select("component", F.col("hi").alias("block"), "lo", "hi"))
+    spread = blocks.select("component", "node", "block").join(asked, ["component", "block"]).join(sets, "node").join(weight, "node")
     told = staged(spread.groupBy("component", "lo", "hi").applyInPandas(_block_links(similarity), "a string, b string, links long"))
 
     alike = staged(alike)
@@ -179,12 +189,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = halves.union(told.where("b is null").select("a", "links")).groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     per_node = nodes.select("node", "least", "copies").join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per_class = per_node.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_node = per_node.join(per_class, "component").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    per_node = per_node.join(per_class, "component").select("node", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     per_node = staged(per_node.where("class_size > 1"))
-    # Nodes alone in their class need no join; a random key keeps rows without words apart.
-    out = signed.select(F.col("id").alias(id_col), "node").join(if_small(per_node, broadcast_rows), "node", "left")
+    # Nodes alone in their class need no join.
+    out = signed.drop("keys").join(if_small(per_node, broadcast_rows), "node", "left")
     alone = F.col("class_size").isNull()
-    return out.select(id_col, F.when(alone, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.col("component").alias("class"), *(F.col(f"__x{i}").alias(c) for i, c in enumerate(extra)))
+
+
+def _size_blocks(nodes: DataFrame, block: int) -> DataFrame:
+    """Adds block: numbers that rise with size, of about `block` nodes each; a size that more nodes share has blocks of its own.
+
+    Counts of sizes are added up over a component's sizes, which are no more than its longest text has words."""
+    counts = nodes.groupBy("component", "size").count()
+    before = F.sum("count").over(Window.partitionBy("component").orderBy("size")) - F.col("count")
+    counts = staged(counts.select("component", "size", before.alias("before"), "count"))
+    within = F.pmod(F.xxhash64("node"), F.col("count"))
+    return staged(nodes.join(counts, ["component", "size"]).select("component", "node", "size", F.floor((F.col("before") + within) / block).alias("block")))
 
 
 def _checked_sets(n: int):
@@ -199,9 +220,15 @@ def _checked_sets(n: int):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that name their class: of rows that links join, the one with the least id stays.
-
-    All columns are kept. Rows with a null id stay."""
-    classes = ngram_join(docs, id_col, text_col, **options).where(~F.col(id_col).eqNullSafe(F.col("class_id")))
-    gone = staged(classes.select(F.col(id_col).alias("__gone")).where("__gone is not null").distinct())
-    return docs.join(if_small(gone, 1_000_000), F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of docs of each class of rows that links join: that with the least id (nulls last), of these with the least hash of its text.
+
+    All columns are kept. Rows decide by id and text together, so an unrelated text of an id that
+    goes stays. Of rows that repeat both, one stays; which of their other columns stay isn't said.
+    Null and empty texts are near nothing; an empty table gives an empty result."""
+    docs = one_of_repeats(docs, id_col, text_col)
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = classes(docs.select(F.col(id_col), F.col(text_col), text.alias("__hash")), id_col, text_col, ("__hash",), **options).where("class is not null")
+    rows = staged(rows.select("class", F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("row")))
+    stay = staged(rows.groupBy("class").agg(F.min("row").alias("stay")))
+    gone = staged(rows.join(if_small(stay, 200_000), "class").where("row <> stay").select(F.col("row.id").alias("__gone"), F.col("row.hash").alias("__hash")))
+    return docs.join(if_small(gone, 1_000_000), F.col(id_col).eqNullSafe(F.col("__gone")) & (text == F.col("__hash")), "left_anti")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import arrow_type, small_batches, staged
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -139,7 +139,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return runs, bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, block_rows: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, block_rows: int = 1000) -> DataFrame:
     """One row per piece of a document: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only longer ones are cut, into pieces of capacity ids. Full
@@ -147,14 +147,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows, which is all the driver sees). Items of a length are numbered in blocks of about
     block_rows by a hash of the id, so that a length that many rows share is many tasks.
 
-    Null text counts as empty (one id). Repeated rows and null ids are packed like others, each
+    Null text counts as empty (one id); texts of any length are read whole. Items of one length are placed in the order of their block, id, piece and ids' crc32; ties of all of these are alike. Repeated rows and null ids are packed like others, each
     row for itself; other columns don't matter; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType
     names = ["__id", "piece", "start", "length", "ids_crc32"]
-    arrow = pa.schema(list(zip(names, (pa.from_numpy_dtype("int64") if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)))
+    arrow = pa.schema(list(zip(names, (arrow_type(rows, id_col), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)))
     pieces = staged(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, arrow), f"__id {kind.simpleString()}, {PIECES}"))
 
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

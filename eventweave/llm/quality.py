@@ -71,7 +71,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     The bound is the parameter: the rows with the least hash of their id are taken, so reruns
     agree. Each of the shards learns apart, in a task of its own, and the weights are averaged.
     Labels that are null or not 0 or 1 don't count; of several labels of an id, the largest does.
-    Without labelled rows all weights are 0, and all scores 0.5."""
+    Rows that repeat an id count each; texts of any length are read whole, null ones as empty. Other columns don't matter. Rows are learned from in the order
+    of a hash of their id, then of the text. Without labelled rows, as in an empty table, all weights are 0, and all scores 0.5."""
     small_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(most_rows).withColumnRenamed(id_col, "__label_id")
@@ -91,19 +92,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return total / max(1, rows_seen)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1; higher: label 1 is likelier) to every row, from its whole text alone.
+def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Adds score_col (0 to 1; higher: label 1 is likelier) to every row, from its whole text alone.
 
-    Null and empty texts get the score of the bias. A column named score is replaced."""
-    docs = docs.drop("score")
+    Null and empty texts get the score of the bias; very long ones are read whole. Each of repeated rows is scored, equal texts alike;
+    an empty table gives an empty result. A column named score_col is replaced; others are kept. Where a threshold falls on a score, that row is the caller's to place."""
+    docs = docs.drop(score_col)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
             m = np.array([margin(w, x) for x in ngram_slots(b.column(text_col).to_pylist())], float)
-            yield b.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(m, -35, 35)))))
+            yield b.append_column(score_col, pa.array(1 / (1 + np.exp(-np.clip(m, -35, 35)))))
 
     return docs.mapInArrow(run, schema)

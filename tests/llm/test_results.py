@@ -18,7 +18,7 @@ from eventweave.llm.common import connected_components
 from eventweave.llm.exact_dedup import exact_dedup
 from eventweave.llm.mixing import mix_sources, target_sizes
 from eventweave.llm.ngram_join import choose_bands, ngram_join
-from eventweave.llm.packing import plan_bins
+from eventweave.llm.packing import pack, plan_bins
 from eventweave.llm.pii_crf import CARD, KINDS, PHONE, base_digest, base_spans, crf_spans, luhn
 from eventweave.llm.substring import chain, shared_passages
 from eventweave.llm.token_counts import TokenTree, counter
@@ -437,3 +437,47 @@ def test_pipeline_stages_on_repeated_and_null_rows(spark):
     assert {r.doc_id for r in corpus_pipeline.packing(spark, mixed, SF).collect()} == {r.doc_id for r in mixed.collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_pipeline_decides_by_row(spark):
+    """Of an id's texts the near copy goes and the other stays; of classes without ids one row stays."""
+    words = [f"w{i}" for i in range(100)]
+    text, copy, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text), (5, copy), (5, other), (5, other), (None, copy), (None, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5"), (None, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert left[1, text] == 1 and left[5, other] == 1 and (5, copy) not in left and (None, copy) not in left and len(left) == sum(left.values()) == 3
+
+
+def test_pipeline_copies_by_row(spark):
+    """The mix's copies of each row come out, whatever ids and rows repeat."""
+    rows = [(i // 2, "w " * (1 + i % 7), "ab"[i % 3 == 0], i % 5) for i in range(60)] + [(3, "w w", "b", 1)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    want = Counter()
+    key = F.xxhash64(*docs.columns)
+    for r in mix_sources(docs.withColumn("k", key), extra=("k",)).collect():
+        want[r.k] += r.copies
+    got = Counter(r.k for r in corpus_pipeline.mixing(spark, docs, SF).select(key.alias("k")).collect())
+    assert got == +want
+
+
+def test_pipeline_keeps_clashing_columns_and_long_texts(spark):
+    names = ["score", "kept", "keep_id", "group_size", "copies", "size", "class", "node", "taken", "target", "id"]
+    long = " ".join(f"word{i} and" for i in range(30000))
+    rows = [(1, "The first of the texts here.", "a"), (2, long, "a"), (3, long + " tail", "b"), (4, None, None), (5, "another of them, and clean", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and all(r in before for r in after.collect()), name
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == {1, 2, 4, 5}
+    assert corpus_pipeline.packing(spark, docs, SF).where("piece = 0").count() == 5
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("doc_id", "text", "source")
+    for kind in ("smallint", "date"):
+        typed = docs.withColumn("doc_id", F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind))
+        assert typed.schema["doc_id"].dataType.simpleString() == kind
+        for run in (lambda d: ngram_join(d), lambda d: shared_passages(d), lambda d: pack(d, P.path("word_bpe_49k.json"))):
+            assert len(run(typed).collect()) == len(run(docs).collect())
