@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_of
-from .posterior import best_group, membership_scores, neighbour_sums, softmax, uniform_tau
+from .posterior import best_group, both_ways, neighbour_sums, node_scores, softmax, uniform_tau
 from .storage import staged
 
 psi = np.vectorize(digamma_of)
@@ -68,6 +68,8 @@ class State:
     kinds: DataFrame | None = None  # (node, c, g): label history and connection group
     big: DataFrame | None = None  # (ca, cb, big): events expected so far between histories, per unit of time
     seen: DataFrame | None = None
+    ways: DataFrame | None = None  # the interval's edges from both ends
+    tables: tuple = ()  # of the graph mode, see _graph_tables()
     rate_log: list[tuple] = field(default_factory=list)
 
 
@@ -105,39 +107,45 @@ def _joined(state: State, tau: DataFrame, counts: DataFrame, k: int) -> DataFram
     names = [f"{x}{i}" for i in range(k) for x in ("so", "to", "si", "ti")]
     mass = tau.agg(*(F.sum(f"p{i}").alias(f"mass{i}") for i in range(k)))
     if state.edges is not None:
-        rows = state.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1.0).alias("w"))
-        return tau.join(neighbour_sums(rows, tau, k), "node", "left").na.fill(0.0)
+        return tau.join(neighbour_sums(state.ways, tau, k), "node", "left").na.fill(0.0)
     if state.options.mode != "graph":
-        sums = neighbour_sums(counts.withColumn("w", F.lit(1.0)), tau, k)
+        sums = neighbour_sums(state.ways, tau, k)
         out = tau.join(sums, "node", "left").na.fill(0.0).crossJoin(F.broadcast(mass))
         return out.select("node", *(f"p{i}" for i in range(k)), "own_n", F.lit(1.0).alias("own_w"), *(F.col(f"mass{n[2:]}").alias(n) if n[0] == "t" else F.col(n) for n in names))
-    if state.kinds is None:  # nothing is known of any edge yet
+    if not state.tables:  # nothing is known of any edge yet
         s = state.options.sigma
         sums = neighbour_sums(counts.withColumn("w", F.lit(s)), tau, k)
         out = tau.join(sums, "node", "left").na.fill(0.0).crossJoin(F.broadcast(mass))
         return out.select("node", *(f"p{i}" for i in range(k)), "own_n", F.lit(s).alias("own_w"), *((s * F.col(f"mass{n[2:]}")).alias(n) if n[0] == "t" else F.col(n) for n in names))
-    # Nodes of one kind (label history, connection group) have the same sigma to all of another
-    # kind: sums go over kinds, and edges with events, which are sure, are put right one by one.
+    # Sums over kinds of nodes, put right for the edges that are known better.
+    kinds, pairs, own = state.tables
+    ps = ", ".join(f"p{i}" for i in range(k))
+    by_kind = tau.join(kinds, "node").groupBy("cb", "gb").agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(k)))
+    base = pairs.join(by_kind, ["cb", "gb"]).groupBy("ca", "ga").agg(*(F.expr(f"sum({x} * p{i}) AS b{x}{i}") for i in range(k) for x in "oi"))
+    sums = neighbour_sums(state.ways, tau, k, total="more").withColumnRenamed("own_w", "own_more")
+    out = tau.join(own, "node").join(base, ["ca", "ga"]).join(sums, "node", "left").na.fill(0.0)
+    fixed = [f"b{d}{i} + t{d}{i} AS t{d}{i}" for i in range(k) for d in "oi"]
+    return out.selectExpr("node", *ps.split(", "), "own_n", "loop + own_more AS own_w", *(n for n in names if n[0] == "s"), *fixed)
+
+
+def _graph_tables(state: State, counts: DataFrame) -> None:
+    """What the sums of the graph mode need, until the edges' probabilities change.
+
+    Nodes of one kind (label history, connection group) have the same sigma to all of another
+    kind. Edges of which more is known have what their probability lies above that of their kinds."""
     kinds = state.kinds
-    with_kind = tau.join(kinds, "node")
-    by_kind = with_kind.groupBy("c", "g").agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(k)))
     there = kinds.select(F.col("c").alias("ca"), F.col("g").alias("ga")).distinct()
-    pair = there.join(state.big, "ca").join(by_kind.select(F.col("c").alias("cb"), F.col("g").alias("gb"), *(f"p{i}" for i in range(k))), "cb")
+    others = there.toDF("cb", "gb")
     back = state.big.select(F.col("ca").alias("cb"), F.col("cb").alias("ca"), F.col("big").alias("back"))
-    pair = pair.join(back, ["ca", "cb"])
-    base = pair.groupBy("ca", "ga").agg(*(F.sum(_sigma(state, "ga", "gb", "big") * F.col(f"p{i}")).alias(f"bo{i}") for i in range(k)), *(F.sum(_sigma(state, "gb", "ga", "back") * F.col(f"p{i}")).alias(f"bi{i}") for i in range(k)))
+    pairs = there.join(state.big, "ca").join(others, "cb").join(back, ["ca", "cb"])
+    pairs = staged(pairs.select("ca", "ga", "cb", "gb", _sigma(state, "ga", "gb", "big").alias("o"), _sigma(state, "gb", "ga", "back").alias("i")))
     ends = {e: kinds.select(F.col("node").alias(e), F.col("c").alias(f"c{x}"), F.col("g").alias(f"g{x}")) for e, x in (("src", "a"), ("dst", "b"))}
-    pairs = state.seen.select("src", "dst", F.lit(True).alias("sure")).join(counts.select("src", "dst", "n"), ["src", "dst"], "full")
-    pairs = pairs.join(ends["src"], "src").join(ends["dst"], "dst").join(state.big, ["ca", "cb"])
-    was = _sigma(state, "ga", "gb", "big")
-    pairs = pairs.select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("sure"), 1.0).otherwise(was).alias("w"), was.alias("was"))
-    some = neighbour_sums(pairs, tau, k)
-    less = neighbour_sums(pairs.select("src", "dst", F.lit(0).alias("n"), F.col("was").alias("w")), tau, k)
-    less = less.select("node", F.col("own_w").alias("less_w"), *(F.col(f"t{d}{i}").alias(f"l{d}{i}") for i in range(k) for d in "oi"))
-    own = kinds.select("node", F.col("c").alias("ca"), F.col("g").alias("ga")).join(state.big.where("ca = cb").select("ca", "big"), "ca").select("node", "ca", "ga", _sigma(state, "ga", "ga", "big").alias("loop"))
-    out = tau.join(own, "node").join(base, ["ca", "ga"]).join(some, "node", "left").join(less, "node", "left").na.fill(0.0)
-    fixed = [(F.col(f"b{d}{i}") - F.col(f"l{d}{i}") + F.col(f"t{d}{i}")).alias(f"t{d}{i}") for i in range(k) for d in "oi"]
-    return out.select("node", *(f"p{i}" for i in range(k)), "own_n", (F.col("loop") - F.col("less_w") + F.col("own_w")).alias("own_w"), *(n for n in names if n[0] == "s"), *fixed)
+    known = state.seen.select("src", "dst", F.lit(True).alias("sure")).join(counts, ["src", "dst"], "full")
+    known = known.join(ends["src"], "src").join(ends["dst"], "dst").join(pairs.drop("i"), ["ca", "ga", "cb", "gb"])
+    w = F.when(F.col("sure"), 1.0).otherwise(F.col("o"))
+    state.ways = staged(both_ways(known.select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"), w.alias("w"), (w - F.col("o")).alias("more"))))
+    own = kinds.select("node", F.col("c").alias("ca"), F.col("g").alias("ga")).join(pairs.where("ca = cb and ga = gb").select("ca", "ga", F.col("o").alias("loop")), ["ca", "ga"])
+    state.tables = (staged(kinds.select("node", F.col("c").alias("cb"), F.col("g").alias("gb"))), pairs, staged(own))
 
 
 def _log_weight(state: State) -> np.ndarray:
@@ -155,13 +163,12 @@ def _sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
     # Parameters come as a row, not as literals, so that every interval runs the same generated code.
     numbers = {"w": _log_weight(state), "l": (psi(p["alpha"]) - np.log(p["beta"])).ravel(), "r": (p["alpha"] / p["beta"]).ravel()}
     row = F.broadcast(tau.sparkSession.createDataFrame([tuple(float(x) for v in numbers.values() for x in v)], ", ".join(f"{n}{i} double" for n, v in numbers.items() for i in range(len(v)))))
-    square = lambda n: [[F.col(f"{n}{i * k + j}") for j in range(k)] for i in range(k)]
+    square = lambda n: [[f"{n}{i * k + j}" for j in range(k)] for i in range(k)]
     for _ in range(state.options.n_sweeps):
         rows = _joined(state, tau, counts, k)
-        shares = tau.columns
-        scores = membership_scores(rows.select(*shares).crossJoin(row), rows.drop(*shares[1:]), [F.col(f"w{i}") for i in range(k)], square("l"), square("r"), state.options.delta, self_weight=state.options.mode == "graph")
-        tau = softmax(scores, k, ["node"])
-    return staged(tau)
+        scores = node_scores(rows.crossJoin(row), [f"w{i}" for i in range(k)], square("l"), square("r"), state.options.delta, self_weight=state.options.mode == "graph")
+        tau = staged(softmax(scores, k, ["node"]))  # the next sweep reads it more than once
+    return tau
 
 
 def _prime_sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
@@ -177,15 +184,15 @@ def _prime_sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
             own = F.col("own_w") * float(d1[a, a]) + (1 - F.col("own_w")) * float(d2[a, a])
             parts = [F.col(f"to{m}") * float(d1[a, m] - d2[a, m]) + F.col(f"ti{m}") * float(d1[m, a] - d2[m, a]) + F.col(f"mass{m}") * float(d2[a, m] + d2[m, a]) for m in range(k)]
             scores.append((float(weight[a]) + own + reduce(lambda x, y: x + y, parts) - F.col(f"p{a}") * 2 * own).alias(f"q{a}"))
-        tau = softmax(rows.select("node", *scores), k, ["node"])
-    return staged(tau)
+        tau = staged(softmax(rows.select("node", *scores), k, ["node"]))
+    return tau
 
 
 def _contract(rows: DataFrame, k: int, prefixes: tuple[str, ...]) -> dict[str, np.ndarray]:
     """One row to the driver: mass and, for each prefix, the k x k sums over nodes of p_i times the prefix's column m."""
-    sums = [F.sum(f"p{i}").alias(f"mass_{i}") for i in range(k)]
-    sums += [F.sum(F.col(f"p{i}") * F.col(f"{x}{m}")).alias(f"{x}_{i}_{m}") for x in prefixes for i in range(k) for m in range(k)]
-    row = rows.agg(*sums).first()
+    sums = [f"sum(p{i}) AS mass_{i}" for i in range(k)]
+    sums += [f"sum(p{i} * {x}{m}) AS {x}_{i}_{m}" for x in prefixes for i in range(k) for m in range(k)]
+    row = rows.agg(*map(F.expr, sums)).first()
     none = lambda v: 0.0 if v is None else float(v)
     out = {x: np.array([[none(row[f"{x}_{i}_{m}"]) for m in range(k)] for i in range(k)]) for x in prefixes}
     return out | {"mass": np.array([none(row[f"mass_{i}"]) for i in range(k)])}
@@ -197,8 +204,13 @@ def advance(state: State, counts: DataFrame) -> State:
     prior = {x: y.copy() for x, y in state.params.items()}
     new = State(state.tau, o, state.step + 1, {x: y.copy() for x, y in state.params.items()}, state.edges, state.tau_prime, state.kinds, state.big, state.seen, state.rate_log)
     counts = staged(counts.select("src", "dst", "n"))
+    if o.mode != "graph":
+        rows = counts if state.edges is None else state.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
+        new.ways = staged(both_ways(rows.withColumn("w", F.lit(1.0))))
     p = new.params
     for _ in range(o.n_cavi):
+        if o.mode == "graph" and new.kinds is not None:
+            _graph_tables(new, counts)
         new.tau = _sweeps(new, new.tau, counts)
         if o.mode == "graph":
             new.tau_prime = _prime_sweeps(new, new.tau_prime, counts)
@@ -226,6 +238,7 @@ def _update_graph(state: State, prior: dict, counts: DataFrame) -> None:
     p["eta"] = o.forget_rho * (prior["eta"] - 1) + got["to"] + 1
     p["zeta"] = o.forget_rho * (prior["zeta"] - 1) + np.outer(got["mass"], got["mass"]) - got["to"] + 1
     now = state.tau.select("node", best_group(o.k).alias("z")).join(state.tau_prime.select("node", best_group(kp).alias("g")), "node")
+    # Histories with the same expected counts could be one: they are as many as ways in which labels went.
     old = state.kinds.select("node", "c") if state.kinds is not None else state.tau.select("node", F.lit(0).alias("c"))
     now = staged(now.join(old, "node"))
     # Histories are numbered anew: there are as many as ways in which labels have gone.

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
@@ -93,28 +93,38 @@ def connection_update(sigma: DataFrame, groups: DataFrame, eta_0: float, zeta_0:
     need only hold pairs with sigma > 0: the others come from the pairs' number."""
     for end, name in (("src", "k"), ("dst", "m")):
         sigma = sigma.join(groups.select(F.col("node").alias(end), F.col("grp").alias(name)), end)
-    sums = sigma.groupBy("k", "m").agg(F.sum("sigma").alias("there"))
+    by = [c for c in ("step",) if c in sigma.columns]
+    sums = sigma.groupBy(*by, "k", "m").agg(F.sum("sigma").alias("there"))
     there = F.coalesce(F.col("there"), F.lit(0.0))
     out = block_pairs(groups).join(sums, ["k", "m"], "left")
-    return out.select("k", "m", (forget * (eta_0 - 1) + there + 1).alias("eta"), (forget * (zeta_0 - 1) + F.col("pairs") - there + 1).alias("zeta"))
+    return out.select(*by, "k", "m", (forget * (eta_0 - 1) + there + 1).alias("eta"), (forget * (zeta_0 - 1) + F.col("pairs") - there + 1).alias("zeta"))
 
 
-def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w") -> DataFrame:
+def both_ways(counts: DataFrame, weight: str = "w") -> DataFrame:
+    """(node, other, n, w, out): every edge (src, dst, n, w) as seen from either end."""
+    edges = counts.select("src", "dst", "n", F.col(weight).alias("w"), *(c for c in ("step", "more") if c in counts.columns))
+    more = edges.columns[2:]
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *more, F.lit(True).alias("out"))
+    return out.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *more, F.lit(False).alias("out")))
+
+
+def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w", by: tuple[str, ...] = ("node",), total: str = "w") -> DataFrame:
     """sums(node, own_n, own_w, so*, si*, to*, ti*): for every node, over its edges (src, dst, n, w):
     s: sum of w n tau_j, t: sum of w tau_j, o: over edges from it, i: over edges to it; own: its self-loop.
 
-    Both directions are one join on the other end and one aggregate."""
-    edges = counts.select("src", "dst", "n", F.col(weight).alias("w"))
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "n", "w", F.lit(True).alias("out"))
-    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "n", "w", F.lit(False).alias("out"))
-    both = out.union(into).join(tau.withColumnRenamed("node", "other"), "other")
-    own = (F.col("node") == F.col("other")) & F.col("out")
-    sums = [F.sum(F.when(own, F.col("n") * F.col("w")).otherwise(0.0)).alias("own_n"), F.sum(F.when(own, F.col("w")).otherwise(0.0)).alias("own_w")]
+    Both directions are one join on the other end and one aggregate. counts may also come from both_ways().
+    total: the column that own_w and t add up instead of w."""
+    ways = counts if "other" in counts.columns else both_ways(counts, weight)
+    both = ways.join(tau.withColumnRenamed("node", "other"), "other")
+    # As SQL text: a column built call by call costs more than the work on a small network.
+    sums = [f"sum(if({OWN_LOOP}, n * w, 0D)) AS own_n", f"sum(if({OWN_LOOP}, {total}, 0D)) AS own_w"]
     for i in range(k):
-        for name, way in (("o", F.col("out")), ("i", ~F.col("out"))):
-            p = F.when(way, F.col("w") * F.col(f"p{i}")).otherwise(0.0)
-            sums += [F.sum(p * F.col("n")).alias(f"s{name}{i}"), F.sum(p).alias(f"t{name}{i}")]
-    return both.groupBy("node").agg(*sums)
+        for name, way in (("o", "out"), ("i", "NOT out")):
+            sums += [f"sum(if({way}, w * p{i} * n, 0D)) AS s{name}{i}", f"sum(if({way}, {total} * p{i}, 0D)) AS t{name}{i}"]
+    return both.groupBy(*by).agg(*map(F.expr, sums))
+
+
+OWN_LOOP = "node = other AND out"
 
 
 def membership_scores(tau: DataFrame, sums: DataFrame, log_weight: list, log_rate: list[list], rate: list[list], delta: float, self_weight: bool = True) -> DataFrame:
@@ -122,25 +132,36 @@ def membership_scores(tau: DataFrame, sums: DataFrame, log_weight: list, log_rat
 
     score_k = log_weight_k + own (n L_kk - delta E_kk) + sum over m and other nodes j of
     tau_jm [n_ij L_km - delta E_km + n_ji L_mk - delta E_mk], where a node's own loop counts for
-    m other than k. Parameters are numbers, or columns of tau. self_weight: the own term is weighed by the self-loop's probability; else it
+    m other than k. Parameters are numbers, or names of columns of tau. self_weight: the own term is weighed by the self-loop's probability; else it
     counts as if it were there."""
+    by = [c for c in ("step", "node") if c in tau.columns and c in sums.columns]
+    scores = node_scores(tau.join(sums, by, "left").na.fill(0.0), log_weight, log_rate, rate, delta, self_weight)
+    return scores.select(*tau.columns, *(c for c in ("step",) if c in scores.columns and c not in tau.columns), *(f"q{i}" for i in range(len(log_weight))))
+
+
+def node_scores(joined: DataFrame, log_weight: list, log_rate: list[list], rate: list[list], delta: float, self_weight: bool = True) -> DataFrame:
+    """Adds the scores of membership_scores() to rows that hold a node's shares and sums."""
     k = len(log_weight)
-    joined = tau.join(sums, "node", "left").na.fill(0.0)
+    weight, logs, rates = ([_number(x) for x in v] for v in (log_weight, sum(log_rate, []), sum(rate, [])))
     scores = []
     for a in range(k):
-        own = F.col("own_n") * log_rate[a][a] - (F.col("own_w") if self_weight else F.lit(1.0)) * delta * rate[a][a]
-        loop = F.col(f"p{a}") * 2 * (F.col("own_n") * log_rate[a][a] - F.col("own_w") * delta * rate[a][a])
-        parts = [log_rate[a][m] * F.col(f"so{m}") + log_rate[m][a] * F.col(f"si{m}") - delta * (rate[a][m] * F.col(f"to{m}") + rate[m][a] * F.col(f"ti{m}")) for m in range(k)]
-        scores.append((F.lit(log_weight[a]) + own + reduce(lambda x, y: x + y, parts) - loop).alias(f"q{a}"))
-    return joined.select(*tau.columns, *scores)
+        own = f"own_n * {logs[a * k + a]} - {'own_w * ' if self_weight else ''}{_number(delta)} * {rates[a * k + a]}"
+        loop = f"p{a} * 2 * (own_n * {logs[a * k + a]} - own_w * {_number(delta)} * {rates[a * k + a]})"
+        parts = [f"{logs[a * k + m]} * so{m} + {logs[m * k + a]} * si{m} - {_number(delta)} * ({rates[a * k + m]} * to{m} + {rates[m * k + a]} * ti{m})" for m in range(k)]
+        scores.append(f"{weight[a]} + {own} + {' + '.join(parts)} - {loop} AS q{a}")
+    return joined.selectExpr("*", *scores)
+
+
+def _number(x: float | str) -> str:
+    """A parameter in SQL: the name of a column, or a double."""
+    return x if isinstance(x, str) else f"({float(x)!r}D)"
 
 
 def softmax(scores: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """p0 .. p{K-1} from q0 .. q{K-1}, each node for itself."""
-    top = F.greatest(*(F.col(f"q{i}") for i in range(k))) if k > 1 else F.col("q0")
-    shifted = [F.exp(F.col(f"q{i}") - top) for i in range(k)]
-    total = reduce(lambda x, y: x + y, shifted)
-    return scores.select(*keep, *((x / total).alias(f"p{i}") for i, x in enumerate(shifted)))
+    top = f"greatest({', '.join(f'q{i}' for i in range(k))})" if k > 1 else "q0"
+    shifted = scores.selectExpr(*keep, *(f"exp(q{i} - {top}) AS e{i}" for i in range(k)))
+    return shifted.selectExpr(*keep, *(f"e{i} / ({' + '.join(f'e{j}' for j in range(k))}) AS p{i}" for i in range(k)))
 
 
 def best_group(k: int, letter: str = "p") -> Column:
@@ -151,7 +172,3 @@ def best_group(k: int, letter: str = "p") -> Column:
 
 def uniform_tau(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("node", *(F.lit(1.0 / k).alias(f"p{i}") for i in range(k)))
-
-
-def rates_table(spark: SparkSession, alpha: list[list[float]], beta: list[list[float]]) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(alpha[i][j]), float(beta[i][j])) for i in range(len(alpha)) for j in range(len(alpha))], "k int, m int, alpha double, beta double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import DELTA, FLAGS, GROUPS, LOG_RATE, LOG_WEIGHT, RATE, SOFT, STEPS
+from .queries import DELTA, GROUPS, LOG_RATE, LOG_WEIGHT, RATE, SOFT, STEPS
 
 EVENTS = """ev AS (SELECT c_nationkey AS src, s_nationkey AS dst, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
@@ -39,9 +39,9 @@ def psi(x: str) -> str:
     return f"(ln{y} - 0.5::DOUBLE / {y} - 1 / (12.0::DOUBLE * {y}**2) + 1 / (120.0::DOUBLE * {y}**4) - 1 / (252.0::DOUBLE * {y}**6) + 1 / (240.0::DOUBLE * {y}**8) - 1 / (132.0::DOUBLE * {y}**10) - {series})"
 
 
-SIGMA = f"""sg AS (SELECT a.node AS src, b.node AS dst, a.grp AS k, b.grp AS m, CASE WHEN s.src IS NOT NULL THEN 1.0::DOUBLE ELSE
-  0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.25::DOUBLE) / (0.7::DOUBLE + 0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.25::DOUBLE)) END AS sigma
-  FROM grp a CROSS JOIN grp b LEFT JOIN (SELECT DISTINCT src, dst FROM cnt WHERE step < 1) s ON s.src = a.node AND s.dst = b.node)"""
+SIGMA = f"""sg AS (SELECT st.step, a.node AS src, b.node AS dst, a.grp AS k, b.grp AS m, CASE WHEN s.src IS NOT NULL THEN 1.0::DOUBLE ELSE
+  0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.125::DOUBLE * (st.step + 1)) / (0.7::DOUBLE + 0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.125::DOUBLE * (st.step + 1))) END AS sigma
+  FROM grp a CROSS JOIN grp b CROSS JOIN (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step) st LEFT JOIN (SELECT src, dst, min(step) AS first FROM cnt GROUP BY src, dst) s ON s.src = a.node AND s.dst = b.node AND s.first <= st.step)"""
 
 
 def _scores() -> str:
@@ -49,13 +49,13 @@ def _scores() -> str:
     rows = " UNION ALL ".join(f"SELECT {k} AS k, {m} AS m, {RATE[k][m]}::DOUBLE AS e, {LOG_RATE[k][m]}::DOUBLE AS l, {RATE[m][k]}::DOUBLE AS eb, {LOG_RATE[m][k]}::DOUBLE AS lb" for k in range(SOFT) for m in range(SOFT))
     weights = " ".join(f"WHEN {i} THEN {w}::DOUBLE" for i, w in enumerate(LOG_WEIGHT))
     share = "CASE m " + " ".join(f"WHEN {i} THEN b.p{i}" for i in range(SOFT)) + " END"
-    return f"""WITH {COUNTS}, {SOFT_TAU}, par AS ({rows}), c0 AS (SELECT * FROM cnt WHERE step = 0),
+    return f"""WITH {COUNTS}, {SOFT_TAU}, par AS ({rows}), st AS (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step),
     terms AS (
-      SELECT a.node, k, {share} * (coalesce(o.n, 0) * l - CASE WHEN o.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * e END + coalesce(i.n, 0) * lb - CASE WHEN i.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * eb END) AS x
-      FROM tau a CROSS JOIN tau b CROSS JOIN par LEFT JOIN c0 o ON o.src = a.node AND o.dst = b.node LEFT JOIN c0 i ON i.src = b.node AND i.dst = a.node
+      SELECT st.step, a.node, k, {share} * (coalesce(o.n, 0) * l - CASE WHEN o.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * e END + coalesce(i.n, 0) * lb - CASE WHEN i.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * eb END) AS x
+      FROM st CROSS JOIN tau a CROSS JOIN tau b CROSS JOIN par LEFT JOIN cnt o ON o.step = st.step AND o.src = a.node AND o.dst = b.node LEFT JOIN cnt i ON i.step = st.step AND i.src = b.node AND i.dst = a.node
       WHERE a.node <> b.node OR m <> k),
-    own AS (SELECT a.node, k, CASE k {weights} END + coalesce(n, 0) * l - {DELTA}::DOUBLE * e AS x FROM tau a CROSS JOIN par LEFT JOIN c0 ON src = a.node AND dst = a.node WHERE m = k),
-    sc AS (SELECT node, k, sum(x) AS q FROM (SELECT * FROM terms UNION ALL SELECT * FROM own) GROUP BY node, k)"""
+    own AS (SELECT st.step, a.node, k, CASE k {weights} END + coalesce(n, 0) * l - {DELTA}::DOUBLE * e AS x FROM st CROSS JOIN tau a CROSS JOIN par LEFT JOIN cnt ON cnt.step = st.step AND src = a.node AND dst = a.node WHERE m = k),
+    sc AS (SELECT step, node, k, sum(x) AS q FROM (SELECT * FROM terms UNION ALL SELECT * FROM own) GROUP BY step, node, k)"""
 
 
 TAU_STEPS = f"""his AS (SELECT step, g.node, {', '.join(f'(coalesce(n{i}, 0) + 1) / (coalesce(total, 0) + {GROUPS}.0::DOUBLE) AS p{i}' for i in range(GROUPS))}
@@ -95,11 +95,11 @@ SQL = {
     "stick_breaking_update": f"WITH {SOFT_TAU}, ma AS (" + " UNION ALL ".join(f"SELECT {i} AS grp, sum(p{i}) AS inside, {' + '.join(f'sum(p{j})' for j in range(i + 1, SOFT)) or '0.0::DOUBLE'} AS beyond FROM tau" for i in range(SOFT)) + f"""),
       po AS (SELECT grp, 0.7::DOUBLE * 0.5 + 0.9::DOUBLE * inside + 1 AS omega, 0.9::DOUBLE * beyond + 0.7::DOUBLE + 1 AS nu FROM ma)
       SELECT grp, {r6('omega')} AS omega, {r6('nu')} AS nu, {r6(f"{psi('omega')} - {psi('omega + nu')} + coalesce((SELECT sum({psi('b.nu')} - {psi('b.omega + b.nu')}) FROM po b WHERE b.grp < po.grp), 0)")} AS log_weight FROM po""",
-    "edge_sigma_posterior": f"WITH {COUNTS}, {GRP}, {SIGMA} SELECT src, dst, {r6('sigma')} AS sigma FROM sg",
-    "connection_beta_update": f"WITH {COUNTS}, {GRP}, {SIGMA} SELECT k, m, {r6('0.8::DOUBLE * 0.2 + sum(sigma) + 1')} AS eta, {r6('0.8::DOUBLE * 0.5 + sum(1 - sigma) + 1')} AS zeta FROM sg GROUP BY k, m",
-    "membership_scores": f"{_scores()} SELECT node, {', '.join(r6(f'max(q) FILTER (k = {i})') + f' AS q{i}' for i in range(SOFT))} FROM sc GROUP BY node",
-    "membership_softmax": f"{_scores()}, s2 AS (SELECT node, k, exp(q / 100 - max(q / 100) OVER (PARTITION BY node)) AS e FROM sc), s3 AS (SELECT node, k, e / sum(e) OVER (PARTITION BY node) AS p FROM s2) SELECT node, {', '.join(r6(f'max(p) FILTER (k = {i})') + f' AS p{i}' for i in range(SOFT))} FROM s3 GROUP BY node",
-    "membership_argmax": f"{_scores()} SELECT node, CAST(arg_max(k, {{'q': q, 'k': -k}}) AS INTEGER) AS grp FROM sc GROUP BY node",
+    "edge_sigma_posterior": f"WITH {COUNTS}, {GRP}, {SIGMA} SELECT step, src, dst, {r6('sigma')} AS sigma FROM sg",
+    "connection_beta_update": f"WITH {COUNTS}, {GRP}, {SIGMA} SELECT step, k, m, {r6('0.8::DOUBLE * 0.2 + sum(sigma) + 1')} AS eta, {r6('0.8::DOUBLE * 0.5 + sum(1 - sigma) + 1')} AS zeta FROM sg GROUP BY step, k, m",
+    "membership_scores": f"{_scores()} SELECT step, node, {', '.join(r6(f'max(q) FILTER (k = {i})') + f' AS q{i}' for i in range(SOFT))} FROM sc GROUP BY step, node",
+    "membership_softmax": f"{_scores()}, s2 AS (SELECT step, node, k, exp(q / 100 - max(q / 100) OVER (PARTITION BY step, node)) AS e FROM sc), s3 AS (SELECT step, node, k, e / sum(e) OVER (PARTITION BY step, node) AS p FROM s2) SELECT step, node, {', '.join(r6(f'max(p) FILTER (k = {i})') + f' AS p{i}' for i in range(SOFT))} FROM s3 GROUP BY step, node",
+    "membership_argmax": f"{_scores()} SELECT step, node, CAST(arg_max(k, {{'q': q, 'k': -k}}) AS INTEGER) AS grp FROM sc GROUP BY step, node",
     "gamma_kl_lag": f"""{BASE}, {rates(0.1)} SELECT a.step, CAST(a.step - b.step AS INTEGER) AS lag, a.k, a.m,
       {r6(f"b.alpha * ln(a.beta / b.beta) - lgamma(a.alpha) + lgamma(b.alpha) + (a.alpha - b.alpha) * {psi('a.alpha')} - (a.beta - b.beta) * a.alpha / a.beta")} AS kl
       FROM rates a JOIN rates b ON a.k = b.k AND a.m = b.m AND b.step IN (a.step - 1, a.step - 2)""",
@@ -107,7 +107,7 @@ SQL = {
       SELECT step, src, dst, {r6('median')} AS median, {r6('mad')} AS mad, {r6("CASE WHEN mad > 0 THEN abs(n - median) / mad END")} AS score FROM cnt JOIN s USING (src, dst)""",
     "js_divergence_lag": f"{HISTORY}, {JS_ROWS} SELECT step, lag, node, {r6('js')} AS js, moved FROM js",
     "js_flag": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
-      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(9, 28)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 8 AND lj.step < s.step GROUP BY s.step)
+      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(1, 28)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 8 AND lj.step < s.step GROUP BY s.step)
       SELECT step, node, CASE WHEN min({OFF}) < 1e300 THEN {r6(f'min({OFF})')} END AS low, bool_and(moved) AS moved, min({OFF}) > 0.4 AND bool_and(moved) AS flagged FROM lj JOIN st USING (step) GROUP BY step, node""",
     "group_changes": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
       st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(12, 27)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 6 AND lj.step < s.step GROUP BY s.step),
@@ -129,7 +129,8 @@ SQL = {
     "carried_labels": f"{HISTORY} SELECT step, node, last_value(CASE WHEN step = 0 OR (node + step) % 7 = 0 THEN grp END IGNORE NULLS) OVER (PARTITION BY node ORDER BY step) AS grp FROM lab",
     "truth_regions": """WITH c AS (SELECT o_custkey AS node, o_orderdate AS t, max(CAST(o_orderkey % 4 AS INTEGER)) AS grp FROM orders GROUP BY ALL), y AS (SELECT CAST(unnest(range(1995, 2003)) AS INTEGER) AS step)
       SELECT step, node, arg_max(grp, t) AS grp FROM c JOIN y ON t <= make_date(step, 1, 1) GROUP BY step, node""",
-    "ccd_dnf": f"""WITH f(run, t, k, m) AS (VALUES {', '.join(f'({a}, {b}::DOUBLE, {c}, {d})' for a, b, c, d in FLAGS)}), r AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS run),
+    "ccd_dnf": f"""WITH {COUNTS}, f AS (SELECT src AS run, step * 0.25::DOUBLE AS t, dst % 2 AS k, (dst // 2) % 2 AS m FROM (SELECT *, median(n) OVER (PARTITION BY src, dst) AS md FROM cnt) WHERE 2 * n >= 3 * md),
+      r AS (SELECT n_nationkey AS run FROM nation),
       h AS (SELECT run, count(*) AS n, max(CASE WHEN k = 0 AND m = 0 AND t > 3 AND t <= 3.6 THEN 1 ELSE 0 END) + max(CASE WHEN k = 0 AND m = 0 AND t > 3.6 THEN 1 ELSE 0 END) AS hits FROM f GROUP BY run)
       SELECT run, {r6('coalesce(hits / 2.0, 0)')} AS ccd, {r6('coalesce(hits / n, 0)')} AS dnf FROM r LEFT JOIN h USING (run)""",
     "param_grid": "SELECT row_number() OVER (ORDER BY forget, share) - 1 AS idx, * FROM (SELECT unnest([0.1, 0.5, 1.0]::DOUBLE[]) AS forget), (SELECT unnest([0.01, 0.25, 0.5, 0.95]::DOUBLE[]) AS share)",

@@ -14,7 +14,6 @@ from ..operators import evaluate as ev
 from ..operators import online as on
 from ..operators import posterior as po
 from ..operators import relabel as rl
-from ..operators import simulate as sm
 from ..sources import networks as nw
 
 DELTA, STEPS, GROUPS, SOFT = 90.0, 28, 5, 3
@@ -138,13 +137,12 @@ def stick_breaking_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sigma(spark: SparkSession, sf: str) -> DataFrame:
-    """Edge probabilities after the first year, of nation pairs (a table of 625): rates by region, rho = 0.3."""
+    """Edge probabilities after each step, of nation pairs (a table of 625 a step): rates by region, rho = 0.3."""
     nodes = _groups(spark, sf)
     pairs = nodes.select(F.col("node").alias("src"), F.col("grp").alias("k")).crossJoin(nodes.select(F.col("node").alias("dst"), F.col("grp").alias("m")))
-    seen = ct.first_seen(_counts(spark, sf)).where("first_step < 1").select("src", "dst", F.lit(True).alias("sure"))
-    expected = (1 + F.col("k") + 2 * F.col("m")) * 0.25
-    rows = pairs.join(seen, ["src", "dst"], "left")
-    return rows.select("src", "dst", F.when(F.col("sure"), 1.0).otherwise(po.edge_posterior(expected, F.lit(0.3))).alias("sigma"))
+    expected = (1 + F.col("k") + 2 * F.col("m")) * 0.125 * (F.col("step") + 1)
+    rows = pairs.join(ct.first_seen(_counts(spark, sf)), ["src", "dst"], "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    return rows.select("step", "src", "dst", F.when(F.col("first_step") <= F.col("step"), 1.0).otherwise(po.edge_posterior(expected, F.lit(0.3))).alias("sigma"))
 
 
 def edge_sigma_posterior(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,22 +160,24 @@ LOG_RATE = [[-3.93, -4.62, -4.21], [-4.44, -3.71, -4.53], [-4.29, -4.36, -3.84]]
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """One sweep in every interval, from the same shares."""
     tau = _soft(spark, sf)
-    counts = _counts(spark, sf).where("step = 0").withColumn("w", F.lit(1.0))
-    return po.membership_scores(tau, po.neighbour_sums(counts, tau, SOFT), LOG_WEIGHT, LOG_RATE, RATE, DELTA, self_weight=False)
+    sums = po.neighbour_sums(_counts(spark, sf).withColumn("w", F.lit(1.0)), tau, SOFT, by=("step", "node"))
+    every = tau.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    return po.membership_scores(every, sums, LOG_WEIGHT, LOG_RATE, RATE, DELTA, self_weight=False)
 
 
 def membership_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_scores(spark, sf).select("node", *(f"q{i}" for i in range(SOFT))), *(f"q{i}" for i in range(SOFT)))
+    return rounded(_scores(spark, sf).select("step", "node", *(f"q{i}" for i in range(SOFT))), *(f"q{i}" for i in range(SOFT)))
 
 
 def membership_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    tempered = _scores(spark, sf).select("node", *((F.col(f"q{i}") / 100).alias(f"q{i}") for i in range(SOFT)))
-    return rounded(po.softmax(tempered, SOFT, ["node"]), *(f"p{i}" for i in range(SOFT)))
+    tempered = _scores(spark, sf).select("step", "node", *((F.col(f"q{i}") / 100).alias(f"q{i}") for i in range(SOFT)))
+    return rounded(po.softmax(tempered, SOFT, ["step", "node"]), *(f"p{i}" for i in range(SOFT)))
 
 
 def membership_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf).select("node", po.best_group(SOFT, "q").alias("grp"))
+    return _scores(spark, sf).select("step", "node", po.best_group(SOFT, "q").alias("grp"))
 
 
 def gamma_kl_lag(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +212,7 @@ def js_divergence_lag(spark: SparkSession, sf: str) -> DataFrame:
 def js_flag(spark: SparkSession, sf: str) -> DataFrame:
     flags = cp.js_flags(cp.js_lags(_history(spark, sf), GROUPS, 2), 2, 10, 0.4)
     finite = F.when(F.col("low") < float("inf"), F.col("low"))
-    return rounded(flags.where("step between 9 and 27").withColumn("low", finite), "low")
+    return rounded(flags.where(F.col("step") < STEPS).withColumn("low", finite), "low")
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,14 +255,12 @@ def label_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return ev.best_alignment(last.join(truth, "node"), GROUPS)
 
 
-#: Flags of four runs, for the detection scores.
-FLAGS = [(0, 3.1, 0, 0), (0, 3.6, 0, 0), (0, 4.0, 1, 1), (1, 2.0, 0, 0), (1, 3.3, 0, 1), (3, 3.2, 0, 0), (3, 3.3, 0, 0), (3, 4.5, 0, 1)]
-
-
 def ccd_dnf(spark: SparkSession, sf: str) -> DataFrame:
-    flags = spark.createDataFrame(FLAGS, "run int, t double, k int, m int")
-    runs = spark.range(4).select(F.col("id").cast("int").alias("run"))
-    return rounded(ev.detection_scores(flags, runs, 3.0, 3.4, 0, 0), "ccd", "dnf")
+    """Detection scores of a plain detector: each nation's sales are a run, flagged where an edge has at least 1.5 times its median."""
+    counts = _counts(spark, sf)
+    flags = counts.join(counts.groupBy("src", "dst").agg(F.median("n").alias("median")), ["src", "dst"]).where("2 * n >= 3 * median")
+    flags = flags.select(F.col("src").alias("run"), (F.col("step") * 0.25).alias("t"), (F.col("dst") % 2).alias("k"), (F.floor(F.col("dst") / 2) % 2).cast("int").alias("m"))
+    return rounded(ev.detection_scores(flags, _groups(spark, sf).select(F.col("node").alias("run")), 3.0, 3.4, 0, 0), "ccd", "dnf")
 
 
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,20 +271,9 @@ def weekly_file_grid(spark: SparkSession, sf: str) -> DataFrame:
     return nw.weekly_files(spark)
 
 
-SCENARIO = sm.Scenario(60, 5.0, [(0, [[2.0, 1.0], [0.3, 8.0]]), (4.0, [[5.0, 1.0], [0.3, 8.0]])], [(0, [36, 24])], [(3.0, list(range(9)), None)], seed=7)
-
-
-def simulate_network(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.sample_network(spark, SCENARIO)[1]
-
-
-#: Days of an interval of the online queries; five cover the whole record.
-ONLINE_DELTA, ONLINE_STEPS = 500.0, 5
-
-
-def _online(spark: SparkSession, sf: str, **options) -> tuple[DataFrame, DataFrame, on.State]:
-    counts = ct.interval_counts(nw.trade_events(spark, sf), ONLINE_DELTA)
-    return on.run_online(counts, _groups(spark, sf).select("node"), on.Options(delta=ONLINE_DELTA, forget_rate=0.1, n_cavi=1, n_sweeps=2, **options), ONLINE_STEPS)
+def _online(spark: SparkSession, sf: str, delta: float = DELTA, steps: int = STEPS, **options) -> tuple[DataFrame, DataFrame, on.State]:
+    counts = ct.interval_counts(nw.trade_events(spark, sf), delta)
+    return on.run_online(counts, _groups(spark, sf).select("node"), on.Options(delta=delta, forget_rate=0.1, n_cavi=2, n_sweeps=3, **options), steps)
 
 
 def online_known_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,7 +285,8 @@ def online_infer_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def online_infer_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return on.edge_probabilities(_online(spark, sf, k=2, mode="graph", k_prime=2)[2])
+    """The whole record in seven intervals of 360 days: an interval has twelve sweeps and four tables of the graph."""
+    return on.edge_probabilities(_online(spark, sf, 360.0, 7, k=2, mode="graph", k_prime=2)[2])
 
 
 def group_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,5 +303,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
     week_bucket, haversine_pairs, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
-    churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, simulate_network, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
+    churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}

@@ -15,7 +15,6 @@ from eventweave.operators import evaluate as ev
 from eventweave.operators import online as on
 from eventweave.operators import posterior as po
 from eventweave.operators import relabel as rl
-from eventweave.operators import simulate as sm
 from eventweave.sources import networks as nw
 
 
@@ -143,6 +142,7 @@ def test_online_graph_sums(spark):
     for r in on.edge_probabilities(state).collect():
         sigma[r.src, r.dst] = r.sigma
     assert (sigma[counts > 0] == 1).all() and (sigma[counts == 0] < 1).all() and (sigma > 0).all()
+    on._graph_tables(state, rows)
     got = on._joined(state, frame(spark, tau), rows, 2).orderBy("node").collect()
     for m in range(2):
         assert [r[f"to{m}"] for r in got] == pytest.approx(sigma @ tau[:, m])
@@ -152,22 +152,109 @@ def test_online_graph_sums(spark):
     assert [r.own_n for r in got] == pytest.approx(np.diag(sigma * counts))
 
 
+def sampled(spark, rates, seed=3, nodes=40, first=24, end=2.0):
+    """Events of a network of two groups with those rates, and the nodes' groups."""
+    rng = np.random.default_rng(seed)
+    grp = [int(i >= first) for i in range(nodes)]
+    rows = [(i, j, float(t)) for i, j in product(range(nodes), repeat=2) for t in rng.random(rng.poisson(rates[grp[i]][grp[j]] * end)) * end]
+    return spark.createDataFrame(rows, "src int, dst int, t double"), spark.createDataFrame(list(enumerate(grp)), "node int, truth int")
+
+
 def recovered(spark, rates, mode="known", k=2):
-    s = sm.Scenario(40, 2.0, [(0, rates)], [(0, [24, 16])], seed=3)
-    _, events, labels = sm.sample_network(spark, s)
+    events, labels = sampled(spark, rates)
     counts = ct.interval_counts(events, 0.5)
-    nodes = labels.select("node").distinct()
-    tau, post, _ = on.run_online(counts, nodes, on.Options(k=k, delta=0.5, mode=mode, forget_rate=0.5, n_cavi=2, n_sweeps=2), 3)
-    rows = tau.select("step", "node", po.best_group(k).alias("found")).join(labels.select("node", F.col("grp").alias("truth")), "node")
+    tau, post, _ = on.run_online(counts, labels.select("node"), on.Options(k=k, delta=0.5, mode=mode, forget_rate=0.5, n_cavi=2, n_sweeps=2), 3)
+    rows = tau.select("step", "node", po.best_group(k).alias("found")).join(labels, "node")
     sums = tau.select("step", sum((F.col(f"p{i}") for i in range(1, k)), F.col("p0")).alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]
     assert sums < 1e-9 and post.where("alpha <= 0 or beta <= 0").isEmpty()
     return {r.step: r.ari for r in ev.adjusted_rand(rows, ["step"]).collect()}[3]
 
 
 def test_online_recovers_groups(spark):
-    assert recovered(spark, [[2.0, 1.0], [0.3, 8.0]]) > 0.95
+    strong = [[3.0, 0.8], [0.5, 6.0]]
+    assert recovered(spark, strong) > 0.95
     assert abs(recovered(spark, [[2.0, 2.0], [2.0, 2.0]])) < 0.4  # no structure to find
-    assert recovered(spark, [[2.0, 1.0], [0.3, 8.0]], "groups", 4) > 0.5
+    assert recovered(spark, [[2.5, 1.2], [0.4, 7.5]], "groups", 4) > 0.5
+
+
+def shares(table, k):
+    return np.array([[r[f"p{i}"] for i in range(k)] for r in table.orderBy("node").collect()])
+
+
+def softmax_rows(s):
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_online_number_of_groups_against_loops(spark):
+    """Two intervals of the groups mode in plain numpy: stick-breaking weights, their update, rates."""
+    psi, (n, k) = np.vectorize(digamma_of), (9, 3)
+    _, _, counts, _ = network(n, k, 11)
+    o = on.Options(k=k, delta=0.5, mode="groups", forget_rate=0.4, forget_u=0.9, forget_z=0.8, nu=1.7, n_cavi=2, n_sweeps=3)
+    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
+    rows = edges_of(spark, np.ones((n, n)), counts).where("n > 0").select("src", "dst", "n")
+    tau, p, full = shares(state.tau, k), {x: y.copy() for x, y in state.params.items()}, np.ones((n, n))
+    for _ in range(2):
+        state = on.advance(state, rows)
+        prior = {x: y.copy() for x, y in p.items()}
+        for _ in range(o.n_cavi):
+            for _ in range(o.n_sweeps):
+                weight = [o.forget_z * (psi(p["omega"][g]) - psi(p["omega"][g] + p["nu"][g]) + sum(psi(p["nu"][h]) - psi(p["omega"][h] + p["nu"][h]) for h in range(g))) for g in range(k)]
+                tau = softmax_rows(loop_scores(full, counts, tau, weight, (psi(p["alpha"]) - np.log(p["beta"])).tolist(), (p["alpha"] / p["beta"]).tolist(), o.delta, False))
+            mass = tau.sum(axis=0)
+            p["omega"] = o.forget_u * (prior["omega"] - 1) + o.forget_z * mass + 1
+            p["nu"] = np.array([o.forget_z * mass[g + 1 :].sum() + o.forget_u * (prior["nu"][g] - 1) + 1 for g in range(k)])
+            p["alpha"] = p["guard"] * (prior["alpha"] - 1) + tau.T @ counts @ tau + 1
+            p["beta"] = p["guard"] * prior["beta"] + o.delta * np.outer(mass, mass)
+            p["guard"] = np.where(np.outer(mass, mass) < 0.1, 1.0, o.forget_rate)
+    assert shares(state.tau, k) == pytest.approx(tau)
+    for x in ("alpha", "beta", "omega", "nu", "guard"):
+        assert state.params[x] == pytest.approx(p[x]), x
+
+
+def test_online_graph_against_loops(spark):
+    """Two intervals of the graph mode over the whole matrix of edge probabilities, which the operator never builds."""
+    psi, (n, k) = np.vectorize(digamma_of), (8, 2)
+    o = on.Options(k=k, delta=0.3, mode="graph", k_prime=2, forget_rate=0.5, forget_rho=0.9, sigma=0.4, n_cavi=2, n_sweeps=2)
+    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
+    start = shares(state.tau, k)
+    state.tau_prime = on.staged(frame(spark, start[:, ::-1]))  # equal shares would stay equal
+    tau, prime, p = start, start[:, ::-1], {x: y.copy() for x, y in state.params.items()}
+    sigma, big, seen = np.full((n, n), o.sigma), np.zeros((n, n)), np.zeros((n, n), bool)
+    for seed in (5, 6):
+        _, _, counts, _ = network(n, k, seed, 0.3)
+        state = on.advance(state, spark.createDataFrame([(int(i), int(j), int(counts[i, j])) for i, j in zip(*np.nonzero(counts), strict=True)], "src int, dst int, n long"))
+        prior = {x: y.copy() for x, y in p.items()}
+        for _ in range(o.n_cavi):
+            for _ in range(o.n_sweeps):
+                weight = psi(p["gamma"]) - digamma_of(p["gamma"].sum())
+                tau = softmax_rows(loop_scores(sigma, counts, tau, weight, (psi(p["alpha"]) - np.log(p["beta"])).tolist(), (p["alpha"] / p["beta"]).tolist(), o.delta, True))
+            there, gone = (psi(p[x]) - psi(p["eta"] + p["zeta"]) for x in ("eta", "zeta"))
+            for _ in range(o.n_sweeps):
+                s = np.zeros((n, k))
+                for i, g in product(range(n), range(k)):
+                    s[i, g] = psi(p["xi"][g]) - digamma_of(p["xi"].sum()) + sigma[i, i] * there[g, g] + (1 - sigma[i, i]) * gone[g, g]
+                    for j, m in product(range(n), range(k)):
+                        if j != i or m != g:
+                            s[i, g] += prime[j, m] * (sigma[i, j] * there[g, m] + (1 - sigma[i, j]) * gone[g, m] + sigma[j, i] * there[m, g] + (1 - sigma[j, i]) * gone[m, g])
+                prime = softmax_rows(s)
+            pairs = tau.T @ sigma @ tau
+            p["gamma"] = o.forget_pi * (prior["gamma"] - 1) + tau.sum(axis=0) + 1
+            p["alpha"] = p["guard"] * (prior["alpha"] - 1) + tau.T @ (sigma * counts) @ tau + 1
+            p["beta"] = p["guard"] * prior["beta"] + o.delta * pairs
+            p["guard"] = np.where(pairs < 0.1, 1.0, o.forget_rate)
+            p["xi"] = prior["xi"] + prime.sum(axis=0)
+            p["eta"] = o.forget_rho * (prior["eta"] - 1) + prime.T @ sigma @ prime + 1
+            p["zeta"] = o.forget_rho * (prior["zeta"] - 1) + prime.T @ (1 - sigma) @ prime + 1
+            z, g = tau.argmax(axis=1), prime.argmax(axis=1)
+            big = big + (p["alpha"] / p["beta"])[z][:, z]
+            rho = (p["eta"] / (p["eta"] + p["zeta"]))[g][:, g]
+            seen |= counts > 0
+            sigma = np.where(seen, 1.0, rho * np.exp(-o.delta * big) / (1 - rho + rho * np.exp(-o.delta * big)))
+    assert shares(state.tau, k) == pytest.approx(tau) and shares(state.tau_prime, k) == pytest.approx(prime)
+    for x in ("alpha", "beta", "gamma", "xi", "eta", "zeta", "guard"):
+        assert state.params[x] == pytest.approx(p[x]), x
+    assert {(r.src, r.dst): r.sigma for r in on.edge_probabilities(state).collect()} == pytest.approx({(i, j): sigma[i, j] for i, j in product(range(n), repeat=2)})
 
 
 def test_option_checks():
@@ -176,24 +263,6 @@ def test_option_checks():
             on.Options(**({"k": 2, "delta": 1.0} | bad))
 
 
-def test_simulator(spark):
-    s = sm.Scenario(30, 4.0, [(0, [[2.0, 0.5], [1.0, 6.0]]), (3.0, [[2.0, 0.5], [1.0, 1.0]])], [(0, [20, 10]), (2.0, [30, 0])], [(1.0, [0, 1, 2], None)], rho=[[0.9, 0.2], [0.1, 0.7]], sizes_prime=[15, 15], seed=4)
-    edges, events, labels = (x.collect() for x in sm.sample_network(spark, s))
-    assert sorted(events) == sorted(sm.sample_network(spark.newSession(), s)[1].repartition(3).collect())
-    by_region = {}
-    for r in labels:
-        by_region.setdefault(r.region, {})[r.node] = r.grp
-    assert [sum(v.values()) for _, v in sorted(by_region.items())] == [10, 13, 0, 0]
-    pairs = {(r.src, r.dst) for r in edges}
-    dense = sum(i < 15 and j < 15 for i, j in pairs) / 225
-    assert {(r.src, r.dst) for r in events} <= pairs and abs(dense - 0.9) < 0.08
-    expected = sum(s.rates[0][1][by_region[r][i]][by_region[r][j]] for r in range(4) for i, j in pairs if r < 3) + sum(s.rates[1][1][by_region[3][i]][by_region[3][j]] for i, j in pairs)
-    assert abs(len(events) - expected) < 5 * math.sqrt(expected)
-    for bad in ({"sizes": [(0, [1, 2])]}, {"rates": [(0, [[1.0]])]}, {"changes": [(9.0, [0], 1)]}, {"rho": [[0.5]], "sizes_prime": None}):
-        with pytest.raises(ValueError):
-            sm.Scenario(**({"nodes": 30, "end": 4.0, "rates": s.rates, "sizes": s.sizes} | bad))
-
-
 def test_rate_change_is_found(spark):
     rng = np.random.default_rng(8)
     a, b, rows = 1.0, 1.0, [(0, 0, 0, 1.0, 1.0)]
