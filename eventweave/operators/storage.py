@@ -39,6 +39,19 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if folder not in _marked:
         _marked.add(folder)
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        files, where = _files(spark, folder)
+        files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Deletes staged tables that no plan reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            files, where = _files(df.sparkSession, folder)
+            files.delete(where, True)
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
