@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.storage import shared_root, staged
+from ..operators.storage import shared_root, staged, unstaged
 
-__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "shared_root", "small_batches", "staged"]
+__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "shared_root", "small_batches", "staged", "unstaged"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,6 +50,19 @@ def one_of_repeats(df: DataFrame, *columns: str) -> DataFrame:
     return df.join(more, same, "left_anti").unionByName(df.join(more, same, "left_semi").dropDuplicates(list(columns)))
 
 
+def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:
+    """Rows whose id is in ids, and a few more: a filter before a join, so that it shuffles less of what it drops.
+
+    A bit for each hash; the bitmaps that are broadcast have at most bits / 8 bytes (8 MB), however many ids there are.
+    With far more ids than bits all rows pass, and the join does all the work."""
+    at = F.pmod(F.xxhash64(name), F.lit(bits)) + 1
+    maps = ids.select(at.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__map"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__bucket")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0).select(rows.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same on pure ASCII, several times faster."""
     pure = F.octet_length(text) == F.char_length(text)
