@@ -93,12 +93,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_counts import count_with_edits
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def with_edits(docs: DataFrame) -> DataFrame:
+    """docs with the edits of op10."""
     place = lambda i: F.pmod(F.xxhash64("doc_id", i, F.length("text")), F.coalesce(F.length("text"), F.lit(0)) + 1).cast("int")
     size = lambda i: F.pmod(F.xxhash64(i, "doc_id"), F.lit(40)).cast("int")
     insert = lambda i: F.element_at(F.array(*map(F.lit, INSERTS)), (F.pmod(F.xxhash64("doc_id", i), F.lit(len(INSERTS))) + 1).cast("int"))
     edits = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.struct(place(i).alias("at"), size(i).alias("delete"), insert(i).alias("insert")))
-    return count_with_edits(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.withColumn("edits", edits)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What may stand before a value in the same word: "tel:", "mailto:", "IP=".
+LABEL = re.compile(r"^[A-Za-z_-]+[:=]+")
 LOCAL, HOST = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 # The small labelled table. {e} e-mail, {i} address, {c} card, {p} phone; all else is O.
@@ -27,6 +28,7 @@ TEMPLATES = (
     "please write to {e} or call {p} today", "mail: {e}, phone: {p}.", "the server {i} is down", "from {i} to {i} in 25 days", "card {c} expires 12/27",
     "paid with {c} on 2024-01-05", "the price is 1,250.00 or 3.5 % of 1999", "in 1984 there were 120 of them, and 37 left", "see chapter 3.2 and page 417", "version 2.10.4 came in May",
     "no names here, only plain words and more of them", "{e}", "{p} {p}", "call {p}", "IP={i}", "order 4471 of 12 items at 9:30", "THE WORDS!! ARE LOUD!! AND LONG!!", "a### b$$$ c%%% d&&&", "at home, at work", "id 8831-A, room 12b, 1st floor", "words around {c} and words", "und der {e} ist da", "que la {p} de los", "dans le {i} et la", "sum 123456789 of 98765",
+    "tel:{p}", "mailto:{e}", "phone={p} or IP={i}", "order 4471-2281-9034 of 2024", "part 555-010 and 12-34-56", "build 10.2.33 and 1.2.3.4.5", "ref: 2024-11-05/0093",
 )
 VALUES = {
     "email": ("ann.lee@mail.example.com", "bob_7@example.org", "c.d+tag@sub.example.net", "info@example.co", "x@y.example"),
@@ -69,12 +71,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape(word: str) -> str:
     """Letters to a, digits to 0 (runs of digits with their length up to 5, the rest marked by +), signs kept, runs of letters and signs cut to one."""
-    word = word.rstrip(TRAILING)[:64]
+    word = word.rstrip(TRAILING)
     if word.isalpha():
         return "a"
     word = re.sub(r"[^\W\d_]+", "a", word)
     word = re.sub(r"\d+", lambda m: "0" * min(len(m[0]), 5) + "+" * (len(m[0]) > 11), word)
-    return re.sub(r"([^\w+])\1+", r"\1", word)[:24]
+    return re.sub(r"([^\w+])\1+", r"\1", word)
 
 
 def features(s: str) -> list[str]:
@@ -179,14 +181,17 @@ class Shapes(dict):
 
     def __missing__(self, word: str) -> int:
         s = shape(word)
-        if s not in self.of_shape:
-            k = self.of_shape[s] = len(self.of_shape)
+        known = tuple(self.crf.names.get(f) for f in features(s)) if s != "a" else "a"  # all that counts of a shape, however long
+        if known not in self.of_shape:
+            k = self.of_shape[known] = len(self.of_shape)
             if k >= len(self.emissions):
                 self.emissions = np.concatenate([self.emissions, np.zeros_like(self.emissions)])
             self.emissions[k] = self.crf.emission(s)
         if len(self) >= 500_000:
             self.clear()
-        self[word] = n = self.of_shape[s]
+        n = self.of_shape[known]
+        if len(word) <= 256:
+            self[word] = n
         return n
 
     def decode(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -262,7 +267,7 @@ def crf_spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
             joined = lambda j: words.texts[k][s : int(words.end[found[j]] - words.at[k])].strip(EDGES)  # noqa: B023, E731
             while kind in ("phone", "card") and j + 1 < len(found) and found[j + 1] == found[j] + 1 and of_line[j + 1] == of_line[j] and labels[found[j + 1]] == labels[found[j]] and sum(map(str.isdigit, joined(j + 1))) <= (15 if kind == "phone" else 19):
                 j += 1
-            core = joined(j)
+            core = LABEL.sub("", joined(j))
             s = words.texts[k].index(core, s)
             new[k].append((s, s + len(core), kind))
             i = j + 1
@@ -273,6 +278,8 @@ def crf_spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
 def plausible(kind: str, found: str) -> bool:
     """An added span must look like its kind: the method widens the patterns, it doesn't guess at plain words."""
     digits = sum(c.isdigit() for c in found)
+    if kind == "card" and not luhn(re.sub(r"[^0-9]", "", found)):
+        return False
     return {"email": "@" in found[1:-1], "ip": digits >= 4 and found.count(".") == 3, "card": 12 <= digits <= 19, "phone": 9 <= digits <= 15}[kind] and not (kind != "email" and any(c.isalpha() for c in found))
 
 
@@ -281,7 +288,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     base: the fixed patterns. added: spans of the CRF that overlap no base span. Null text counts
     as empty; repeated rows and null ids are treated like others, each row for itself; other
-    columns don't matter; an empty table gives an empty result. The whole text is read."""
+    columns don't matter; an empty table gives an empty result. The whole text is read, words of any length too. Spans that begin
+    together go in the order of KINDS; of an added span, a label before the value ("tel:") is left out, and cards must pass Luhn."""
     spans = "array<struct<kind:string,start:int,end:int>>"
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
@@ -300,11 +308,3 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bases, arrow), pa.array(news, arrow)], names=[id_col, "base", "added"])
 
     return rows.mapInArrow(run, schema)
-
-
-def span_text(base: list, kinds: tuple[str, ...] = KINDS) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(base, key=lambda x: (x[0], kinds.index(x[2]))))
-
-
-def base_digest(text: str) -> str:
-    return hashlib.sha256(span_text(base_spans(text)).encode()).hexdigest()

@@ -44,25 +44,31 @@ def counter(path: str, pattern: str) -> Counter:
 class TokenTree:
     """Sums of characters and tokens over the pre-tokens of a text, kept as the text is edited.
 
-    A leaf is a pre-token, or after an edit the stretch that was encoded anew. Splitting goes from
+    A leaf is a pre-token, or after an edit a few of them. Splitting goes from
     left to right, and where a pre-token ends depends on the white space and the one character
     behind it. So an edit is encoded anew from two leaves (and any of white space) before it to
-    the first later place where a new boundary falls on an old one; the rest stays as it is."""
+    the first later place where a new boundary falls on an old one; the rest stays as it is. The new
+    pre-tokens go to the leaves of the old ones; where a leaf would get more than CROWD, the tree is laid out anew, without encoding."""
+
+    CROWD = 8
 
     def __init__(self, text: str, counts: Counter) -> None:
-        self.text, self.counts, self.encoded = text, counts, 0
+        self.counts, self.encoded = counts, 0
         pieces = counts.split(text)
-        self.n = len(pieces)
+        self._lay(text, pieces, np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)))
+
+    def _lay(self, text: str, pieces: list[str], tokens: np.ndarray) -> None:
+        self.text, self.n = text, len(pieces)
         self.size = 1 << max(0, (self.n - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), np.int64)
         self.sums[self.size : self.size + self.n, 0] = np.fromiter(map(len, pieces), np.int64, self.n)
-        self.sums[self.size : self.size + self.n, 1] = np.fromiter(map(counts.__getitem__, pieces), np.int64, self.n)
+        self.sums[self.size : self.size + self.n, 1] = tokens
         width = self.size
         while width > 1:
             self.sums[width // 2 : width] = self.sums[width : 2 * width : 2] + self.sums[width + 1 : 2 * width : 2]
             width //= 2
         self.start = np.concatenate([[0], np.cumsum(self.sums[self.size : self.size + self.n, 0])])
-        self.anew: dict[int, str] = {}
+        self.anew: dict[int, list[str]] = {}
 
     @property
     def tokens(self) -> int:
@@ -73,7 +79,7 @@ class TokenTree:
         return int(self.sums[1, 0])
 
     def leaf_text(self, i: int) -> str:
-        return self.anew[i] if i in self.anew else self.text[self.start[i] : self.start[i + 1]]
+        return "".join(self.anew[i]) if i in self.anew else self.text[self.start[i] : self.start[i + 1]]
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character at, and where the leaf starts."""
@@ -85,21 +91,28 @@ class TokenTree:
                 k += 1
         return k - self.size, before
 
-    def put(self, i: int, text: str, tokens: int) -> None:
-        self.anew[i] = text
+    def put(self, i: int, pieces: list[str]) -> None:
+        self.anew[i] = pieces
         k = i + self.size
-        change = np.array([len(text), tokens]) - self.sums[k]
-        while k:
+        change = np.array([sum(map(len, pieces)), sum(map(self.counts.__getitem__, pieces))]) - self.sums[k]
+        while k and change.any():
             self.sums[k] += change
             k //= 2
 
+    def lay_anew(self) -> None:
+        pieces: list[str] = []
+        for i in range(self.n):
+            pieces += self.anew[i] if i in self.anew else [self.text[self.start[i] : self.start[i + 1]]]
+        self._lay("".join(pieces), pieces, np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces)))
+
     def edit(self, at: int, delete: int, insert: str) -> None:
         """Replaces delete characters from at on; both are cut to the text as it is."""
         at = min(max(at, 0), self.chars)
         delete = min(max(delete, 0), self.chars - at)
         if not self.n:
+            encoded = self.encoded + len(insert)
             self.__init__(insert, self.counts)
-            self.encoded += len(insert)
+            self.encoded = encoded
             return
         first, start = self.find(at) if at < self.chars else (self.n, self.chars)
         back = 0
@@ -123,13 +136,12 @@ class TokenTree:
             text = text[: at - start] + insert + text[at - start + delete :]
             pieces = self.counts.split(text)
             shift, new_end = len(insert) - delete, at - start + len(insert)
-            known, place, tokens, found = dict(ends), 0, 0, None
+            known, place, found = dict(ends), 0, None
             trusted = len(pieces) if stop >= self.n else len(pieces) - 4
             for k, piece in enumerate(pieces):
                 if k >= trusted:
                     break
                 place += len(piece)
-                tokens += self.counts[piece]
                 if place >= new_end and place - shift in known and (stop >= self.n or any(not x.isspace() for x in pieces[k + 1 :])):
                     found = known[place - shift]
                     break
@@ -138,12 +150,13 @@ class TokenTree:
             more = 2 * len(pieces)
         self.encoded += len(text)
         if found is None:  # to the end of the text
-            found, place, tokens = self.n, len(text), sum(map(self.counts.__getitem__, pieces))
-        first = min(first, self.n - 1)
-        self.put(first, text[:place], tokens)
-        for i in range(first + 1, found):
-            if self.sums[self.size + i].any():
-                self.put(i, "", 0)
+            found, k = self.n, len(pieces) - 1
+        first, pieces = min(first, self.n - 1), pieces[: k + 1] if pieces else []
+        each = -(-len(pieces) // (found - first)) or 1
+        for j, i in enumerate(range(first, found)):
+            self.put(i, pieces[j * each : (j + 1) * each])
+        if each > self.CROWD:
+            self.lay_anew()
 
 
 def count_with_edits(docs: DataFrame, tokenizer_path: str, pattern: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from eventweave.llm.exact_dedup import exact_dedup
 from eventweave.llm.mixing import mix_sources, target_sizes
 from eventweave.llm.ngram_join import choose_bands, ngram_join
 from eventweave.llm.packing import pack, plan_bins
-from eventweave.llm.pii_crf import CARD, KINDS, PHONE, base_digest, base_spans, crf_spans, luhn
+from eventweave.llm.pii_crf import CARD, KINDS, PHONE, base_spans, crf_spans, luhn, plausible
 from eventweave.llm.substring import chain, shared_passages
 from eventweave.llm.token_counts import TokenTree, counter
 from eventweave.llm.topk import dual_search
@@ -252,7 +252,7 @@ def test_pii_query(spark, documents):
         kinds = Counter(k for *_, k in base)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in KINDS)
         joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
-        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() == base_digest(text)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert {*joined.split(",")} - {""} <= {*r.spans.split(",")}
 
 
@@ -263,6 +263,40 @@ def test_crf_finds_unseen_values():
     assert crf_spans(["no personal data in this, only 3 words and 1984 or 2.5 % of it", "", "\n\n"]) == [[], [], []]
 
 
+def test_added_spans_on_held_out_lines():
+    """Precision and recall by kind, base and CRF together, on forms and sentences that the labelled table doesn't hold."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    name = lambda: "".join(rng.choice("bcdfgmnrst") + rng.choice("aeiou") for _ in range(3))
+
+    def card(sep):
+        body = "4" + digits(14)
+        number = next(body + str(d) for d in range(10) if luhn(body + str(d)))
+        return sep.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    value = {"email": lambda: f"{name()}.{name()}@{name()}.example.org", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "card": lambda: card(rng.choice(["", " ", "-"])), "phone": lambda: rng.choice([f"+49 {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])}
+    lines = ["reach us under {} any time", "{}", "the note said: {}, nothing else", "contact={}", "old value {} was kept"]
+    clean = ["invoice 20{d} came on 12-0{d}-2021 with 1{d} items", "version 3.{d}.1 of chapter {d}", "id {d}{d}{d}{d}{d}{d}{d} is not a number to call", "4111111111111{d}{d}{d} of no card"]
+    hit, told, real = Counter(), Counter(), Counter()
+    for trial in range(400):
+        kind = KINDS[trial % 4]
+        v = value[kind]()
+        text = rng.choice(lines).format(v) if trial % 5 else rng.choice(clean).replace("{d}", str(rng.randrange(1, 9)))
+        want = {(text.index(v), text.index(v) + len(v), kind)} if trial % 5 else set()
+        if not want and "4111" in text and luhn(re.findall("[0-9]{16}", text)[0]):
+            continue
+        base = base_spans(text)
+        found = {*base, *((s, e, k) for s, e, k in crf_spans([text])[0] if plausible(k, text[s:e]) and not any(s < y and x < e for x, y, _ in base))}
+        for s in want:
+            real[s[2]] += 1
+        for s in found:
+            told[s[2]] += 1
+            hit[s[2]] += s in want
+    print({k: (round(hit[k] / max(1, told[k]), 2), round(hit[k] / real[k], 2)) for k in KINDS})
+    for k in KINDS:
+        assert hit[k] >= 0.9 * told[k] and hit[k] >= 0.85 * real[k], (k, hit[k], told[k], real[k])
+
+
 def test_chains():
     rng = np.random.default_rng(3)
     for _ in range(100):
@@ -396,11 +430,35 @@ def test_token_tree():
             assert tree.tokens == len(counts.encoding.encode_ordinary(now)) and tree.chars == len(now)
 
 
+def test_token_tree_with_many_edits_at_one_place():
+    """What an edit encodes doesn't grow with the edits before it."""
+    counts, rng = counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(8)
+    now = " ".join(f"word{i}" for i in range(5000))
+    tree, spent = TokenTree(now, counts), []
+    for i in range(1000):
+        new = rng.choice(["a", " ", "1", ".", "\n", "b"])
+        before = tree.encoded
+        tree.edit(20000, 0, new)
+        now = now[:20000] + new + now[20000:]
+        spent.append(tree.encoded - before)
+        if i % 100 == 99:
+            assert tree.tokens == len(counts.encoding.encode_ordinary(now)) and tree.chars == len(now)
+    assert max(spent) < 2000 and sum(spent[-100:]) < 3 * sum(spent[100:200]) + 10000
+
+
 def test_token_counts_query(spark, documents):
     counts = counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rows = entry.op10_token_counts(spark, SF).collect()
     assert {r.doc_id: r.tokens for r in rows} == {i: len(counts.encoding.encode_ordinary(d.text or "")) for i, d in documents.items()}
     assert sum(r.chars_encoded for r in rows) < 0.7 * sum(r.chars_after * r.n_edits for r in rows)
+    # The query's own edits, applied to whole texts and encoded as a whole.
+    edited = entry.with_edits(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).collect()
+    after = {r.doc_id: (r.tokens_after, r.chars_after) for r in rows}
+    for r in edited:
+        text = r.text or ""
+        for e in r.edits:
+            text = text[: e["at"]] + e["insert"] + text[e["at"] + e["delete"] :]
+        assert after[r.doc_id] == (len(counts.encoding.encode_ordinary(text)), len(text))
 
 
 def test_pipeline(spark, documents):
