@@ -86,3 +86,9 @@ def test_topk_edges(spark):
     assert top_k(table.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     big = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e3, 1.0])], "vec_id long, embedding array<double>")
     assert top_k(big, F.col("vec_id") == 0).first().score == 1024 * 10**9 * 1024 * 1000 + 1024 * 1024
+    # Neighbouring scores beyond 2**53: 2**20 times 2**40 + 1, 2**40 and 2**40 + 2, and beyond a long.
+    odd = [(0, [1024.0, 0.0]), (5, [2.0**30 + 2**-10, 0.0]), (6, [2.0**30, 0.0]), (7, [2.0**30 + 2**-9, 0.0]), (8, [2.0**42, 0.0]), (9, [2.0**41, 0.0])]
+    out = top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(8, 2**63 - 1), (9, 2**63 - 1), (7, 2**20 * (2**40 + 2)), (5, 2**20 * (2**40 + 1)), (6, 2**60)]
+    empty = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(empty, F.col("vec_id") == 0).collect()] == [(1, 0)]

@@ -22,7 +22,7 @@ from eventweave.llm.packing import pack, plan_bins
 from eventweave.llm.pii_crf import CARD, KINDS, PHONE, base_spans, crf_spans, luhn, plausible
 from eventweave.llm.substring import chain, shared_passages
 from eventweave.llm.token_counts import TokenTree, counter
-from eventweave.llm.topk import dual_search
+from eventweave.llm.topk import CoverTree, dual_search, top_k
 
 SF = "/root/testdata/sf0.001"
 
@@ -168,13 +168,65 @@ def test_topk_against_brute_force(spark):
     for n, m, d, spread in ((700, 40, 8, 30), (900, 130, 3, 3), (5, 3, 4, 10), (2000, 10, 16, 1000)):
         x, q = rng.integers(-spread, spread, (n, d)), rng.integers(-spread, spread, (m, d))
         ids, qids = rng.permutation(n), np.arange(m)
-        scores, found = dual_search(q, qids, x, ids, 10)
+        scores, found, _ = dual_search(q, qids, x, ids, 10)
         s = q @ x.T
         s[qids[:, None] == ids] = -(10**12)
         order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : min(10, n - 1)]
         assert (found[:, : order.shape[1]] == ids[order]).all() and (scores[:, : order.shape[1]] == np.take_along_axis(s, order, 1)).all()
 
 
+def clustered(rng, n, d, clusters, spread=10):
+    return rng.integers(-1000, 1000, (clusters, d))[rng.integers(0, clusters, n)] + rng.integers(-spread, spread, (n, d))
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(5)
+    for x in (clustered(rng, 2000, 16, 50), rng.integers(-9, 9, (1500, 3)), rng.normal(0, 100, (800, 64)).round(), np.zeros((300, 4)), np.zeros((5, 0))):
+        x = x.astype(float)
+        tree = CoverTree(x, 16)
+        assert sorted(tree.order) == list(range(len(x)))
+        for lo, hi, centre, radius, longest, children in tree.nodes:
+            own = x[tree.order[lo:hi]]
+            assert np.sqrt(((own - centre) ** 2).sum(axis=1)).max() <= radius and (own == centre).all(axis=1).any()
+            assert np.sqrt((own**2).sum(axis=1)).max() <= longest
+            if children:
+                below = [tree.nodes[c] for c in children]
+                heads = np.stack([c[2] for c in below])
+                assert [c[0] for c in below[1:]] == [c[1] for c in below[:-1]] and (below[0][0], below[-1][1]) == (lo, hi)
+                assert (heads == centre).all(axis=1).any() and max(c[3] for c in below) <= tree.SHRINK * radius
+                apart = np.sqrt(((heads[:, None] - heads[None]) ** 2).sum(axis=2))
+                assert (apart[~np.eye(len(heads), dtype=bool)] > tree.SHRINK * radius).all()
+
+
+def test_topk_prunes_clusters_and_keeps_thresholds():
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 4000, 16, 80)
+    q, qids, ids = x[::20], np.arange(0, 4000, 20), np.arange(4000)
+    scores, found, pairs = dual_search(q, qids, x, ids, 10)
+    s = q @ x.T
+    s[np.arange(len(q)), qids] = -(10**12)
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :10]
+    assert (found == ids[order]).all() and (scores == np.take_along_axis(s, order, 1)).all()
+    assert pairs < 0.2 * len(q) * len(x)
+    again, same, fewer = dual_search(q, qids, x, ids, 10, scores[:, -1])
+    assert (same == found).all() and (again == scores).all() and fewer <= pairs
+
+
+def test_topk_over_cells(spark):
+    rng = np.random.default_rng(7)
+    far = rng.integers(-3, 4, (150, 5)) * 2.0**30
+    for x in (clustered(rng, 1500, 8, 20).astype(float), rng.normal(0, 1, (900, 6)), np.repeat(rng.normal(0, 1, (3, 4)), 200, axis=0), far):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(table, F.col("vec_id") % 50 == 0, shard_rows=60, query_rows=3, most_cells=9).collect()}
+        w = [[int(np.floor(1024 * c)) for c in v] for v in x]
+        want = {}
+        for a in range(0, len(x), 50):
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(s * t for s, t in zip(w[a], w[b], strict=True)))), b) for b in range(len(x)) if b != a]
+            want |= {(a, i + 1): (b, -s) for i, (s, b) in enumerate(sorted(scores)[:10])}
+        assert got == want
+
+
 def brute_links(texts, n=5, similarity=0.8):
     sets = {}
     for i, t in texts.items():
