@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,47 +56,37 @@ def js_term(p: Column, q: Column) -> Column:
     return guard(a * F.log(2 * a / (a + b)), p) + guard(b * F.log(2 * b / (a + b)), q)
 
 
-def gamma_quantile(shape: float, p: float) -> float:
-    """Quantile of Gamma(shape, 1): Newton steps, kept inside a bracket, on the regularised incomplete gamma function."""
-    if not (shape > 0 and 0 < p < 1):
-        return math.nan
-    lo, hi = 0.0, shape + 40 * math.sqrt(shape) + 60
-    x = max(shape * (1 - 1 / (9 * shape)) ** 3, 1e-3) if shape > 0.2 else p ** (1 / shape)
+def gamma_mass(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(shape, x), the regularised lower incomplete gamma function, by its series of positive terms."""
+    scale = np.exp(shape * np.log(x) - x - np.array([math.lgamma(a) for a in shape]))
+    term = 1 / shape
+    total, n = term.copy(), 0
+    while (term > 1e-17 * total).any():
+        n += 1
+        term = term * x / (shape + n)
+        total += term
+    return total * scale
+
+
+def gamma_quantile(shape: np.ndarray, p: float) -> np.ndarray:
+    """Quantiles of Gamma(shape, 1), NaN where shape isn't above 0: Newton steps, kept inside brackets, on all rows at once."""
+    shape = np.asarray(shape, float)
+    out, fine = np.full(shape.shape, np.nan), np.isfinite(shape) & (shape > 0)
+    if not 0 < p < 1 or not fine.any():
+        return out
+    a = shape[fine]
+    lo, hi, norm = np.zeros(len(a)), a + 40 * np.sqrt(a) + 60, np.array([math.lgamma(v) for v in a])
+    x = np.where(a > 0.2, np.maximum(a * (1 - 1 / (9 * a)) ** 3, 1e-3), p ** (1 / a))
+    x = np.clip(x, 1e-300, hi)
     for _ in range(200):
-        f = _regularised(shape, x) - p
-        lo, hi = (x, hi) if f < 0 else (lo, x)
-        slope = math.exp((shape - 1) * math.log(x) - x - math.lgamma(shape)) if x > 0 else 0
-        step = x - f / slope if slope > 0 else -1
-        new = step if lo < step < hi else (lo + hi) / 2
-        if abs(new - x) <= 1e-13 * max(new, 1e-300):
-            return new
-        x = new
-    return x
-
-
-def _regularised(a: float, x: float) -> float:
-    """P(a, x): its series below a + 1, a continued fraction above."""
-    if x <= 0:
-        return 0.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > 1e-16 * abs(total):
-            n += 1
-            term *= x / n
-            total += term
-        return total * scale
-    tiny = 1e-300
-    b, c = x + 1 - a, 1 / tiny
-    d = 1 / (b or tiny)
-    h = d
-    for i in range(1, 10_000):
-        step = -i * (i - a)
-        b += 2
-        d = 1 / ((step * d + b) or tiny)
-        c = (b + step / c) or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        f = gamma_mass(a, x) - p
+        lo, hi = np.where(f < 0, x, lo), np.where(f < 0, hi, x)
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            new = x - f / np.exp((a - 1) * np.log(x) - x - norm)
+        new = np.where((new > lo) & (new < hi), new, (lo + hi) / 2)
+        done = np.abs(new - x) <= 1e-13 * np.maximum(new, 1e-300)
+        x = np.maximum(new, 1e-300)
+        if done.all():
             break
-    return 1 - scale * h
+    out[fine] = x
+    return out

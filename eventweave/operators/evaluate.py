@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,13 +69,48 @@ def align_two(rates: DataFrame, at_step: int = 5) -> DataFrame:
     return joined.drop("top")
 
 
+def _most_agreement(table: np.ndarray) -> int:
+    """The greatest sum of one cell a row and column of a square table, by the Hungarian method."""
+    size = len(table)
+    cost, rows, columns = table.max(initial=0) - table, np.zeros(size + 1), np.zeros(size + 1)
+    held = np.zeros(size + 1, int)  # the row (from 1) of each column (from 1); column 0 is where a row comes in
+    for row in range(1, size + 1):
+        held[0], at, slack, seen, way = row, 0, np.full(size + 1, np.inf), np.zeros(size + 1, bool), np.zeros(size + 1, int)
+        while held[at]:
+            seen[at] = True
+            open_ = ~seen
+            open_[0] = False
+            now = np.append(np.inf, cost[held[at] - 1]) - rows[held[at]] - columns
+            better = open_ & (now < slack)
+            slack[better], way[better] = now[better], at
+            to = int(np.where(open_, slack, np.inf).argmin())
+            least = slack[to]
+            rows[held[seen]] += least
+            columns[seen] -= least
+            slack[open_] -= least
+            at = to
+        while at:
+            held[at], at = held[way[at]], way[at]
+    return int(sum(table[held[c] - 1, c - 1] for c in range(1, size + 1)))
+
+
 def best_alignment(labels: DataFrame, k: int) -> DataFrame:
-    """mapping(found, truth): the renaming of up to 7 groups that agrees most, chosen from all permutations on the k x k contingency table."""
-    if k > 7:
-        raise ValueError("alignment tries all permutations: at most 7 groups")
-    table = {(r["found"], r["truth"]): r["count"] for r in labels.groupBy("found", "truth").count().collect()}
-    best = max(permutations(range(k)), key=lambda p: (sum(table.get((i, t), 0) for i, t in enumerate(p)), tuple(-x for x in p)))
-    return labels.sparkSession.createDataFrame(list(enumerate(best)), "found int, truth int")
+    """mapping(found, truth): the renaming of groups that agrees most, from the k x k contingency table; of equals, the first in order.
+
+    Groups are fixed one after another, each to the least label with which the best agreement can still be had."""
+    table = np.zeros((k, k), np.int64)
+    for r in labels.where(F.col("found").between(0, k - 1) & F.col("truth").between(0, k - 1)).groupBy("found", "truth").count().collect():
+        table[r["found"], r["truth"]] = r["count"]
+    best, left, chosen = _most_agreement(table), list(range(k)), []
+    for i in range(k):
+        for t in left:
+            others = [u for u in left if u != t]
+            if table[i, t] + _most_agreement(table[i + 1 :][:, others]) == best:
+                break
+        best -= int(table[i, t])
+        left.remove(t)
+        chosen.append((i, t))
+    return labels.sparkSession.createDataFrame(chosen, "found int, truth int")
 
 
 def rate_envelope(rates: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -84,7 +118,7 @@ def rate_envelope(rates: DataFrame, low: float = 0.025, high: float = 0.975) ->
 
     @F.pandas_udf("low double, high double")
     def quantiles(alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"low": [gamma_quantile(a, low) / b for a, b in zip(alpha, beta, strict=True)], "high": [gamma_quantile(a, high) / b for a, b in zip(alpha, beta, strict=True)]})
+        return pd.DataFrame({"low": gamma_quantile(alpha, low) / beta, "high": gamma_quantile(alpha, high) / beta})
 
     rows = rates.withColumn("q", quantiles("alpha", "beta"))
     return rows.groupBy("step", "k", "m").agg(F.avg(F.col("alpha") / F.col("beta")).alias("mean"), F.avg("q.low").alias("low"), F.avg("q.high").alias("high"))

@@ -202,7 +202,7 @@ def advance(state: State, counts: DataFrame) -> State:
     """The state after one more interval, whose counts are (src, dst, n)."""
     o, k = state.options, state.options.k
     prior = {x: y.copy() for x, y in state.params.items()}
-    new = State(state.tau, o, state.step + 1, {x: y.copy() for x, y in state.params.items()}, state.edges, state.tau_prime, state.kinds, state.big, state.seen, state.rate_log)
+    new = State(state.tau, o, state.step + 1, {x: y.copy() for x, y in state.params.items()}, state.edges, state.tau_prime, state.kinds, state.big, state.seen)
     counts = staged(counts.select("src", "dst", "n"))
     if o.mode != "graph":
         rows = counts if state.edges is None else state.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))

@@ -69,6 +69,31 @@ JS_ROWS = f"""js AS (SELECT a.step, CAST(a.step - b.step AS INTEGER) AS lag, a.n
 OFF = "CASE WHEN mad > 0 THEN abs(x - md) / mad WHEN abs(x - md) > 0 THEN CAST('infinity' AS DOUBLE) ELSE 0 END"
 HISTORY = f"WITH {COUNTS}, {GRP}, {TAU_STEPS}"
 
+RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
+#: Divergences of all pairs of a pair of groups' posteriors, as a list of lists; then the detector's walk: burn-in 3, buffer 6, 2 outliers in a row, 3 spreads.
+RATE_WALK = f"""po AS (SELECT 0 AS step, k, m, 1.0::DOUBLE AS alpha, 1.0::DOUBLE AS beta FROM pairs UNION ALL SELECT step + 1, k, m, alpha, beta FROM rates),
+kl AS (SELECT a.k, a.m, a.step, list(b.alpha * ln(a.beta / b.beta) - lgamma(a.alpha) + lgamma(b.alpha) + (a.alpha - b.alpha) * {psi('a.alpha')} - (a.beta - b.beta) * a.alpha / a.beta ORDER BY b.step) AS d
+  FROM po a JOIN po b ON a.k = b.k AND a.m = b.m GROUP BY a.k, a.m, a.step),
+al AS (SELECT k, m, list(d ORDER BY step) AS d FROM kl GROUP BY k, m),
+walk AS (
+  SELECT k, m, d, CAST(10 AS BIGINT) AS step, CAST([3, 4, 5, 6, 7, 8] AS BIGINT[]) AS kept, CAST(0 AS BIGINT) AS run, CAST(-1 AS BIGINT) AS waiting, CAST(NULL AS BIGINT) AS found FROM al
+  UNION ALL
+  SELECT k, m, d, step + 1,
+    CASE WHEN waiting >= 0 THEN [CASE WHEN i = waiting + 1 THEN step - 2 ELSE kept[i] END FOR i IN range(1, 7)] WHEN far THEN kept ELSE [CASE WHEN i = 6 THEN step + 1 ELSE kept[i + 1] END FOR i IN range(1, 7)] END,
+    CASE WHEN waiting >= 0 THEN run WHEN far AND run = 0 THEN 1 ELSE 0 END,
+    CASE WHEN waiting = 5 THEN -1 WHEN waiting >= 0 THEN waiting + 1 WHEN far AND run = 1 THEN 0 ELSE -1 END,
+    CASE WHEN waiting < 0 AND far AND run = 1 THEN step END
+  FROM (SELECT *, CASE WHEN mad > 0 THEN x / mad > 3 ELSE x > 0 END AS far FROM (
+    SELECT *, abs(d[step + 2][kept[6] + 1] - md) AS x, list_median([abs(v - md) FOR v IN vals]) AS mad FROM (
+      SELECT *, list_median(vals) AS md FROM (
+        SELECT *, list_concat([d[kept[i + 1] + 1][kept[i] + 1] FOR i IN range(1, 6)], [d[kept[i + 1] + 1][kept[i - 1] + 1] FOR i IN range(2, 6)]) AS vals FROM walk WHERE step < {STEPS})))))"""
+#: Quantiles by bisection on the distribution function's series.
+ENVELOPE = """bi AS (
+  SELECT step, k, m, alpha, beta, p, 0.0::DOUBLE AS lo, alpha + 10 * sqrt(alpha) + 20 AS hi, 0 AS i FROM rates, (SELECT unnest([0.025, 0.975]::DOUBLE[]) AS p)
+  UNION ALL
+  SELECT step, k, m, alpha, beta, p, CASE WHEN mass < p THEN mid ELSE lo END, CASE WHEN mass < p THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, list_sum([exp((alpha + n) * ln(mid) - mid - lgamma(alpha + n + 1)) FOR n IN range(0, CAST(20 * sqrt(alpha) + 60 AS BIGINT))]) AS mass FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE i < 55)))"""
+
 SQL = {
     "edge_interval_counts": f"WITH {COUNTS} SELECT * FROM cnt",
     "edge_cumulative_counts": f"WITH {COUNTS} SELECT *, CAST(sum(n) OVER (PARTITION BY src, dst ORDER BY step) AS BIGINT) AS full FROM cnt".replace(" AS full", ' AS "full"'),
@@ -127,6 +152,13 @@ SQL = {
     "group_share": f"""{HISTORY}, s AS (SELECT step, avg(CAST(grp = 0 AS INTEGER)) AS x FROM lab GROUP BY step), f AS (SELECT x AS first FROM s WHERE step = 0)
       SELECT step, {r6('CASE WHEN abs(first - 0.4::DOUBLE) < abs(first - 0.6::DOUBLE) THEN 1 - x ELSE x END')} AS share FROM s, f""",
     "carried_labels": f"{HISTORY} SELECT step, node, last_value(CASE WHEN step = 0 OR (node + step) % 7 = 0 THEN grp END IGNORE NULLS) OVER (PARTITION BY node ORDER BY step) AS grp FROM lab",
+    "rate_changes": f"{RECURSIVE}, {rates(0.1)}, {RATE_WALK} SELECT k, m, CAST(found AS INTEGER) AS step FROM walk WHERE found IS NOT NULL",
+    "rate_envelope": f"{RECURSIVE}, {rates(0.1)}, {ENVELOPE} SELECT step, k, m, {r6('max(alpha / beta)')} AS mean, {r6('max(lo / beta) FILTER (p < 0.5)')} AS low, {r6('max(lo / beta) FILTER (p > 0.5)')} AS high FROM bi WHERE i = 55 GROUP BY step, k, m",
+    "label_alignment": f"""{HISTORY.replace("WITH", "WITH RECURSIVE", 1)}, cells AS (SELECT l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) WHERE step = {STEPS - 1} GROUP BY ALL),
+      pe AS (SELECT CAST([] AS BIGINT[]) AS p, CAST(0 AS BIGINT) AS total UNION ALL
+        SELECT list_append(p, g), CAST(total + coalesce(n, 0) AS BIGINT) FROM pe CROSS JOIN (SELECT unnest(range({GROUPS})) AS g) LEFT JOIN cells ON f = len(p) AND t = g WHERE len(p) < {GROUPS} AND NOT list_contains(p, g)),
+      best AS (SELECT p FROM pe WHERE len(p) = {GROUPS} ORDER BY total DESC, p LIMIT 1)
+      SELECT CAST(unnest(range({GROUPS})) AS INTEGER) AS found, CAST(unnest(p) AS INTEGER) AS truth FROM best""",
     "truth_regions": """WITH c AS (SELECT o_custkey AS node, o_orderdate AS t, max(CAST(o_orderkey % 4 AS INTEGER)) AS grp FROM orders GROUP BY ALL), y AS (SELECT CAST(unnest(range(1995, 2003)) AS INTEGER) AS step)
       SELECT step, node, arg_max(grp, t) AS grp FROM c JOIN y ON t <= make_date(step, 1, 1) GROUP BY step, node""",
     "ccd_dnf": f"""WITH {COUNTS}, f AS (SELECT src AS run, step * 0.25::DOUBLE AS t, dst % 2 AS k, (dst // 2) % 2 AS m FROM (SELECT *, median(n) OVER (PARTITION BY src, dst) AS md FROM cnt) WHERE 2 * n >= 3 * md),

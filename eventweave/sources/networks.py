@@ -78,6 +78,24 @@ def read_setting(spark: SparkSession, path: str, idx: int) -> dict:
     return {k: v for k, v in row.asDict().items() if k != "idx"}
 
 
+def find_setting(spark: SparkSession, path: str, **values: float) -> int:
+    """The number of the row of a grid that has these values."""
+    rows = spark.read.json(path)
+    for name, value in values.items():
+        rows = rows.where(F.col(name) == value)
+    found = [r["idx"] for r in rows.select("idx").orderBy("idx").take(2)]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} setting with {values}")
+    return found[0]
+
+
 def write_run(df: DataFrame, path: str, study: str, idx: int, run: int) -> None:
-    """Adds an artefact of a run to a table partitioned by study, idx and run."""
-    df.withColumns({"study": F.lit(study), "idx": F.lit(idx), "run": F.lit(run)}).write.mode("append").partitionBy("study", "idx", "run").parquet(path)
+    """Writes an artefact of a run to a table partitioned by study, idx and run; a run that is written again takes the place of its rows."""
+    rows = df.withColumns({"study": F.lit(study), "idx": F.lit(idx), "run": F.lit(run)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("study", "idx", "run").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, study: str, idx: int | None = None) -> DataFrame:
+    """The rows of a study's runs, or of those with one setting, with idx and run; other partitions aren't read."""
+    rows = spark.read.parquet(path).where(F.col("study") == study).drop("study")
+    return rows if idx is None else rows.where(F.col("idx") == idx)

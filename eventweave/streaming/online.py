@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.online import State, advance
+from ..operators.online import Options, State, advance
 
 
 def stream_counts(events: DataFrame, interval: str, late: str) -> DataFrame:
@@ -15,20 +19,69 @@ def stream_counts(events: DataFrame, interval: str, late: str) -> DataFrame:
     return windows.select(F.col("w.start").alias("at"), "src", "dst", "n")
 
 
+TABLES = ("tau", "edges", "tau_prime", "kinds", "big", "seen")
+
+
+def save_state(state: State, folder: str, batch_id: int) -> None:
+    """Writes the tables of a state under its batch, and then a row of the log, which makes it count."""
+    spark = state.tau.sparkSession
+    kept = [name for name in TABLES if getattr(state, name) is not None]
+    for name in kept:
+        getattr(state, name).write.mode("overwrite").parquet(f"{folder}/{name}/{batch_id}")
+    params = {k: np.asarray(v).tolist() for k, v in state.params.items()}
+    row = (batch_id, state.step, json.dumps(params), json.dumps([list(map(float, r)) for r in state.rate_log]), kept)
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+
+
+LOG = "batch_id long, step int, params string, rate_log string, kept array<string>"
+
+
+def load_state(spark: SparkSession, options: Options, folder: str) -> tuple[State, int] | None:
+    """The last state in the folder and its batch; None where there is none."""
+    try:
+        log = spark.read.schema(LOG).parquet(f"{folder}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    r = log.orderBy(F.col("batch_id").desc()).first()
+    if r is None:
+        return None
+    tables = {name: spark.read.parquet(f"{folder}/{name}/{r['batch_id']}") for name in r["kept"]}
+    rate_log = [(int(s), int(k), int(m), *rest) for s, k, m, *rest in json.loads(r["rate_log"])]
+    params = {k: np.asarray(v) if isinstance(v, list) else v for k, v in json.loads(r["params"]).items()}
+    return State(options=options, step=r["step"], params=params, rate_log=rate_log, **tables), r["batch_id"]
+
+
 class OnlineModel:
-    """Moves a state on, an interval at a time, as finished windows come in."""
+    """Moves a state on, an interval at a time, as finished windows come in.
+
+    With a folder (shared by driver and executors), the state is written there after each batch:
+    a model started anew on the folder and the stream's checkpoint goes on from it, and passes over
+    a batch that it has taken already."""
 
-    def __init__(self, state: State, first: str, seconds: int) -> None:
-        self.state, self.first, self.seconds = state, first, seconds
+    def __init__(self, state: State, first: str, seconds: int, folder: str | None = None) -> None:
+        self.state, self.first, self.seconds, self.folder, self.taken = state, first, seconds, folder, -1
+        kept = load_state(state.tau.sparkSession, state.options, folder) if folder else None
+        if kept:
+            self.state, self.taken = kept
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
-        """foreachBatch function: a micro-batch holds whole windows (append mode), in order of time."""
-        no = ((F.unix_timestamp("at") - F.unix_timestamp(F.to_timestamp(F.lit(self.first)))) / self.seconds).cast("int")
+        """foreachBatch function: a micro-batch holds whole windows (append mode), in order of time; one before the state's step is an error."""
+        if batch_id <= self.taken:
+            return
+        no = F.floor((F.unix_timestamp("at") - F.unix_timestamp(F.to_timestamp(F.lit(self.first)))) / self.seconds).cast("int")
         rows = batch.select(no.alias("step"), "src", "dst", "n").persist()
-        last = rows.agg(F.max("step")).first()[0]
+        earliest, last = rows.agg(F.min("step"), F.max("step")).first()
+        if earliest is not None and earliest < self.state.step:
+            rows.unpersist()
+            raise ValueError(f"a window of interval {earliest} comes in at interval {self.state.step}")
         while last is not None and self.state.step <= last:  # an interval without events moves the state on too
             self.state = advance(self.state, rows.where(F.col("step") == self.state.step))
         rows.unpersist()
+        if self.folder and last is not None:
+            save_state(self.state, self.folder, batch_id)
+        self.taken = batch_id
 
     def start(self, counts: DataFrame, checkpoint: str) -> StreamingQuery:
         return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self.take).start()

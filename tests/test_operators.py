@@ -318,11 +318,52 @@ def test_monitor(spark):
     assert {r.grp for r in out if r.node != 7} == {0}
 
 
+@pytest.mark.parametrize("k", [1, 2, 4, 6])
+def test_alignment_against_permutations(spark, k):
+    from itertools import permutations
+
+    rng = np.random.default_rng(k)
+    for _ in range(3):
+        table = rng.integers(0, 4, (k, k))
+        labels = [(i, j) for i in range(k) for j in range(k) for _ in range(table[i, j])]
+        want = max(permutations(range(k)), key=lambda p: (sum(table[i, t] for i, t in enumerate(p)), tuple(-x for x in p)))
+        got = ev.best_alignment(spark.createDataFrame(labels, "found int, truth int"), k).collect()
+        assert [r.truth for r in sorted(got, key=lambda r: r.found)] == list(want)
+
+
+def test_alignment_of_twenty_groups(spark):
+    order = np.random.default_rng(1).permutation(20)
+    labels = spark.createDataFrame([(i, int(order[i])) for i in range(20) for _ in range(3)] + [(i, (int(order[i]) + 1) % 20) for i in range(20)], "found int, truth int")
+    assert [r.truth for r in ev.best_alignment(labels, 20).orderBy("found").collect()] == order.tolist()
+
+
+def test_runs_are_read_back_and_replaced(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for idx, run, n in ((1, 0, 3), (1, 1, 4), (2, 0, 5), (1, 0, 2)):
+        nw.write_run(spark.range(n), path, "a", idx, run)
+    nw.write_run(spark.range(9), path, "b", 1, 0)
+    sizes = {(r.idx, r.run): r["count"] for r in nw.read_runs(spark, path, "a").groupBy("idx", "run").count().collect()}
+    assert sizes == {(1, 0): 2, (1, 1): 4, (2, 0): 5}
+    assert nw.read_runs(spark, path, "a", 2).count() == 5
+
+
+def test_envelope_is_averaged_over_runs(spark):
+    rows = [(run, 1, 0, 0, float(a), float(b)) for run, (a, b) in enumerate([(1, 1), (1, 2), (1, 4)])]
+    out = ev.rate_envelope(spark.createDataFrame(rows, "run int, step int, k int, m int, alpha double, beta double")).first()
+    # Gamma(1, b) is exponential: its quantiles are -ln(1 - p) / b.
+    share = (1 + 1 / 2 + 1 / 4) / 3
+    assert (out["mean"], out["low"], out["high"]) == pytest.approx((share, -np.log(0.975) * share, -np.log(0.025) * share))
+
+
 def test_grid_files(spark, tmp_path):
     nw.write_grid(nw.parameter_grid(spark, a=[1, 2], b=[0.5, 0.25]), str(tmp_path / "grid"))
     assert nw.read_setting(spark, str(tmp_path / "grid"), 2) == {"a": 2.0, "b": 0.5}
     with pytest.raises(ValueError):
         nw.read_setting(spark, str(tmp_path / "grid"), 9)
+    assert nw.find_setting(spark, str(tmp_path / "grid"), a=2, b=0.5) == 2
+    for values in ({"a": 2}, {"a": 7}):
+        with pytest.raises(ValueError):
+            nw.find_setting(spark, str(tmp_path / "grid"), **values)
 
 
 def test_streaming(spark, tmp_path):
@@ -342,3 +383,26 @@ def test_streaming(spark, tmp_path):
     batch_counts = ct.interval_counts(batch.select("src", "dst", (F.minute("ts") * 1.0).alias("t")), 10.0)
     _, post, _ = on.run_online(batch_counts, spark.range(4).select(F.col("id").cast("int").alias("node")), model.state.options, 3)
     assert np.array(sorted(model.state.rate_log)) == pytest.approx(np.array(sorted(tuple(r) for r in post.collect())))
+
+
+@pytest.mark.parametrize("mode", ["known", "graph"])
+def test_streaming_goes_on_after_a_restart(spark, tmp_path, mode):
+    from eventweave.streaming.online import OnlineModel
+
+    nodes = spark.range(4).select(F.col("id").cast("int").alias("node"))
+    options = on.Options(k=2, delta=10.0, mode=mode, k_prime=2, n_cavi=1, n_sweeps=1)
+    windows = [spark.createDataFrame([(f"2024-01-01 00:{10 * s:02}:00", i, (i + s) % 4, 1 + i) for i in range(4)], "at string, src int, dst int, n long").withColumn("at", F.col("at").cast("timestamp")) for s in range(3)]
+    new = lambda folder: OnlineModel(on.start(nodes, options), "2024-01-01 00:00:00", 600, folder)
+    whole = new(None)
+    for i, w in enumerate(windows):
+        whole.take(w, i)
+    first = new(str(tmp_path / "model"))
+    for i in range(2):
+        first.take(windows[i], i)
+    again = new(str(tmp_path / "model"))
+    assert (again.state.step, again.taken) == (2, 1)
+    again.take(windows[1], 1)  # taken already
+    again.take(windows[2], 2)
+    assert again.state.step == 3 and np.array(sorted(again.state.rate_log)) == pytest.approx(np.array(sorted(whole.state.rate_log)))
+    with pytest.raises(ValueError):
+        again.take(windows[0], 3)
