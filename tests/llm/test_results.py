@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -20,6 +21,7 @@ from eventweave.llm.mixing import mix_sources, target_sizes
 from eventweave.llm.ngram_join import choose_bands, ngram_join
 from eventweave.llm.packing import pack, plan_bins
 from eventweave.llm.pii_crf import CARD, KINDS, PHONE, base_spans, crf_spans, luhn, plausible
+from eventweave.llm.quality import ngram_slots, score_quality, train_quality
 from eventweave.llm.substring import chain, shared_passages
 from eventweave.llm.token_counts import TokenTree, counter
 from eventweave.llm.topk import CoverTree, dual_search, top_k
@@ -175,6 +177,60 @@ def test_topk_against_brute_force(spark):
         assert (found[:, : order.shape[1]] == ids[order]).all() and (scores[:, : order.shape[1]] == np.take_along_axis(s, order, 1)).all()
 
 
+def plain_ftrl(rows, epochs=3, alpha=0.3, beta=1.0, l1=0.02, l2=0.02, scale=30.0):
+    """FTRL-proximal one coordinate at a time; rows are (slots, label)."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for slots, label in rows:
+            x = {i: scale * c / len(slots) for i, c in Counter(slots).items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def plain_slots(text):
+    """A text's slots from those of its words and pairs of words alone."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    one = {w: list(s) for w, s in zip(words, ngram_slots(words), strict=True)}
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    two = dict(zip(pairs, map(list, ngram_slots(pairs)), strict=True))
+    return [one[w][0] for w in words] + [two[p][2] for p in pairs] + [one[w][1] for w in words] + [two[p][5] for p in pairs]
+
+
+def test_quality_against_plain_loops(spark):
+    rng = random.Random(9)
+    good, bad = "river stone Light 1984 over under".split(), "BUY now!!! $$$ click here win".split()
+    texts, labels = {}, {}
+    for i in range(120):
+        labels[i] = i % 2
+        texts[i] = " ".join(rng.choice(good if labels[i] ^ (rng.random() < 0.2) else bad) for _ in range(rng.randrange(0, 30)))
+    texts[7] = "  \t " + "same same " * 400
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = train_quality(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), shards=2)
+    slots = {i: plain_slots(t) for i, t in texts.items()}
+    assert all(sorted(a) == sorted(slots[i]) for i, a in enumerate(ngram_slots([texts[i] for i in range(120)])))
+    shard = {r.doc_id: r.s for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("s")).collect()}
+    learned = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    total = defaultdict(float)
+    for part in (0, 1):
+        own = sorted((i for i in learned if shard[i] == part), key=lambda i: zlib.crc32(str(i).encode()))
+        for at, w in plain_ftrl([(slots[i], labels[i]) for i in own]).items():
+            total[at] += w * len(own) / len(learned)
+    assert weights[-1] == pytest.approx(total.pop("bias"))
+    assert {int(i): float(weights[i]) for i in np.flatnonzero(weights[:-1])} == pytest.approx({i: w for i, w in total.items() if w})
+    for r in score_quality(docs, weights).collect():
+        own = slots[r.doc_id]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-float(weights[-1]) - 30 * sum(float(weights[i]) for i in own) / max(1, len(own)))))
+
+
 def clustered(rng, n, d, clusters, spread=10):
     return rng.integers(-1000, 1000, (clusters, d))[rng.integers(0, clusters, n)] + rng.integers(-spread, spread, (n, d))
 
