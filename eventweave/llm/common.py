@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.storage import shared_root, staged, unstaged
 
-__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "shared_root", "small_batches", "staged", "unstaged"]
+__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,6 +50,24 @@ def one_of_repeats(df: DataFrame, *columns: str) -> DataFrame:
     return df.join(more, same, "left_anti").unionByName(df.join(more, same, "left_semi").dropDuplicates(list(columns)))
 
 
+def prefix_sums(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of columns over the rows up to and with each, in order, inside each group of by (none: over all).
+
+    Rows are sorted by range over partitions and staged; each partition adds up for itself, and only groups
+    that go on from one partition into the next get what came before, a row for each such group and partition. So a
+    group of any size is spread over tasks. order must tell the rows of a group apart, by must not be null."""
+    rows = rows.withColumns({f"__{k}": c for k, c in sums.items()})
+    rows = staged(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    totals = rows.groupBy("__part", *by).agg(*(F.sum(f"__{k}").alias(f"__{k}") for k in sums))
+    parts = Window.partitionBy(*by).orderBy("__part")  # a group's partitions
+    before = totals.select("__part", *by, *((F.sum(f"__{k}").over(parts) - F.col(f"__{k}")).alias(f"__before_{k}") for k in sums), F.row_number().over(parts).alias("__no"))
+    before = staged(before.where("__no > 1").drop("__no"))
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__{k}": F.sum(f"__{k}").over(inside) for k in sums}).join(if_small(before, 100_000), ["__part", *by], "left")
+    out = rows.withColumns({k: F.col(f"__{k}") + F.coalesce(F.col(f"__before_{k}"), F.lit(0)) for k in sums})
+    return out.drop("__part", *(f"__{k}" for k in sums), *(f"__before_{k}" for k in sums))
+
+
 def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:
     """Rows whose id is in ids, and a few more: a filter before a join, so that it shuffles less of what it drops.
 

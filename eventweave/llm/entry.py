@@ -106,6 +106,31 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return docs.withColumn("edits", edits)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_automaton import bpe_decode, bpe_encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters, with_inertia
+
+    rows = with_inertia(*centroid_clusters(_table(spark, sf_dir, "embeddings")))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie, rebuilt
+
+    rows = prefix_trie(*rebuilt(_table(spark, sf_dir, "conversations")))
+    return rows.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT_SQL, "op3_exact_dedup": EXACT_DEDUP_SQL, "op7_topk": TOPK_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op3_exact_dedup": EXACT_DEDUP_SQL, "op7_topk": TOPK_SQL, "op12_centroids": centroids_sql(), "op13_prefix_trie": PREFIX_TRIE_SQL}
 
 
 EXACT_DEDUP_SQL = """
@@ -158,3 +183,58 @@ pairs AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
+
+
+def centroids_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """One table of centroids (c) and of assignments (a) for each round."""
+    far = f"list_sum(list_transform(range(1, {size + 1}), lambda i: CAST((v.v[i] - c.v[i]) * (v.v[i] - c.v[i]) AS HUGEINT)))"
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v, row_number() OVER () AS no FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT no, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d
+  FROM (SELECT v.no, v.vec_id, v.v, c.c, {far} AS d FROM v, c{i} c) GROUP BY no)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT a.c, i, sum(a.v[i]) AS s, count(*) AS n FROM a{i} a, range(1, {size + 1}) t(i) GROUP BY a.c, i) GROUP BY c) m ON m.c = c.c)""")
+    return f"""WITH {",".join(parts)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+#: crc32 is worked out bit by bit.
+PREFIX_TRIE_SQL = """
+WITH t AS MATERIALIZED (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) - 1 AS no, key, bytes
+  FROM (SELECT conv_id AS c, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS bytes
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS MATERIALIZED (
+  SELECT c, c - c % 5 AS r, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda crc, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda y, i: xor(y >> 1, 3988292384::BIGINT * (y & 1)), xor(crc, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+turns AS MATERIALIZED (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, no) AS d, key, bytes FROM (
+    SELECT k.c, 0 AS own, t.no, t.key, t.bytes FROM convs k JOIN t ON t.c = k.r AND t.no < k.h
+    UNION ALL SELECT k.c, 1, t.no, t.key, t.bytes FROM convs k JOIN t ON t.c = k.c AND t.no >= k.h)),
+members AS MATERIALIZED (
+  SELECT a.c, a.d, any_value(a.bytes) AS bytes, string_agg(b.key, '' ORDER BY b.d) AS p, coalesce(string_agg(b.key, '' ORDER BY b.d) FILTER (b.d < a.d), '') AS q
+  FROM turns a JOIN turns b ON a.c = b.c AND b.d <= a.d GROUP BY a.c, a.d
+  UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+nodes AS MATERIALIZED (SELECT p, any_value(q) AS q, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM members GROUP BY p),
+kids AS (SELECT q, count(*) AS n FROM nodes WHERE q IS NOT NULL GROUP BY q),
+ends AS (SELECT p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM (SELECT c, arg_max(p, d) AS p FROM members GROUP BY c) GROUP BY p),
+below AS (SELECT DISTINCT a.p, b.p AS low FROM members a JOIN members b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT b.p, sum(n.saved) AS saved, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves FROM below b JOIN nodes n ON n.p = b.low LEFT JOIN kids k ON k.q = b.low GROUP BY b.p)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN nodes u ON u.p = n.q LEFT JOIN kids k ON k.q = n.p LEFT JOIN ends e ON e.p = n.p
+"""

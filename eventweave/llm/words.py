@@ -12,7 +12,7 @@ _TABLES = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 LOWER, UPPER, DIGIT, SIGN = 1, 2, 4, 8
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _TABLES["n"] < n:
         size = max(1 << 17, 1 << (n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -65,7 +65,7 @@ class Words(NamedTuple):
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = _powers(len(self.code) + 1)
+        up, down = powers(len(self.code) + 1)
         sums = np.zeros(len(self.code) + 1, np.uint64)
         np.cumsum((self.code.astype(np.uint64) + np.uint64(1)) * up[: len(self.code)], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
