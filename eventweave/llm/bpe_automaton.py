@@ -120,7 +120,7 @@ class TokenAutomaton:
     A state lacks arc c if c was cut on the way of its copies, or if c came after the copy and its left
     part was lacking. Copies of one token's state are looked up together. Arcs asked for are kept in a table."""
 
-    def __init__(self, vocabulary: Vocabulary, most_arcs: int = 2_000_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most_arcs: int = 300_000) -> None:
         self.label, n, self.most = vocabulary.label, len(vocabulary.label), most_arcs
         self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
         #: States: the token whose state was copied (own), the arc cut, the merge that did it; `base` is the state copied.
@@ -135,7 +135,7 @@ class TokenAutomaton:
                 self.after[i] = START
         for time, (a, b, c) in enumerate(vocabulary.merges):
             self._gadget(time, a, b, c)
-        self.steps = self._spell(vocabulary)
+        self.steps, self.shorter = self._spell(vocabulary)
 
     def _gadget(self, time: int, a: int, b: int, c: int) -> None:
         if self.after[a] < 0 or self.after[b] < 0 or self.after[c] >= 0 or not self._leaves(a, b):
@@ -174,8 +174,8 @@ class TokenAutomaton:
             known = self.arcs[key] = last < 0 or self._leaves(last, c)
         return known
 
-    def _spell(self, vocabulary: Vocabulary) -> dict:
-        """Arcs spelled out byte by byte: a table of byte -> (next table, the token that ends there or -1)."""
+    def _spell(self, vocabulary: Vocabulary) -> tuple[dict, list[int]]:
+        """Arcs spelled out byte by byte: a table of byte -> (next table, the token that ends there or -1), and each token's longest beginning that is a token."""
         top, apart = {}, set(vocabulary.whole.values())
         for i, text in enumerate(self.label):
             if self.after[i] >= 0 and i not in apart:
@@ -185,40 +185,58 @@ class TokenAutomaton:
                     if at == len(text):
                         entry = table[byte] = (entry[0], i)
                     table = entry[0]
-        return top
+        shorter = [-1] * self.n
+        for i, text in enumerate(self.label):
+            if self.after[i] >= 0 and i not in apart:
+                table = top
+                for byte in text[:-1]:
+                    table, end = table[byte]
+                    if end >= 0:
+                        shorter[i] = end
+        return top, shorter
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of the one path that spells word.
 
-        Every prefix of word has one path; from each place, table steps spell the arcs that leave."""
-        n = len(word)
-        last, arcs, size, has_arc = [-1] * (n + 1), self.arcs, self.n, self.has_arc
-        for i in range(n):
-            table, row = self.steps, last[i] * size
-            if i and row < 0:
-                raise ValueError(f"byte {word[i - 1]} has no token")
-            for j in range(i, n):
+        From each place, table steps spell the longest arc; the path goes on by the longest that leaves its state, and steps back
+        to a shorter one where none does. Every beginning of word has one path only, so a place left once is never come to again, and
+        the work is linear in the word's length."""
+        n, steps, shorter, arcs, size, label = len(word), self.steps, self.shorter, self.arcs, self.n, self.label
+        path, at, last, left = [], 0, -1, set()
+        while at < n:
+            c, table = -1, steps
+            for j in range(at, n):
                 entry = table.get(word[j])
                 if entry is None:
                     break
-                table, c = entry
-                if c >= 0 and last[j + 1] < 0:
-                    known = arcs.get(row + c)
-                    if known or (known is None and has_arc(last[i], c)):
-                        last[j + 1] = c
-        if n and last[n] < 0:
-            raise ValueError(f"byte {word[n - 1]} has no token")
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.label[last[n]])
-        return out[::-1]
+                table, end = entry
+                if end >= 0:
+                    c = end
+            while True:
+                while c >= 0:
+                    to = at + len(label[c])
+                    if to not in left:
+                        known = arcs.get(last * size + c)
+                        if known or (known is None and self.has_arc(last, c)):
+                            break
+                    c = shorter[c]
+                if c >= 0:
+                    break
+                if not path:
+                    raise ValueError(f"{word!r} can't be spelled with the tokens")
+                left.add(at)
+                c = path.pop()
+                at -= len(label[c])
+                last, c = path[-1] if path else -1, shorter[c]
+            path.append(c)
+            at, last = to, c
+        return path
 
 
 class Encoder(dict):
     """Word -> its tokens as little-endian 32-bit numbers; emptied when it holds most."""
 
-    def __init__(self, path: str, classes: bytes, most: int = 500_000) -> None:
+    def __init__(self, path: str, classes: bytes, most: int = 150_000) -> None:
         import re
         import zlib
 
@@ -236,8 +254,20 @@ class Encoder(dict):
             self[word] = ids
         return ids
 
-    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of words that are joined, and where each text's begin and end."""
+    def words_of(self, texts: list[str], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts without names of added tokens in a row, and where each text's begin and end; in chunks, as the arrays on the way take some 80 bytes a letter."""
+        tokens, ends, part, size = [np.zeros(0, "<i4")], [np.zeros(1, np.int64)], [], 0
+        for i, text in enumerate(texts, 1):
+            part.append(text)
+            size += len(text)
+            if size >= chunk or i == len(texts):
+                found, upto = self._words_of(part)
+                tokens.append(found)
+                ends.append(upto[1:] + ends[-1][-1])
+                part, size = [], 0
+        return np.concatenate(tokens), np.concatenate(ends)
+
+    def _words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.concatenate([[0], np.cumsum(sizes)])
