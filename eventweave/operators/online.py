@@ -7,6 +7,7 @@ points; the two were seen to end in like accuracy, not in equal numbers."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 
 from ..functions.special import digamma_of
 from .posterior import best_group, both_ways, neighbour_sums, node_scores, softmax, uniform_tau
-from .storage import staged
+from .starts import spectral_shares
+from .storage import only_kept, staged, unstaged
 
 psi = np.vectorize(digamma_of)
+lgamma = np.vectorize(math.lgamma)
 
 
 @dataclass
 class Options:
-    """Priors, forgetting factors and iteration counts; mode: known, graph (infer the edges) or groups (infer how many, up to k)."""
+    """Priors, forgetting factors and iteration counts; mode: known, graph (infer the edges) or groups (infer how many, up to k).
+
+    begin: how shares begin. "lean": nearly equal, leaning by a hash; with equal priors the first sweep tells groups apart by self-loops alone.
+    "spectral": by the main directions of the first interval's counts (see spectral_shares()), and rates from these shares before the first sweep."""
 
     k: int
     delta: float
@@ -45,12 +51,15 @@ class Options:
     n_cavi: int = 2
     n_sweeps: int = 3
     literal_sticks: bool = False
+    begin: str = "lean"
 
     def __post_init__(self) -> None:
         if self.mode not in ("known", "graph", "groups"):
             raise ValueError("mode is known, graph or groups: the graph and the number of groups aren't inferred together")
         if min(self.k, self.k_prime, self.n_cavi, self.n_sweeps) < 1 or min(self.alpha, self.beta, self.nu, self.eta, self.zeta, self.delta) <= 0:
             raise ValueError("counts are at least 1, parameters above 0")
+        if self.begin not in ("lean", "spectral"):
+            raise ValueError("shares begin lean or spectral")
         if self.mode == "graph" and not 0 < self.sigma < 1:
             raise ValueError("sigma lies between 0 and 1")
 
@@ -71,6 +80,7 @@ class State:
     ways: DataFrame | None = None  # the interval's edges from both ends
     tables: tuple = ()  # of the graph mode, see _graph_tables()
     rate_log: list[tuple] = field(default_factory=list)
+    energies: list[float] = field(default_factory=list)  # of the last interval, after each iteration; see _energy()
 
 
 def start(nodes: DataFrame, options: Options, edges: DataFrame | None = None, seed: int = 0) -> State:
@@ -189,47 +199,90 @@ def _prime_sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _contract(rows: DataFrame, k: int, prefixes: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """One row to the driver: mass and, for each prefix, the k x k sums over nodes of p_i times the prefix's column m."""
+    """One row to the driver: mass, the entropy of the shares and, for each prefix, the k x k sums over nodes of p_i times the prefix's column m."""
     sums = [f"sum(p{i}) AS mass_{i}" for i in range(k)]
+    sums.append(f"-sum({' + '.join(f'if(p{i} > 0, p{i} * ln(p{i}), 0D)' for i in range(k))}) AS entropy")
     sums += [f"sum(p{i} * {x}{m}) AS {x}_{i}_{m}" for x in prefixes for i in range(k) for m in range(k)]
     row = rows.agg(*map(F.expr, sums)).first()
     none = lambda v: 0.0 if v is None else float(v)
     out = {x: np.array([[none(row[f"{x}_{i}_{m}"]) for m in range(k)] for i in range(k)]) for x in prefixes}
-    return out | {"mass": np.array([none(row[f"mass_{i}"]) for i in range(k)])}
+    return out | {"mass": np.array([none(row[f"mass_{i}"]) for i in range(k)]), "entropy": none(row["entropy"])}
+
+
+def _apply(state: State, prior: dict, got: dict, guard: np.ndarray) -> None:
+    """The parameters of groups and rates from the sums that _contract() gave and the prior."""
+    o, p, mass = state.options, state.params, got["mass"]
+    if o.mode == "groups":
+        p["omega"] = o.forget_u * (prior["omega"] - 1) + o.forget_z * mass + 1
+        p["nu"] = o.forget_z * (mass.sum() - np.cumsum(mass)) + o.forget_u * (prior["nu"] - 1) + 1
+    else:
+        p["gamma"] = o.forget_pi * (prior["gamma"] - 1) + mass + 1
+    p["alpha"] = guard * (prior["alpha"] - 1) + got["so"] + 1
+    p["beta"] = guard * prior["beta"] + o.delta * got["to"]
+
+
+def _energy(state: State, prior: dict, got: dict, guard: np.ndarray) -> float:
+    """The evidence bound of an interval, up to what its counts alone give (known and groups modes).
+
+    The sum over edges of shares times n E[ln rate] - delta E[rate], over nodes of shares times the expected log weight and of their
+    entropy, less the divergences of the parameters from their (forgotten) priors. Edges and nodes come in as the sums of _contract()."""
+    o, p = state.options, state.params
+    a, b, c, d = p["alpha"], p["beta"], guard * (prior["alpha"] - 1) + 1, guard * prior["beta"]
+    value = float(((psi(a) - np.log(b)) * got["so"] - o.delta * a / b * got["to"]).sum()) + float(got["mass"] @ _log_weight(state)) + got["entropy"]
+    value -= float((c * np.log(b / d) - lgamma(a) + lgamma(c) + (a - c) * psi(a) - (b - d) * a / b).sum())
+    if o.mode == "groups":
+        pairs = zip((p["omega"], p["nu"]), (o.forget_u * (prior["omega"] - 1) + 1, o.forget_u * (prior["nu"] - 1) + 1), strict=True)
+        (w, w0), (v, v0) = pairs
+        value -= float((lgamma(w + v) - lgamma(w) - lgamma(v) - lgamma(w0 + v0) + lgamma(w0) + lgamma(v0) + (w - w0) * (psi(w) - psi(w + v)) + (v - v0) * (psi(v) - psi(w + v))).sum())
+    else:
+        g, g0 = p["gamma"], o.forget_pi * (prior["gamma"] - 1) + 1
+        value -= math.lgamma(g.sum()) - math.lgamma(g0.sum()) + float((lgamma(g0) - lgamma(g) + (g - g0) * (psi(g) - digamma_of(float(g.sum())))).sum())
+    return value
 
 
 def advance(state: State, counts: DataFrame) -> State:
-    """The state after one more interval, whose counts are (src, dst, n)."""
+    """The state after one more interval, whose counts are (src, dst, n).
+
+    Tables that the interval staged on the way are deleted; those of the state before stay, see release()."""
     o, k = state.options, state.options.k
     prior = {x: y.copy() for x, y in state.params.items()}
     new = State(state.tau, o, state.step + 1, {x: y.copy() for x, y in state.params.items()}, state.edges, state.tau_prime, state.kinds, state.big, state.seen)
-    counts = staged(counts.select("src", "dst", "n"))
-    if o.mode != "graph":
-        rows = counts if state.edges is None else state.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
-        new.ways = staged(both_ways(rows.withColumn("w", F.lit(1.0))))
-    p = new.params
-    for _ in range(o.n_cavi):
-        if o.mode == "graph" and new.kinds is not None:
-            _graph_tables(new, counts)
-        new.tau = _sweeps(new, new.tau, counts)
-        if o.mode == "graph":
-            new.tau_prime = _prime_sweeps(new, new.tau_prime, counts)
-        got = _contract(_joined(new, new.tau, counts, k), k, ("so", "to"))
-        mass = got["mass"]
-        if o.mode == "groups":
-            p["omega"] = o.forget_u * (prior["omega"] - 1) + o.forget_z * mass + 1
-            p["nu"] = o.forget_z * (mass.sum() - np.cumsum(mass)) + o.forget_u * (prior["nu"] - 1) + 1
-        else:
-            p["gamma"] = o.forget_pi * (prior["gamma"] - 1) + mass + 1
-        p["alpha"] = p["guard"] * (prior["alpha"] - 1) + got["so"] + 1
-        p["beta"] = p["guard"] * prior["beta"] + o.delta * got["to"]
-        p["guard"] = np.where(got["to"] < 0.1, 1.0, o.forget_rate)  # for the next update
-        if o.mode == "graph":
-            _update_graph(new, prior, counts)
+    with only_kept(state.tau.sparkSession) as scope:
+        counts = staged(counts.select("src", "dst", "n"))
+        if o.mode != "graph":
+            rows = counts if state.edges is None else state.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
+            new.ways = staged(both_ways(rows.withColumn("w", F.lit(1.0))))
+        p = new.params
+        if state.step == 0 and o.begin == "spectral":
+            new.tau = spectral_shares(counts, state.tau.select("node"), k)
+            _apply(new, prior, _contract(_joined(new, new.tau, counts, k), k, ("so", "to")), p["guard"])
+        for _ in range(o.n_cavi):
+            if o.mode == "graph" and new.kinds is not None:
+                _graph_tables(new, counts)
+            new.tau = _sweeps(new, new.tau, counts)
+            if o.mode == "graph":
+                new.tau_prime = _prime_sweeps(new, new.tau_prime, counts)
+            got, guard = _contract(_joined(new, new.tau, counts, k), k, ("so", "to")), p["guard"]
+            _apply(new, prior, got, guard)
+            if o.mode != "graph":
+                new.energies.append(_energy(new, prior, got, guard))
+            p["guard"] = np.where(got["to"] < 0.1, 1.0, o.forget_rate)  # for the next update
+            if o.mode == "graph":
+                _update_graph(new, prior, counts)
+        scope.keep(new.tau, new.tau_prime, new.kinds, new.big, new.seen)
+    new.ways, new.tables = None, ()
     new.rate_log = state.rate_log + [(new.step, i, j, float(p["alpha"][i, j]), float(p["beta"][i, j])) for i in range(k) for j in range(k)]
     return new
 
 
+TABLES = ("tau", "tau_prime", "kinds", "big", "seen")
+
+
+def release(old: State, new: State, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the staged tables of a state that another has followed, but for the named ones."""
+    unstaged(*(getattr(old, x) for x in TABLES if x not in keep and getattr(old, x) is not getattr(new, x)))
+
+
 def _update_graph(state: State, prior: dict, counts: DataFrame) -> None:
     """Connection groups' parameters, and for every node its kind, with the events expected between label histories."""
     o, p, kp = state.options, state.params, state.options.k_prime
@@ -265,7 +318,8 @@ def run_online(counts: DataFrame, nodes: DataFrame, options: Options, steps: int
     counts, state = staged(counts), start(nodes, options, edges)
     history = [state.tau.withColumn("step", F.lit(0))]
     for step in range(steps):
-        state = advance(state, counts.where(F.col("step") == step))
+        last, state = state, advance(state, counts.where(F.col("step") == step))
+        release(last, state, keep=("tau",))
         history.append(state.tau.withColumn("step", F.lit(step + 1)))
     rates = counts.sparkSession.createDataFrame(state.rate_log, "step int, k int, m int, alpha double, beta double")
     return reduce(DataFrame.unionByName, history), rates, state

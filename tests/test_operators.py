@@ -177,6 +177,82 @@ def test_online_recovers_groups(spark):
     assert recovered(spark, [[2.5, 1.2], [0.4, 7.5]], "groups", 4) > 0.5
 
 
+STRONG, WEAK = [[3.0, 0.8], [0.5, 6.0]], [[1.5, 1.0], [1.0, 2.5]]
+
+
+@pytest.mark.parametrize("mode", ["known", "groups"])
+@pytest.mark.parametrize("sweeps", [2, 3])
+def test_spectral_start_finds_groups(spark, mode, sweeps):
+    """Rates close together, few sweeps: a lean start in the groups mode ends with all nodes in one group here."""
+    rng, truth = np.random.default_rng(3), np.repeat([0, 1], [24, 16])
+    nodes = spark.range(40).select(F.col("id").cast("int").alias("node"))
+    for rates in (STRONG, WEAK) if sweeps == 2 else (WEAK,):
+        counts = rng.poisson(np.array(rates)[truth][:, truth], (1, 40, 40))
+        rows = spark.createDataFrame([(int(s), int(i), int(j), int(counts[s, i, j])) for s, i, j in zip(*np.nonzero(counts), strict=True)], "step int, src int, dst int, n long")
+        tau, _, state = on.run_online(rows, nodes, on.Options(k=2, delta=1.0, mode=mode, forget_rate=0.1, n_cavi=2, n_sweeps=sweeps, begin="spectral"), 1)
+        found = tau.where("step = 1").orderBy("node").select(po.best_group(2).alias("found")).collect()
+        labels = spark.createDataFrame([(int(t), r.found) for t, r in zip(truth, found, strict=True)], "truth int, found int").withColumn("all", F.lit(1))
+        assert ev.adjusted_rand(labels, ["all"]).first().ari >= 0.9
+        assert state.energies[1] >= state.energies[0] - 1e-6
+
+
+def test_event_space_is_the_matrix_s(spark):
+    """The main directions of A A' + A' A and their lengths, against numpy; silent nodes aren't in it."""
+    from eventweave.operators.starts import event_space, spectral_shares
+
+    rng, truth = np.random.default_rng(5), np.repeat([0, 1, 2], [12, 8, 6])
+    a = rng.poisson(np.array([[9, 2, 1], [1, 12, 3], [4, 1, 20]])[truth][:, truth]).astype(float)
+    counts = edges_of(spark, np.ones_like(a), a).where("n > 0")
+    nodes = spark.range(28).select(F.col("id").cast("int").alias("node"))
+    rows = event_space(po.both_ways(counts.withColumn("w", F.lit(1.0))), nodes, 3, rounds=25).orderBy("node").collect()
+    x = np.array([r[1:] for r in rows])
+    assert [r.node for r in rows] == list(range(26))
+    size, way = np.linalg.eigh(a @ a.T + a.T @ a)
+    expected = way[:, ::-1][:, :3] * np.sqrt(size[::-1][:3])
+    assert x @ x.T == pytest.approx(expected @ expected.T, rel=1e-6)
+    tau = spectral_shares(counts, nodes, 3).orderBy("node").collect()
+    assert [max(range(3), key=lambda i: r[f"p{i}"]) for r in tau[:26]] == truth.tolist()  # largest group first
+    assert all(tuple(r)[1:] == pytest.approx((1 / 3,) * 3) for r in tau[26:])
+    empty = spectral_shares(counts.limit(0), nodes, 2).collect()
+    assert len(empty) == 28 and all(r.p0 == 0.5 for r in empty)
+
+
+@pytest.mark.parametrize("mode", ["known", "groups"])
+def test_energy_is_the_plain_sum(spark, mode):
+    psi, lg, (n, k, delta) = np.vectorize(digamma_of), np.vectorize(math.lgamma), (7, 3, 0.5)
+    _, a, counts, _ = network(n, k, 17)
+    nodes = spark.range(n).select(F.col("id").cast("int").alias("node"))
+    o = on.Options(k=k, delta=delta, mode=mode, forget_rate=0.4, forget_pi=0.7, forget_u=0.6, gamma=1.5, nu=1.3, alpha=2.0, n_cavi=1, n_sweeps=2, begin="spectral")
+    state = on.start(nodes, o, None if mode == "groups" else edges_of(spark, a, counts).select("src", "dst"))
+    a = np.ones_like(a) if mode == "groups" else a
+    for _ in range(2):
+        prior, guard = {x: y.copy() for x, y in state.params.items()}, state.params["guard"]
+        state = on.advance(state, edges_of(spark, a, counts).where("n > 0").select("src", "dst", "n"))
+        p, tau, value = state.params, shares(state.tau, k), 0.0
+        if mode == "groups":
+            both = psi(p["omega"] + p["nu"])
+            weight = np.array([psi(p["omega"][g]) - both[g] + sum(psi(p["nu"][h]) - both[h] for h in range(g)) for g in range(k)])
+        else:
+            weight = psi(p["gamma"]) - digamma_of(float(p["gamma"].sum()))
+        for i, g in product(range(n), range(k)):
+            value += tau[i, g] * (weight[g] - math.log(tau[i, g]))
+            for j, m in product(range(n), range(k)):
+                value += a[i, j] * tau[i, g] * tau[j, m] * (counts[i, j] * (psi(p["alpha"][g, m]) - math.log(p["beta"][g, m])) - delta * p["alpha"][g, m] / p["beta"][g, m])
+        for g, m in product(range(k), repeat=2):
+            x, y, c, d = p["alpha"][g, m], p["beta"][g, m], guard[g, m] * (prior["alpha"][g, m] - 1) + 1, guard[g, m] * prior["beta"][g, m]
+            # Divergence as the expected difference of the log densities.
+            value -= x * math.log(y) - math.lgamma(x) - c * math.log(d) + math.lgamma(c) + (x - c) * (digamma_of(x) - math.log(y)) - (y - d) * x / y
+        if mode == "groups":
+            for g in range(k):
+                w, v, w0, v0 = p["omega"][g], p["nu"][g], o.forget_u * (prior["omega"][g] - 1) + 1, o.forget_u * (prior["nu"][g] - 1) + 1
+                log_b = lambda u, t: math.lgamma(u) + math.lgamma(t) - math.lgamma(u + t)
+                value -= log_b(w0, v0) - log_b(w, v) + (w - w0) * (digamma_of(w) - digamma_of(w + v)) + (v - v0) * (digamma_of(v) - digamma_of(w + v))
+        else:
+            g1, g0 = p["gamma"], o.forget_pi * (prior["gamma"] - 1) + 1
+            value -= math.lgamma(g1.sum()) - lg(g1).sum() - math.lgamma(g0.sum()) + lg(g0).sum() + ((g1 - g0) * (psi(g1) - digamma_of(float(g1.sum())))).sum()
+        assert state.energies == [pytest.approx(value)]
+
+
 def shares(table, k):
     return np.array([[r[f"p{i}"] for i in range(k)] for r in table.orderBy("node").collect()])
 
@@ -385,9 +461,39 @@ def test_streaming(spark, tmp_path):
     assert np.array(sorted(model.state.rate_log)) == pytest.approx(np.array(sorted(tuple(r) for r in post.collect())))
 
 
+def staged_tables(spark):
+    import os
+
+    from eventweave.operators.storage import shared_root
+
+    folder = f"{shared_root(spark).removeprefix('file://')}/staged/{spark.sparkContext.applicationId}"
+    return {x for x in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+
+@pytest.mark.parametrize("mode", ["known", "graph", "groups"])
+def test_tables_of_earlier_intervals_are_deleted(spark, tmp_path, mode):
+    """What a model keeps, staged and in its folder, is as much after four intervals as after two; its rates are all there."""
+    import os
+
+    from eventweave.streaming.online import OnlineModel, saved_rates
+
+    nodes = spark.range(4).select(F.col("id").cast("int").alias("node"))
+    options = on.Options(k=2, delta=10.0, mode=mode, k_prime=2, n_cavi=2, n_sweeps=2, begin="spectral")
+    model, kept = OnlineModel(on.start(nodes, options), "2024-01-01 00:00:00", 600, str(tmp_path)), []
+    for s in range(4):
+        rows = [(f"2024-01-01 00:{10 * s:02}:00", i, (i + s) % 4, 1 + i) for i in range(4)]
+        before = staged_tables(spark)
+        model.take(spark.createDataFrame(rows, "at string, src int, dst int, n long").withColumn("at", F.col("at").cast("timestamp")), s)
+        kept.append((len(staged_tables(spark)) - len(before), len(os.listdir(tmp_path / "tables"))))
+    assert [x for x, _ in kept[1:]] == [0] * 3 and [x for _, x in kept] == [1, 2, 2, 2]
+    assert sorted((r.step, r.k, r.m) for r in saved_rates(spark, str(tmp_path)).collect()) == [(s, k, m) for s in range(5) for k in (0, 1) for m in (0, 1)]
+    last = np.array([[r.alpha for r in saved_rates(spark, str(tmp_path)).where("step = 4").orderBy("k", "m").collect()]]).reshape(2, 2)
+    assert last == pytest.approx(model.state.params["alpha"])
+
+
 @pytest.mark.parametrize("mode", ["known", "graph"])
 def test_streaming_goes_on_after_a_restart(spark, tmp_path, mode):
-    from eventweave.streaming.online import OnlineModel
+    from eventweave.streaming.online import OnlineModel, saved_rates
 
     nodes = spark.range(4).select(F.col("id").cast("int").alias("node"))
     options = on.Options(k=2, delta=10.0, mode=mode, k_prime=2, n_cavi=1, n_sweeps=1)
@@ -403,6 +509,7 @@ def test_streaming_goes_on_after_a_restart(spark, tmp_path, mode):
     assert (again.state.step, again.taken) == (2, 1)
     again.take(windows[1], 1)  # taken already
     again.take(windows[2], 2)
-    assert again.state.step == 3 and np.array(sorted(again.state.rate_log)) == pytest.approx(np.array(sorted(whole.state.rate_log)))
+    assert again.state.step == 3 and again.state.rate_log == []
+    assert np.array(sorted(map(tuple, saved_rates(spark, str(tmp_path / "model")).collect()))) == pytest.approx(np.array(sorted(whole.state.rate_log)))
     with pytest.raises(ValueError):
         again.take(windows[0], 3)
