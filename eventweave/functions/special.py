@@ -48,6 +48,12 @@ def gamma_kl(alpha_1: Column, beta_1: Column, alpha_2: Column, beta_2: Column) -
     return alpha_2 * F.log(beta_1 / beta_2) - lgamma(alpha_1) + lgamma(alpha_2) + (alpha_1 - alpha_2) * digamma(alpha_1) - (beta_1 - beta_2) * alpha_1 / beta_1
 
 
+def gamma_kl_of(x: tuple[float, float], y: tuple[float, float]) -> float:
+    """The same of numbers, (alpha, beta) each."""
+    (a, b), (c, d) = x, y
+    return c * math.log(b / d) - math.lgamma(a) + math.lgamma(c) + (a - c) * digamma_of(a) - (b - d) * a / b
+
+
 def js_term(p: Column, q: Column) -> Column:
     """A group's part of twice the Jensen-Shannon divergence, with the guards for zeros: a zero
     share counts as 1e-10 in the other's term, and its own term, like any that comes to 0, as 1e-300."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import gamma_kl, js_term
+from ..functions.special import gamma_kl, gamma_kl_of, js_term
+from .scan import exact_medians
+from .storage import staged
 
 
 def kl_lags(rates: DataFrame, most: int) -> DataFrame:
@@ -26,11 +28,10 @@ def mad_score(value: Column, median: Column, mad: Column) -> Column:
     return F.when(mad > 0, off / mad).when(off > 0, F.lit(float("inf")))
 
 
-def mad_scores(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Adds median, mad and score of value among the rows with the same by columns. Two aggregates, joined back on by."""
-    medians = rows.groupBy(*by).agg(F.median(value).alias("median"))
-    joined = rows.join(medians, by)
-    mads = joined.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+def mad_scores(rows: DataFrame, value: str, by: list[str], most_rows: int = 100_000) -> DataFrame:
+    """Adds median, mad and score of value among the rows with the same by columns. Two rounds of exact_medians(), joined back on by."""
+    joined = rows.join(exact_medians(rows, value, by, most_rows=most_rows), by)
+    mads = exact_medians(joined.withColumn("__off", F.abs(F.col(value) - F.col("median"))), "__off", by, "mad", most_rows)
     return joined.join(mads, by).withColumn("score", mad_score(F.col(value), F.col("median"), F.col("mad")))
 
 
@@ -48,18 +49,18 @@ def js_lags(history: DataFrame, k: int, most: int) -> DataFrame:
     return rows.select("step", "x.lag", "node", js.alias("js"), (F.col("best") != F.col("x.obest")).alias("moved"))
 
 
-def js_flags(js: DataFrame, most: int, window: int, limit: float) -> DataFrame:
+def js_flags(js: DataFrame, most: int, window: int, limit: float, most_rows: int = 100_000) -> DataFrame:
     """flags(step, node, low, moved, flagged), for all steps that have others before them in the window.
 
     A node is flagged when log |js| lies over limit median absolute deviations from the median at
     every lag, and its best group differs from all `most` before. Median and MAD are those of the
     window's steps before, over nodes and lags: each divergence goes to the few steps whose window
-    holds it, so one aggregate does for all steps."""
-    js = js.withColumn("log_js", F.log(F.abs("js")))
+    holds it, so all steps are done at once; a step of more than most_rows is counted out (see exact_medians())."""
+    js = staged(js.withColumn("log_js", F.log(F.abs("js"))))
     reach = F.sequence(F.col("step") + 1, F.col("step") + (window - most - 1))
     pool = js.select(F.explode(reach).alias("step"), "log_js")
-    medians = pool.groupBy("step").agg(F.median("log_js").alias("median"))
-    mads = pool.join(medians, "step").groupBy("step").agg(F.median(F.abs(F.col("log_js") - F.col("median"))).alias("mad"))
+    medians = staged(exact_medians(pool, "log_js", ["step"], most_rows=most_rows))  # as many rows as steps
+    mads = exact_medians(pool.join(medians, "step").withColumn("off", F.abs(F.col("log_js") - F.col("median"))), "off", ["step"], "mad", most_rows)
     now = js.join(medians, "step").join(mads, "step")
     score = F.coalesce(mad_score(F.col("log_js"), F.col("median"), F.col("mad")), F.lit(0.0))
     out = now.groupBy("step", "node").agg(F.min(score).alias("low"), F.bool_and("moved").alias("moved"))
@@ -99,50 +100,60 @@ def rate_changes(rates: DataFrame, burn_in: int, buffer: int, lags: int, limit:
     `lags` outliers in a row are a change, stamped with the first; an inlier moves the buffer on;
     after a change the buffer is filled anew. The state isn't a window frame, so each pair's
     posteriors (as many as the record has steps) go through a small Python loop in a task of their own."""
-    fields = "k int, m int, step int"
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
-        out = [(int(pdf["k"].iloc[0]), int(pdf["m"].iloc[0]), s) for s in _detect(list(zip(pdf["alpha"], pdf["beta"], strict=True)), burn_in, buffer, lags, limit)]
-        return pd.DataFrame(out, columns=["k", "m", "step"])
-
-    return rates.groupBy("k", "m").applyInPandas(run, fields)
-
-
-def _detect(posts: list[tuple[float, float]], burn_in: int, buffer: int, lags: int, limit: float) -> Iterator[int]:
-    import math
-    from statistics import median
-
-    from ..functions.special import digamma_of
-
-    def kl(x: tuple[float, float], y: tuple[float, float]) -> float:
-        (a, b), (c, d) = x, y
-        return c * math.log(b / d) - math.lgamma(a) + math.lgamma(c) + (a - c) * digamma_of(a) - (b - d) * a / b
-
-    def spread(kept: list) -> tuple[float, float]:
-        values = [kl(kept[i], kept[i - lag]) for lag in range(1, lags + 1) for i in range(lag, buffer)]
-        middle = median(values)
-        return middle, median(abs(v - middle) for v in values)
-
-    start = burn_in + buffer + 1
-    if len(posts) <= start:
-        return
-    kept, run, waiting = posts[burn_in : burn_in + buffer], 0, -1
-    middle, mad = spread(kept)
-    for step in range(start + 1, len(posts)):
-        if waiting >= 0:
-            kept[waiting] = posts[step - 1 - lags]
-            waiting += 1
-            if waiting == buffer:
-                middle, mad = spread(kept)
-                waiting = -1
-            continue
-        off = abs(kl(posts[step], kept[-1]) - middle)
-        if off / mad > limit if mad > 0 else off > 0:
-            run += 1
-            if run == lags:
-                yield step + 1 - lags
-                run, waiting = 0, 0
-        else:
-            run, kept = 0, [*kept[1:], posts[step]]
-            middle, mad = spread(kept)
+        detector = Detector(burn_in, buffer, lags, limit)
+        found = [detector.push(float(a), float(b)) for a, b in zip(pdf["alpha"], pdf["beta"], strict=True)]
+        return pd.DataFrame([(int(pdf["k"].iloc[0]), int(pdf["m"].iloc[0]), s) for s in found if s is not None], columns=["k", "m", "step"])
+
+    return rates.groupBy("k", "m").applyInPandas(run, "k int, m int, step int")
+
+
+class Detector:
+    """Takes the posteriors of a pair of groups one by one, the prior first; push() gives the step at which a change began once it is told.
+
+    Kept are the buffer, the last lags + 1 posteriors, the run of outliers and how far a buffer is filled anew: state() and restore() carry them over."""
+
+    def __init__(self, burn_in: int, buffer: int, lags: int, limit: float) -> None:
+        self.burn_in, self.buffer, self.lags, self.limit = burn_in, buffer, lags, limit
+        self.seen, self.run, self.waiting = 0, 0, -1
+        self.kept: list[tuple[float, float]] = []
+        self.recent: list[tuple[float, float]] = []
+        self._spread: tuple[float, float] | None = None
+
+    def state(self) -> tuple:
+        flat = lambda posts: [x for p in posts for x in p]
+        return self.seen, self.run, self.waiting, flat(self.kept), flat(self.recent)
+
+    def restore(self, seen: int, run: int, waiting: int, kept: list[float], recent: list[float]) -> None:
+        pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
+        self.seen, self.run, self.waiting, self.kept, self.recent, self._spread = seen, run, waiting, pairs(list(kept)), pairs(list(recent)), None
+
+    def spread(self) -> tuple[float, float]:
+        """Median and MAD of the divergences inside the buffer."""
+        if self._spread is None:
+            values = [gamma_kl_of(self.kept[i], self.kept[i - lag]) for lag in range(1, self.lags + 1) for i in range(lag, self.buffer)]
+            middle = median(values)
+            self._spread = middle, median(abs(v - middle) for v in values)
+        return self._spread
+
+    def push(self, alpha: float, beta: float) -> int | None:
+        step, post, found = self.seen, (alpha, beta), None
+        if self.burn_in <= step < self.burn_in + self.buffer:
+            self.kept.append(post)
+        elif step > self.burn_in + self.buffer + 1:
+            if self.waiting >= 0:
+                self.kept[self.waiting], self._spread = self.recent[0], None  # that of lags + 1 steps before
+                self.waiting = self.waiting + 1 if self.waiting + 1 < self.buffer else -1
+            else:
+                middle, mad = self.spread()
+                off = abs(gamma_kl_of(post, self.kept[-1]) - middle)
+                if off / mad > self.limit if mad > 0 else off > 0:
+                    self.run += 1
+                    if self.run == self.lags:
+                        found, self.run, self.waiting = step + 1 - self.lags, 0, 0
+                else:
+                    self.run, self.kept, self._spread = 0, [*self.kept[1:], post], None
+        self.recent = [*self.recent, post][-(self.lags + 1) :]
+        self.seen += 1
+        return found

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def interval_counts(events: DataFrame, delta: float) -> DataFrame:
-    """counts(step, src, dst, n): events in [step * delta, (step + 1) * delta). One aggregate for all intervals."""
+    """counts(step, src, dst, n): events in [step * delta, (step + 1) * delta). One aggregate for all intervals, and for all runs where events have a column run."""
     step = F.floor(F.col("t") / delta).cast("int")
-    return events.groupBy(step.alias("step"), "src", "dst").agg(F.count("*").alias("n"))
+    return events.groupBy(*(c for c in ("run",) if c in events.columns), step.alias("step"), "src", "dst").agg(F.count("*").alias("n"))
 
 
 def cumulative_counts(counts: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import gamma_quantile
+from .scan import carry_last
+from .storage import if_small
 
 
 def adjusted_rand(labels: DataFrame, by: list[str], a: str = "truth", b: str = "found") -> DataFrame:
@@ -127,11 +129,11 @@ def rate_envelope(rates: DataFrame, low: float = 0.025, high: float = 0.975) ->
 def truth_at(changes: DataFrame, steps: DataFrame) -> DataFrame:
     """truth(step, node, grp): the label of a node's last change at or before each step; changes(node, t, grp), steps(step, t).
 
-    Changes and steps are merged into one sorted stream for a node, so no range join is needed."""
+    Changes and steps are merged into one order, sorted by range, so no range join is needed and a node of
+    many changes is spread over tasks (see carry_last()). Of changes at one time the one with the largest label counts. steps is a short table: it is broadcast after a count."""
     a = changes.select("node", "t", F.lit(0).alias("late"), F.lit(None).cast("int").alias("step"), "grp")
-    b = changes.select("node").distinct().crossJoin(F.broadcast(steps)).select("node", "t", F.lit(1).alias("late"), F.col("step").cast("int").alias("step"), F.lit(None).cast("int").alias("grp"))
-    order = Window.partitionBy("node").orderBy("t", "late", "grp")
-    rows = a.unionByName(b).withColumn("grp", F.last("grp", ignorenulls=True).over(order))
+    b = changes.select("node").distinct().crossJoin(if_small(steps, 100_000)).select("node", "t", F.lit(1).alias("late"), F.col("step").cast("int").alias("step"), F.lit(None).cast("int").alias("grp"))
+    rows = carry_last(a.unionByName(b).where("node is not null").withColumn("same", F.col("grp")), ["node"], ["t", "late", "same"], "grp")
     return rows.where("step is not null").select("step", "node", "grp")
 
 

@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
+from .scan import affine_scan
+
+
+def _run(rows: DataFrame) -> list[str]:
+    return [c for c in ("run",) if c in rows.columns]
 
 
 def block_counts(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """blocks(step, k, m, n): events between groups by step."""
+    """blocks(step, k, m, n): events between groups by step, and by run where counts have one."""
     for end, name in (("src", "k"), ("dst", "m")):
         counts = counts.join(groups.select(F.col("node").alias(end), F.col("grp").alias(name)), end)
-    return counts.groupBy("step", "k", "m").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*_run(counts), "step", "k", "m").agg(F.sum("n").alias("n"))
 
 
 def block_pairs(groups: DataFrame) -> DataFrame:
@@ -38,26 +43,21 @@ def soft_block_counts(counts: DataFrame, tau: DataFrame, k: int) -> DataFrame:
 
 
 def fill_steps(blocks: DataFrame, pairs: DataFrame, steps: int) -> DataFrame:
-    """blocks with a row for every step and pair of groups, and the pairs' number."""
+    """blocks with a row for every step and pair of groups (of every run), and the pairs' number."""
     grid = pairs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    return grid.join(blocks, ["step", "k", "m"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-def rate_recursion(blocks: DataFrame, forget: float, delta: float, alpha_0: float = 1.0, beta_0: float = 1.0) -> DataFrame:
-    """rate_post(step, k, m, alpha, beta): the gamma posterior after each step, with forgetting.
+    for c in _run(blocks):
+        grid = grid.crossJoin(blocks.select(c).distinct())
+    return grid.join(blocks, [*_run(blocks), "step", "k", "m"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
-    alpha' = forget (alpha - 1) + n + 1, beta' = forget beta + delta pairs: a fold over the steps
-    of a pair of groups, which are as many as the record has intervals."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col("step"), F.col("n").cast("double").alias("n"), (F.col("pairs") * delta).cast("double").alias("time"))))
-    state = F.struct(F.lit(-1).alias("step"), F.lit(float(alpha_0)).alias("alpha"), F.lit(float(beta_0)).alias("beta"))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = F.struct(x["step"].alias("step"), (forget * (last["alpha"] - 1) + x["n"] + 1).alias("alpha"), (forget * last["beta"] + x["time"]).alias("beta"))
-        return F.concat(done, F.array(new))
+def rate_recursion(blocks: DataFrame, forget: float, delta: float, alpha_0: float = 1.0, beta_0: float = 1.0, chunk: int = 64) -> DataFrame:
+    """rate_post(step, k, m, alpha, beta): the gamma posterior after each step, with forgetting; of each run by itself where blocks have a column run.
 
-    folded = blocks.groupBy("k", "m").agg(F.aggregate(steps, F.array(state), add).alias("post"))
-    return folded.select("k", "m", F.explode("post").alias("x")).select("x.step", "k", "m", "x.alpha", "x.beta").where("step >= 0")
+    alpha' - 1 = forget (alpha - 1) + n, beta' = forget beta + delta pairs: affine maps, scanned in chunks of
+    steps (see affine_scan()), so that a long record of one pair of groups is work for many tasks."""
+    adds = {"alpha": F.col("n"), "beta": F.col("pairs") * delta}
+    post = affine_scan(blocks, [*_run(blocks), "k", "m"], "step", F.lit(float(forget)), adds, {"alpha": alpha_0 - 1, "beta": beta_0}, chunk)
+    return post.select(*_run(blocks), F.col("step").cast("int").alias("step"), "k", "m", (F.col("alpha") + 1).alias("alpha"), "beta")
 
 
 def group_mass(tau: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import DELTA, GROUPS, LOG_RATE, LOG_WEIGHT, RATE, SOFT, STEPS
+from .queries import DELTA, GROUPS, LOG_RATE, LOG_WEIGHT, RATE, RUNS, SOFT
 
 EVENTS = """ev AS (SELECT c_nationkey AS src, s_nationkey AS dst, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
@@ -11,7 +11,7 @@ GRP = "grp AS (SELECT n_nationkey AS node, n_regionkey AS grp FROM nation)"
 SIZES = "sizes AS (SELECT grp, count(*) AS c FROM grp GROUP BY grp)"
 PAIRS = "pairs AS (SELECT a.grp AS k, b.grp AS m, a.c * b.c AS pairs FROM sizes a, sizes b)"
 BLOCKS = "blk AS (SELECT step, a.grp AS k, b.grp AS m, sum(n) AS n FROM cnt JOIN grp a ON src = a.node JOIN grp b ON dst = b.node GROUP BY ALL)"
-GRID = f"grid AS (SELECT step, k, m, pairs, coalesce(n, 0) AS n FROM pairs CROSS JOIN (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step) LEFT JOIN blk USING (step, k, m))"
+GRID = f"grid AS (SELECT step, k, m, pairs, coalesce(n, 0) AS n FROM pairs CROSS JOIN (SELECT CAST(unnest(range((SELECT max(step) + 1 FROM cnt))) AS INTEGER) AS step) LEFT JOIN blk USING (step, k, m))"
 WEIGHTS = [f"(1.0::DOUBLE + (node * 7 + {3 * i}) % 5)" for i in range(SOFT)]
 TOTAL = "(" + " + ".join(WEIGHTS) + ")"
 SOFT_TAU = f"tau AS (SELECT n_nationkey AS node, n_regionkey AS grp, {', '.join(f'{w} / {TOTAL} AS p{i}' for i, w in enumerate(WEIGHTS))} FROM (SELECT *, n_nationkey AS node FROM nation))"
@@ -33,6 +33,17 @@ def rates(forget: float, name: str = "rates") -> str:
 BASE = f"WITH {COUNTS}, {GRP}, {SIZES}, {PAIRS}, {BLOCKS}, {GRID}"
 
 
+#: The recursion as sums of powers of 0.1, for the trades in runs by customer and two groups of nations.
+RUN_RATES = f"""WITH ev AS (SELECT o_custkey % {RUNS} AS run, c_nationkey AS src, s_nationkey AS dst, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / {DELTA}) AS INTEGER) AS step
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+  g2 AS (SELECT n_nationkey AS node, n_regionkey % 2 AS grp FROM nation),
+  pr AS (SELECT a.grp AS k, b.grp AS m, count(*) AS pairs FROM g2 a, g2 b GROUP BY a.grp, b.grp),
+  bl AS (SELECT run, step, a.grp AS k, b.grp AS m, count(*) AS n FROM ev JOIN g2 a ON src = a.node JOIN g2 b ON dst = b.node GROUP BY ALL),
+  st AS (SELECT CAST(unnest(range((SELECT max(step) + 1 FROM ev))) AS INTEGER) AS step),
+  post AS (SELECT CAST(r.run AS INTEGER) AS run, s.step, k, m, 1 + coalesce((SELECT sum(n * pow(0.1::DOUBLE, s.step - b.step)) FROM bl b WHERE b.run = r.run AND b.k = pr.k AND b.m = pr.m AND b.step <= s.step), 0) AS alpha,
+    pow(0.1::DOUBLE, s.step + 1) + pairs * {DELTA} * (1 - pow(0.1::DOUBLE, s.step + 1)) / 0.9::DOUBLE AS beta FROM st s, pr, (SELECT DISTINCT run FROM ev) r)"""
+
+
 def psi(x: str) -> str:
     y = f"(({x}) + 8)"
     series = " - ".join(f"1.0::DOUBLE / (({x}) + {i})" for i in range(8))
@@ -41,7 +52,7 @@ def psi(x: str) -> str:
 
 SIGMA = f"""sg AS (SELECT st.step, a.node AS src, b.node AS dst, a.grp AS k, b.grp AS m, CASE WHEN s.src IS NOT NULL THEN 1.0::DOUBLE ELSE
   0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.125::DOUBLE * (st.step + 1)) / (0.7::DOUBLE + 0.3::DOUBLE * exp(-(1 + a.grp + 2 * b.grp) * 0.125::DOUBLE * (st.step + 1))) END AS sigma
-  FROM grp a CROSS JOIN grp b CROSS JOIN (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step) st LEFT JOIN (SELECT src, dst, min(step) AS first FROM cnt GROUP BY src, dst) s ON s.src = a.node AND s.dst = b.node AND s.first <= st.step)"""
+  FROM grp a CROSS JOIN grp b CROSS JOIN (SELECT CAST(unnest(range((SELECT max(step) + 1 FROM cnt))) AS INTEGER) AS step) st LEFT JOIN (SELECT src, dst, min(step) AS first FROM cnt GROUP BY src, dst) s ON s.src = a.node AND s.dst = b.node AND s.first <= st.step)"""
 
 
 def _scores() -> str:
@@ -49,7 +60,7 @@ def _scores() -> str:
     rows = " UNION ALL ".join(f"SELECT {k} AS k, {m} AS m, {RATE[k][m]}::DOUBLE AS e, {LOG_RATE[k][m]}::DOUBLE AS l, {RATE[m][k]}::DOUBLE AS eb, {LOG_RATE[m][k]}::DOUBLE AS lb" for k in range(SOFT) for m in range(SOFT))
     weights = " ".join(f"WHEN {i} THEN {w}::DOUBLE" for i, w in enumerate(LOG_WEIGHT))
     share = "CASE m " + " ".join(f"WHEN {i} THEN b.p{i}" for i in range(SOFT)) + " END"
-    return f"""WITH {COUNTS}, {SOFT_TAU}, par AS ({rows}), st AS (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step),
+    return f"""WITH {COUNTS}, {SOFT_TAU}, par AS ({rows}), st AS (SELECT CAST(unnest(range((SELECT max(step) + 1 FROM cnt))) AS INTEGER) AS step),
     terms AS (
       SELECT st.step, a.node, k, {share} * (coalesce(o.n, 0) * l - CASE WHEN o.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * e END + coalesce(i.n, 0) * lb - CASE WHEN i.n IS NULL THEN 0 ELSE {DELTA}::DOUBLE * eb END) AS x
       FROM st CROSS JOIN tau a CROSS JOIN tau b CROSS JOIN par LEFT JOIN cnt o ON o.step = st.step AND o.src = a.node AND o.dst = b.node LEFT JOIN cnt i ON i.step = st.step AND i.src = b.node AND i.dst = a.node
@@ -59,7 +70,7 @@ def _scores() -> str:
 
 
 TAU_STEPS = f"""his AS (SELECT step, g.node, {', '.join(f'(coalesce(n{i}, 0) + 1) / (coalesce(total, 0) + {GROUPS}.0::DOUBLE) AS p{i}' for i in range(GROUPS))}
-  FROM grp g CROSS JOIN (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step)
+  FROM grp g CROSS JOIN (SELECT CAST(unnest(range((SELECT max(step) + 1 FROM cnt))) AS INTEGER) AS step)
   LEFT JOIN (SELECT step, dst AS node, sum(n) AS total, {', '.join(f'sum(CASE WHEN grp = {i} THEN n ELSE 0 END) AS n{i}' for i in range(GROUPS))} FROM cnt JOIN grp ON node = src GROUP BY step, dst) USING (step, node)),
 lab AS (SELECT step, node, {' '.join(f'CASE WHEN p{i} = greatest({", ".join(f"p{j}" for j in range(GROUPS))}) THEN {i} ELSE' for i in range(GROUPS - 1))} {GROUPS - 1} {'END ' * (GROUPS - 1)} AS grp FROM his)"""
 JS = " + ".join(f"a.p{i} * ln(2 * a.p{i} / (a.p{i} + b.p{i})) + b.p{i} * ln(2 * b.p{i} / (a.p{i} + b.p{i}))" for i in range(GROUPS))
@@ -86,7 +97,7 @@ walk AS (
   FROM (SELECT *, CASE WHEN mad > 0 THEN x / mad > 3 ELSE x > 0 END AS far FROM (
     SELECT *, abs(d[step + 2][kept[6] + 1] - md) AS x, list_median([abs(v - md) FOR v IN vals]) AS mad FROM (
       SELECT *, list_median(vals) AS md FROM (
-        SELECT *, list_concat([d[kept[i + 1] + 1][kept[i] + 1] FOR i IN range(1, 6)], [d[kept[i + 1] + 1][kept[i - 1] + 1] FOR i IN range(2, 6)]) AS vals FROM walk WHERE step < {STEPS})))))"""
+        SELECT *, list_concat([d[kept[i + 1] + 1][kept[i] + 1] FOR i IN range(1, 6)], [d[kept[i + 1] + 1][kept[i - 1] + 1] FOR i IN range(2, 6)]) AS vals FROM walk WHERE step < (SELECT max(step) + 1 FROM cnt))))))"""
 #: Quantiles by bisection on the distribution function's series.
 ENVELOPE = """bi AS (
   SELECT step, k, m, alpha, beta, p, 0.0::DOUBLE AS lo, alpha + 10 * sqrt(alpha) + 20 AS hi, 0 AS i FROM rates, (SELECT unnest([0.025, 0.975]::DOUBLE[]) AS p)
@@ -132,15 +143,15 @@ SQL = {
       SELECT step, src, dst, {r6('median')} AS median, {r6('mad')} AS mad, {r6("CASE WHEN mad > 0 THEN abs(n - median) / mad END")} AS score FROM cnt JOIN s USING (src, dst)""",
     "js_divergence_lag": f"{HISTORY}, {JS_ROWS} SELECT step, lag, node, {r6('js')} AS js, moved FROM js",
     "js_flag": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
-      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(1, 28)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 8 AND lj.step < s.step GROUP BY s.step)
+      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(1, (SELECT max(step) + 1 FROM cnt))) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 8 AND lj.step < s.step GROUP BY s.step)
       SELECT step, node, CASE WHEN min({OFF}) < 1e300 THEN {r6(f'min({OFF})')} END AS low, bool_and(moved) AS moved, min({OFF}) > 0.4 AND bool_and(moved) AS flagged FROM lj JOIN st USING (step) GROUP BY step, node""",
     "group_changes": f"""{HISTORY}, {JS_ROWS}, lj AS (SELECT *, ln(abs(CASE WHEN js = 0 THEN {GROUPS}e-300 ELSE js END)) AS x FROM js),
-      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(12, 27)) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 6 AND lj.step < s.step GROUP BY s.step),
+      st AS (SELECT s.step, median(x) AS md, mad(x) AS mad FROM (SELECT CAST(unnest(range(12, (SELECT max(step) FROM cnt))) AS INTEGER) AS step) s JOIN lj ON lj.step > s.step - 6 AND lj.step < s.step GROUP BY s.step),
       fl AS (SELECT step + 1 AS step, node FROM lj JOIN st USING (step) GROUP BY step, node HAVING min({OFF}) > 0.4 AND bool_and(moved))
       SELECT l.step, l.node, last_value(CASE WHEN l.step = 3 OR fl.node IS NOT NULL THEN l.grp END IGNORE NULLS) OVER (PARTITION BY l.node ORDER BY l.step) AS grp, fl.node IS NOT NULL AS flagged
       FROM lab l LEFT JOIN fl ON fl.step = l.step AND fl.node = l.node WHERE l.step >= 3""",
-    "station_groups": f"""{HISTORY}, la AS (SELECT node, grp FROM lab WHERE step = {STEPS - 1}), sh AS (SELECT grp, CAST(row_number() OVER (ORDER BY min(node)) - 1 AS INTEGER) AS shown FROM la GROUP BY grp)
-      SELECT grp, node, n_name AS name, shown FROM la JOIN sh USING (grp) JOIN nation ON n_nationkey = node""",
+    "station_groups": f"""{HISTORY}, la AS (SELECT node, grp FROM lab WHERE step = (SELECT max(step) FROM cnt)), sh AS (SELECT grp, CAST(row_number() OVER (ORDER BY min(node)) - 1 AS INTEGER) AS shown FROM la GROUP BY grp)
+      SELECT grp, node, n_name AS name, {r6("51.4::DOUBLE + n_nationkey * 0.007::DOUBLE")} AS latitude, {r6("-0.2::DOUBLE + (n_nationkey * 13 % 25) * 0.011::DOUBLE")} AS longitude, shown FROM la JOIN sh USING (grp) JOIN nation ON n_nationkey = node""",
     "adjusted_rand": f"""{HISTORY}, cells AS (SELECT step, l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) GROUP BY ALL),
       x AS (SELECT step, sum(n * (n - 1) / 2.0::DOUBLE) AS b, sum(n) AS total FROM cells GROUP BY step),
       y AS (SELECT step, sum(n * (n - 1) / 2.0::DOUBLE) AS a FROM (SELECT step, f, sum(n) AS n FROM cells GROUP BY step, f) GROUP BY step),
@@ -153,8 +164,11 @@ SQL = {
       SELECT step, {r6('CASE WHEN abs(first - 0.4::DOUBLE) < abs(first - 0.6::DOUBLE) THEN 1 - x ELSE x END')} AS share FROM s, f""",
     "carried_labels": f"{HISTORY} SELECT step, node, last_value(CASE WHEN step = 0 OR (node + step) % 7 = 0 THEN grp END IGNORE NULLS) OVER (PARTITION BY node ORDER BY step) AS grp FROM lab",
     "rate_changes": f"{RECURSIVE}, {rates(0.1)}, {RATE_WALK} SELECT k, m, CAST(found AS INTEGER) AS step FROM walk WHERE found IS NOT NULL",
+    "rate_mean_over_runs": f"""{RUN_RATES} SELECT step, k, m, count(*) AS runs, {r6('avg(alpha / beta)')} AS mean, {r6('min(alpha / beta)')} AS least, {r6('max(alpha / beta)')} AS most FROM post GROUP BY step, k, m""",
+    "aligned_runs": f"""{RUN_RATES}, top AS (SELECT run, arg_max(k * 2 + m, alpha / beta) = 3 AS swap FROM post WHERE step = 5 GROUP BY run)
+      SELECT run, step, CASE WHEN swap THEN 1 - k ELSE k END AS k, CASE WHEN swap THEN 1 - m ELSE m END AS m, {r6('alpha')} AS alpha, {r6('beta')} AS beta FROM post JOIN top USING (run)""",
     "rate_envelope": f"{RECURSIVE}, {rates(0.1)}, {ENVELOPE} SELECT step, k, m, {r6('max(alpha / beta)')} AS mean, {r6('max(lo / beta) FILTER (p < 0.5)')} AS low, {r6('max(lo / beta) FILTER (p > 0.5)')} AS high FROM bi WHERE i = 55 GROUP BY step, k, m",
-    "label_alignment": f"""{HISTORY.replace("WITH", "WITH RECURSIVE", 1)}, cells AS (SELECT l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) WHERE step = {STEPS - 1} GROUP BY ALL),
+    "label_alignment": f"""{HISTORY.replace("WITH", "WITH RECURSIVE", 1)}, cells AS (SELECT l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) WHERE step = (SELECT max(step) FROM cnt) GROUP BY ALL),
       pe AS (SELECT CAST([] AS BIGINT[]) AS p, CAST(0 AS BIGINT) AS total UNION ALL
         SELECT list_append(p, g), CAST(total + coalesce(n, 0) AS BIGINT) FROM pe CROSS JOIN (SELECT unnest(range({GROUPS})) AS g) LEFT JOIN cells ON f = len(p) AND t = g WHERE len(p) < {GROUPS} AND NOT list_contains(p, g)),
       best AS (SELECT p FROM pe WHERE len(p) = {GROUPS} ORDER BY total DESC, p LIMIT 1)

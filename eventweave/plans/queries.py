@@ -16,7 +16,7 @@ from ..operators import posterior as po
 from ..operators import relabel as rl
 from ..sources import networks as nw
 
-DELTA, STEPS, GROUPS, SOFT = 90.0, 28, 5, 3
+DELTA, GROUPS, SOFT = 90.0, 5, 3
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +30,12 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return ct.interval_counts(nw.trade_events(spark, sf), DELTA)
 
 
+def _steps(spark: SparkSession, sf: str, delta: float = DELTA) -> int:
+    """How many intervals the record has: the last shipment's and those before. One column of one table is read."""
+    last = nw.table(spark, sf, "lineitem").agg(F.max(F.datediff("l_shipdate", F.lit(nw.EPOCH)))).first()[0]
+    return 0 if last is None else int(last // delta) + 1
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return nw.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("grp"))
 
@@ -92,9 +98,12 @@ def week_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return nw.table(spark, sf, "events").groupBy(week.alias("week")).agg(F.count("*").alias("n"))
 
 
+def _stations(spark: SparkSession, sf: str) -> DataFrame:
+    return nw.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), (51.4 + F.col("n_nationkey") * 0.007).alias("latitude"), (-0.2 + F.pmod(F.col("n_nationkey") * 13, F.lit(25)) * 0.011).alias("longitude"))
+
+
 def haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    stations = nw.table(spark, sf, "nation").select(F.col("n_name").alias("name"), (51.4 + F.col("n_nationkey") * 0.007).alias("latitude"), (-0.2 + F.pmod(F.col("n_nationkey") * 13, F.lit(25)) * 0.011).alias("longitude"))
-    return rounded(rl.distances(stations), "km")
+    return rounded(rl.distances(_stations(spark, sf)), "km")
 
 
 def block_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +120,7 @@ def block_soft_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rates(spark: SparkSession, sf: str, forget: float) -> DataFrame:
     groups = _groups(spark, sf)
-    blocks = po.fill_steps(po.block_counts(_counts(spark, sf), groups), po.block_pairs(groups), STEPS)
+    blocks = po.fill_steps(po.block_counts(_counts(spark, sf), groups), po.block_pairs(groups), _steps(spark, sf))
     return po.rate_recursion(blocks, forget, DELTA)
 
 
@@ -128,6 +137,27 @@ def rate_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.rate_envelope(_rates(spark, sf, 0.1)), "mean", "low", "high")
 
 
+RUNS = 4
+
+
+def _run_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """rate_post(run, step, k, m, alpha, beta): the trades in RUNS runs by customer, nations in two groups; all runs in one plan."""
+    counts = ct.interval_counts(nw.trade_events(spark, sf, RUNS), DELTA)
+    groups = _groups(spark, sf).withColumn("grp", F.col("grp") % 2)
+    return po.rate_recursion(po.fill_steps(po.block_counts(counts, groups), po.block_pairs(groups), _steps(spark, sf)), 0.1, DELTA)
+
+
+def rate_mean_over_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and spread of the runs' posterior mean rates."""
+    rows = _run_rates(spark, sf).withColumn("rate", F.col("alpha") / F.col("beta"))
+    return rounded(rows.groupBy("step", "k", "m").agg(F.count("*").alias("runs"), F.avg("rate").alias("mean"), F.min("rate").alias("least"), F.max("rate").alias("most")), "mean", "least", "most")
+
+
+def aligned_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs' rates with groups named alike: swapped where the highest rate at step 5 lies within group 1."""
+    return rounded(ev.align_two(_run_rates(spark, sf)), "alpha", "beta")
+
+
 def group_dirichlet_update(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(po.dirichlet_update(po.group_mass(_soft(spark, sf), SOFT), 2.0, 0.7), "gamma")
 
@@ -141,7 +171,7 @@ def _sigma(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _groups(spark, sf)
     pairs = nodes.select(F.col("node").alias("src"), F.col("grp").alias("k")).crossJoin(nodes.select(F.col("node").alias("dst"), F.col("grp").alias("m")))
     expected = (1 + F.col("k") + 2 * F.col("m")) * 0.125 * (F.col("step") + 1)
-    rows = pairs.join(ct.first_seen(_counts(spark, sf)), ["src", "dst"], "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    rows = pairs.join(ct.first_seen(_counts(spark, sf)), ["src", "dst"], "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(_steps(spark, sf) - 1))))
     return rows.select("step", "src", "dst", F.when(F.col("first_step") <= F.col("step"), 1.0).otherwise(po.edge_posterior(expected, F.lit(0.3))).alias("sigma"))
 
 
@@ -163,7 +193,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     """One sweep in every interval, from the same shares."""
     tau = _soft(spark, sf)
     sums = po.neighbour_sums(_counts(spark, sf).withColumn("w", F.lit(1.0)), tau, SOFT, by=("step", "node"))
-    every = tau.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    every = tau.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(_steps(spark, sf) - 1))))
     return po.membership_scores(every, sums, LOG_WEIGHT, LOG_RATE, RATE, DELTA, self_weight=False)
 
 
@@ -199,7 +229,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
     groups = _groups(spark, sf)
     counts = _counts(spark, sf).join(groups.select(F.col("node").alias("src"), "grp"), "src")
     sums = counts.groupBy("step", F.col("dst").alias("node")).agg(*(F.sum(F.when(F.col("grp") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(GROUPS)))
-    grid = groups.select("node").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    grid = groups.select("node").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(_steps(spark, sf) - 1))))
     rows = grid.join(sums, ["step", "node"], "left").na.fill(0)
     total = sum((F.col(f"n{i}") for i in range(1, GROUPS)), F.col("n0")) + float(GROUPS)
     return rows.select("step", "node", *(((F.col(f"n{i}") + 1) / total).alias(f"p{i}") for i in range(GROUPS)))
@@ -212,7 +242,7 @@ def js_divergence_lag(spark: SparkSession, sf: str) -> DataFrame:
 def js_flag(spark: SparkSession, sf: str) -> DataFrame:
     flags = cp.js_flags(cp.js_lags(_history(spark, sf), GROUPS, 2), 2, 10, 0.4)
     finite = F.when(F.col("low") < float("inf"), F.col("low"))
-    return rounded(flags.where(F.col("step") < STEPS).withColumn("low", finite), "low")
+    return rounded(flags.where(F.col("step") < _steps(spark, sf)).withColumn("low", finite), "low")
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,7 +281,7 @@ def truth_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_alignment(spark: SparkSession, sf: str) -> DataFrame:
     truth = _groups(spark, sf).select("node", F.col("grp").alias("truth"))
-    last = _labels(spark, sf).where(F.col("step") == STEPS - 1).select("node", F.col("grp").alias("found"))
+    last = _labels(spark, sf).where(F.col("step") == _steps(spark, sf) - 1).select("node", F.col("grp").alias("found"))
     return ev.best_alignment(last.join(truth, "node"), GROUPS)
 
 
@@ -271,9 +301,9 @@ def weekly_file_grid(spark: SparkSession, sf: str) -> DataFrame:
     return nw.weekly_files(spark)
 
 
-def _online(spark: SparkSession, sf: str, delta: float = DELTA, steps: int = STEPS, **options) -> tuple[DataFrame, DataFrame, on.State]:
+def _online(spark: SparkSession, sf: str, delta: float = DELTA, **options) -> tuple[DataFrame, DataFrame, on.State]:
     counts = ct.interval_counts(nw.trade_events(spark, sf), delta)
-    return on.run_online(counts, _groups(spark, sf).select("node"), on.Options(delta=delta, forget_rate=0.1, n_cavi=2, n_sweeps=3, **options), steps)
+    return on.run_online(counts, _groups(spark, sf).select("node"), on.Options(delta=delta, forget_rate=0.1, n_cavi=2, n_sweeps=3, **options), _steps(spark, sf, delta))
 
 
 def online_known_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,7 +316,7 @@ def online_infer_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def online_infer_graph(spark: SparkSession, sf: str) -> DataFrame:
     """The whole record in seven intervals of 360 days: an interval has twelve sweeps and four tables of the graph."""
-    return on.edge_probabilities(_online(spark, sf, 360.0, 7, k=2, mode="graph", k_prime=2)[2])
+    return on.edge_probabilities(_online(spark, sf, 360.0, k=2, mode="graph", k_prime=2)[2])
 
 
 def group_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,14 +324,14 @@ def group_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def station_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as stations, with their last label, numbered by first appearance."""
-    stations = nw.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
-    return ev.station_groups(stations, _labels(spark, sf).where(F.col("step") == STEPS - 1))
+    """Nations as stations with their places and last label, numbered by first appearance."""
+    stations = _stations(spark, sf)
+    return ev.station_groups(rounded(stations, "latitude", "longitude"), _labels(spark, sf).where(F.col("step") == _steps(spark, sf) - 1))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
-    week_bucket, haversine_pairs, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, group_dirichlet_update, stick_breaking_update,
+    week_bucket, haversine_pairs, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
     churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}

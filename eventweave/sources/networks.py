@@ -12,14 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edge_events(src, dst, t): nation of the customer, nation of the supplier, days of the shipment since EPOCH."""
+def trade_events(spark: SparkSession, sf_dir: str, runs: int = 0) -> DataFrame:
+    """edge_events(src, dst, t): nation of the customer, nation of the supplier, days of the shipment since EPOCH; with runs, a column run from 0, by customer."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
     rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("src", "dst", F.datediff("l_shipdate", F.lit(EPOCH)).cast("double").alias("t"))
+    run = [(F.col("o_custkey") % runs).cast("int").alias("run")] if runs else []
+    return rows.select(*run, "src", "dst", F.datediff("l_shipdate", F.lit(EPOCH)).cast("double").alias("t"))
 
 
 def transition_events(spark: SparkSession, sf_dir: str) -> DataFrame:
