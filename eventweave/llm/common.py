@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.storage import shared_root, staged, unstaged
+from ..operators.storage import if_small, shared_root, staged, unstaged
 
 __all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged"]
 
@@ -25,13 +25,6 @@ def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
         spark.conf.set(key, f"{most_mb}m")
 
 
-def if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has been counted to at most most_rows rows.
-
-    Else df as it is: the join is then a shuffle join, which AQE splits where it is skewed."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     """The Arrow type of a column, ids of any kind included."""
     return to_arrow_type(df.schema[name].dataType)
