@@ -291,21 +291,40 @@ def _update_graph(state: State, prior: dict, counts: DataFrame) -> None:
     p["eta"] = o.forget_rho * (prior["eta"] - 1) + got["to"] + 1
     p["zeta"] = o.forget_rho * (prior["zeta"] - 1) + np.outer(got["mass"], got["mass"]) - got["to"] + 1
     now = state.tau.select("node", best_group(o.k).alias("z")).join(state.tau_prime.select("node", best_group(kp).alias("g")), "node")
-    # Histories with the same expected counts could be one: they are as many as ways in which labels went.
-    old = state.kinds.select("node", "c") if state.kinds is not None else state.tau.select("node", F.lit(0).alias("c"))
-    now = staged(now.join(old, "node"))
-    # Histories are numbered anew: there are as many as ways in which labels have gone.
-    ways = now.select("c", "z").distinct().withColumn("way", F.xxhash64(F.col("c").cast("long"), F.col("z").cast("long")))
-    rate = (p["alpha"] / p["beta"]).ravel().tolist()
-    before = state.big if state.big is not None else now.sparkSession.range(1).select(F.lit(0).alias("ca"), F.lit(0).alias("cb"), F.lit(0.0).alias("big"))
-    a, b = (ways.select(F.col("c").alias(f"c{x}"), F.col("z").alias(f"z{x}"), F.col("way").alias(f"way{x}")) for x in "ab")
-    lam = F.element_at(F.array(*map(F.lit, rate)), (F.col("za") * o.k + F.col("zb") + 1).cast("int"))
-    state.big = staged(before.join(a, "ca").join(b, "cb").select(F.col("waya").alias("ca"), F.col("wayb").alias("cb"), (F.col("big") + lam).alias("big")))
-    state.kinds = staged(now.join(ways, ["c", "z"]).select("node", F.col("way").alias("c"), "g"))
+    old = state.kinds.select("node", "c") if state.kinds is not None else state.tau.select("node", F.lit(0).cast("long").alias("c"))
+    before = state.big if state.big is not None else now.sparkSession.createDataFrame([(0, 0, 0.0)], "ca long, cb long, big double")
+    state.kinds, state.big = _histories(staged(now.join(old, "node")), before, p["alpha"] / p["beta"], GONE / o.delta)
     seen = counts.where("n > 0").select("src", "dst")
     state.seen = staged(seen if state.seen is None else state.seen.union(seen).distinct())
 
 
+#: exp(-GONE) is 0 in doubles: beyond so many expected events an edge without any is out of the question, and more of them change nothing.
+GONE = 750.0
+
+
+def _histories(now: DataFrame, before: DataFrame, rates: np.ndarray, most: float) -> tuple[DataFrame, DataFrame]:
+    """(kinds(node, c, g), big(ca, cb, big)) after an interval with labels now(node, c, z, g; c: the history so far) and group rates.
+
+    A history goes on by the nodes' labels; expected events stop at most. Histories whose expected events with all others agree, both ways,
+    are one from then on: what lies so far back that nothing hangs on it is forgotten, and there are as many histories as
+    label sequences over the intervals that still count, not over the whole record."""
+    k = len(rates)
+    ways = now.select("c", "z").distinct().withColumn("way", F.xxhash64("c", F.col("z").cast("long")))
+    a, b = (ways.select(F.col("c").alias(f"c{x}"), F.col("z").alias(f"z{x}"), F.col("way").alias(f"way{x}")) for x in "ab")
+    lam = F.element_at(F.array(*map(F.lit, rates.ravel().tolist())), (F.col("za") * k + F.col("zb") + 1).cast("int"))
+    big = staged(before.join(a, "ca").join(b, "cb").select(F.col("waya").alias("ca"), F.col("wayb").alias("cb"), F.least(F.col("big") + lam, F.lit(float(most))).alias("big")))
+    rows = {x: big.groupBy(F.col(x).alias("way")).agg(*(F.bit_xor(F.xxhash64(other, "big", F.lit(i))).alias(f"{x}{i}") for i in (0, 1))) for x, other in (("ca", "cb"), ("cb", "ca"))}
+    marks = ["ca0", "ca1", "cb0", "cb1"]
+    alike = rows["ca"].join(rows["cb"], "way")
+    one = alike.groupBy(*marks).agg(F.min("way").alias("one"))
+    alike = staged(alike.join(one, marks).select("way", "one"))
+    kept = alike.select("one").distinct()
+    kinds = now.join(ways, ["c", "z"]).join(alike, "way").select("node", F.col("one").alias("c"), "g")
+    for x in ("ca", "cb"):
+        big = big.join(kept.withColumnRenamed("one", x), x, "left_semi")
+    return staged(kinds), staged(big.select("ca", "cb", "big"))
+
+
 def edge_probabilities(state: State) -> DataFrame:
     """sigma(src, dst, sigma) of all pairs of nodes: as large as the network squared, for small networks only."""
     a, b = (state.kinds.select(F.col("node").alias(e), F.col("c").alias(f"c{x}"), F.col("g").alias(f"g{x}")) for e, x in (("src", "a"), ("dst", "b")))

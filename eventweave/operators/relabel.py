@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_station, haversine, minutes_since, week_of
+from ..functions.text import EARTH_RADIUS, clean_station, haversine, minutes_since, week_of
 from .storage import staged
 
 
@@ -41,6 +41,47 @@ def distances(stations: DataFrame) -> DataFrame:
     return pairs.select("name_1", "name_2", haversine(*(F.col(c) for c in ("latitude_1", "longitude_1", "latitude_2", "longitude_2"))).alias("km"))
 
 
+#: Cells of the finest level have an edge of 2 ** -FINEST of the earth's radius, less than a metre; those of level 0 one of 2, which covers the sphere.
+FINEST = 24
+
+
+def nearest_stations(stations: DataFrame, k: int) -> DataFrame:
+    """near(name, rank, other, km): the k nearest other stations of each, ties by name; exact, on the whole sphere, without pairing all with all.
+
+    Stations are points on the unit sphere in three dimensions, so that poles and the date line are nothing special, in cubes of edge 2, 1, 1/2 ... A station begins at
+    the finest level at which more than k share its cube, and looks into the 27 cubes around: they hold all within an edge's length. If its k-th
+    lies within that, it is done; else it goes on at the next coarser level. Cubes are counted at all levels by one aggregate. Names are unique."""
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    points = stations.select("name", "latitude", "longitude", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+    cube = ["level", "i", "j", "l"]
+    edge = F.pow(F.lit(2.0), 1 - F.col("level"))
+    in_cubes = lambda rows: rows.select("*", *(F.floor((F.col(c) + 1) / edge).cast("long").alias(n) for c, n in zip("xyz", cube[1:], strict=True)))
+    every = in_cubes(points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST)))))
+    full = staged(every.groupBy(*cube).agg(F.count("*").alias("n")).where(F.col("n") > k).select(cube))
+    first = every.join(full, cube).groupBy("name").agg(F.max("level").alias("level"))
+    open_ = staged(points.join(first, "name", "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    done = None
+    while True:
+        levels = [r[0] for r in open_.select("level").distinct().collect()]  # at most FINEST + 1
+        if not levels:
+            break
+        data = in_cubes(points.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))))
+        data = data.select(*cube, *(F.col(c).alias(f"other_{c}") for c in ("name", "latitude", "longitude")))
+        asks = in_cubes(open_)
+        for c in cube[1:]:
+            asks = asks.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        near = asks.join(data, cube).where("name <> other_name").withColumn("km", haversine(*(F.col(c) for c in ("latitude", "longitude", "other_latitude", "other_longitude"))))
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("km", "other_name"))).where(F.col("rank") <= k).select("name", "level", "rank", "other_name", "km")
+        best = staged(best)
+        chord = 2 * F.sin(F.max("km") / (2 * EARTH_RADIUS))
+        enough = best.groupBy("name").agg(F.max("rank").alias("n"), chord.alias("far"), F.max("level").alias("level"))
+        enough = staged(enough.where((F.col("level") == 0) | ((F.col("n") == k) & (F.col("far") <= edge * (1 - 1e-9)))).select("name"))
+        found = best.join(enough, "name").select("name", "rank", F.col("other_name").alias("other"), "km")
+        done = found if done is None else done.unionByName(found)
+        open_ = staged(open_.where("level > 0").join(enough, "name", "left_anti").withColumn("level", F.col("level") - 1))
+    return done if done is not None else points.select("name", F.lit(0).alias("rank"), F.col("name").alias("other"), F.lit(0.0).alias("km")).limit(0)
+
+
 def trip_network(trips: DataFrame, stations: DataFrame, epoch: str, seed: int = 1234567) -> tuple[DataFrame, DataFrame]:
     """(edge_events, node_map) of trips: cleaned names, trips between known stations, dense nodes
     by first start (stations that only end trips follow), time the middle of the week of arrival."""

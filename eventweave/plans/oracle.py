@@ -122,6 +122,9 @@ SQL = {
     "haversine_pairs": f"""WITH s AS (SELECT n_name AS name, 51.4::DOUBLE + n_nationkey * 0.007::DOUBLE AS la, -0.2::DOUBLE + (n_nationkey * 13 % 25) * 0.011::DOUBLE AS lo FROM nation)
       SELECT a.name AS name_1, b.name AS name_2, {r6("2 * 6365.079::DOUBLE * asin(least(1.0::DOUBLE, sqrt(power(sin((radians(a.la) - radians(b.la)) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * power(sin((radians(a.lo) - radians(b.lo)) / 2), 2))))")} AS km
       FROM s a JOIN s b ON a.name < b.name""",
+    "near_customers": f"""WITH c AS (SELECT c_custkey AS name, radians(-90.0::DOUBLE + (c_custkey * 7919 % 18001) * 0.01::DOUBLE) AS la, radians(-180.0::DOUBLE + (c_custkey * 104729 % 36000) * 0.01::DOUBLE) AS lo FROM customer),
+      d AS (SELECT a.name, b.name AS other, 2 * 6365.079::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))) AS km FROM c a JOIN c b ON a.name <> b.name)
+      SELECT name, CAST(r AS INTEGER) AS rank, other, {r6('km')} AS km FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY km, other) AS r FROM d) WHERE r <= 3""",
     "block_counts": f"WITH {COUNTS}, {GRP}, {BLOCKS} SELECT step, k, m, CAST(n AS BIGINT) AS n FROM blk",
     "block_exposure": f"WITH {GRP}, {SIZES}, {PAIRS} SELECT k, m, pairs * {DELTA}::DOUBLE AS exposure FROM pairs",
     "block_soft_counts": f"WITH {COUNTS}, {SOFT_TAU} " + " UNION ALL ".join(f"SELECT step, {i} AS k, {j} AS m, {r6(f'sum(n * a.p{i} * b.p{j})')} AS n FROM cnt JOIN tau a ON src = a.node JOIN tau b ON dst = b.node GROUP BY step" for i in range(SOFT) for j in range(SOFT)),

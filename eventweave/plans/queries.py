@@ -106,6 +106,13 @@ def haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rl.distances(_stations(spark, sf)), "km")
 
 
+def near_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest other customers of each, at places all over the earth that their numbers give."""
+    key = F.col("c_custkey")
+    places = nw.table(spark, sf, "customer").select(key.alias("name"), (-90.0 + F.pmod(key * 7919, F.lit(18001)) * 0.01).alias("latitude"), (-180.0 + F.pmod(key * 104729, F.lit(36000)) * 0.01).alias("longitude"))
+    return rounded(rl.nearest_stations(places, 3), "km")
+
+
 def block_counts(spark: SparkSession, sf: str) -> DataFrame:
     return po.block_counts(_counts(spark, sf), _groups(spark, sf))
 
@@ -331,7 +338,7 @@ def station_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
-    week_bucket, haversine_pairs, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
+    week_bucket, haversine_pairs, near_customers, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
     churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}

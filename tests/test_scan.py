@@ -12,6 +12,7 @@ from eventweave.functions.special import digamma_of
 from eventweave.operators import changepoint as cp
 from eventweave.operators import evaluate as ev
 from eventweave.operators import posterior as po
+from eventweave.operators import relabel as rl
 from eventweave.operators.scan import affine_scan, carry_last, exact_medians
 
 
@@ -176,3 +177,47 @@ def test_detector_on_a_stream_with_restarts(spark, tmp_path):
         query = watch_rates(stream, *SETTINGS).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start(out)
         query.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).select("k", "m", "step").collect())) == expected
+
+
+def test_nearest_stations_on_the_whole_sphere(spark):
+    """Poles, the date line, a crowd within metres, two stations at one place, lonely ones; against all pairs."""
+    rng = random.Random(12)
+    places = [(0, 90.0, 0.0), (1, 89.9, 170.0), (2, 89.9, -10.0), (3, -90.0, 33.0), (4, 10.0, 179.99), (5, 10.0, -179.99), (6, 10.01, -180.0), (7, 10.0, -180.0), (8, 10.0, 180.0), (9, 0.0, 0.0), (10, 0.0, 0.0)]
+    places += [(20 + i, 51.5 + rng.random() * 1e-4, -0.1 + rng.random() * 1e-4) for i in range(60)] + [(100 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)]
+
+    def km(a, b):
+        la, lo, lb, mo = map(math.radians, (*a[1:], *b[1:]))
+        return 2 * 6365.079 * math.asin(min(1.0, math.sqrt(math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lo - mo) / 2) ** 2)))
+
+    schema = "name int, latitude double, longitude double"
+    for k in (1, 4):
+        got = {(r.name, r["rank"]): r.km for r in rl.nearest_stations(spark.createDataFrame(places, schema), k).collect()}
+        want = {(a[0], i): d for a in places for i, d in enumerate(sorted(km(a, b) for b in places if a[0] != b[0])[:k], 1)}
+        assert got == pytest.approx(want, abs=1e-6)
+    assert sorted((r.name, r.other) for r in rl.nearest_stations(spark.createDataFrame(places[:2], schema), 4).collect()) == [(0, 1), (1, 0)]
+    assert rl.nearest_stations(spark.createDataFrame([], schema), 2).collect() == [] == rl.nearest_stations(spark.createDataFrame(places[:1], schema), 2).collect()
+
+
+def test_histories_that_no_longer_matter_are_one(spark):
+    """Labels that flip at random: sigma stays that of the whole matrix, and histories don't grow with the steps."""
+    from eventweave.operators import online as on
+
+    rng, n, delta = np.random.default_rng(7), 9, 50.0
+    rates, rho = np.array([[4.0, 3.2], [3.5, 5.0]]), np.array([[0.4, 0.2], [0.3, 0.9]])
+    group = rng.integers(0, 2, n)
+    big, kinds = np.zeros((n, n)), spark.createDataFrame([(i, 0, int(group[i])) for i in range(n)], "node int, c long, g int")
+    table, classes = spark.createDataFrame([(0, 0, 0.0)], "ca long, cb long, big double"), []
+    for step in range(9):
+        z = rng.integers(0, 2, n) if step < 4 else np.array([step % 2] * 4 + [0] * 3 + [(step // 2) % 2] * 2)
+        labels = spark.createDataFrame([(i, int(z[i])) for i in range(n)], "node int, z int")
+        kinds, table = on._histories(kinds.join(labels, "node"), table, rates, on.GONE / delta)
+        big += rates[z][:, z]
+        classes.append(kinds.select("c").distinct().count())
+        assert table.count() == classes[-1] ** 2
+    c = {r.node: (r.c, r.g) for r in kinds.collect()}
+    kept = {(r.ca, r.cb): r.big for r in table.collect()}
+    for i in range(n):
+        for j in range(n):
+            sigma = lambda b, r=rho[group[i], group[j]]: r * math.exp(-delta * b) / (1 - r + r * math.exp(-delta * b))
+            assert sigma(kept[c[i][0], c[j][0]]) == pytest.approx(sigma(big[i, j]), abs=1e-300)
+    assert max(classes) > 4 and classes[-1] <= 3
