@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.special import digamma_of
 from .posterior import best_group, both_ways, neighbour_sums, node_scores, softmax, uniform_tau
 from .starts import spectral_shares
-from .storage import only_kept, staged, unstaged
+from .storage import if_small, only_kept, staged, unstaged
 
 psi = np.vectorize(digamma_of)
 lgamma = np.vectorize(math.lgamma)
@@ -29,7 +29,9 @@ class Options:
     """Priors, forgetting factors and iteration counts; mode: known, graph (infer the edges) or groups (infer how many, up to k).
 
     begin: how shares begin. "lean": nearly equal, leaning by a hash; with equal priors the first sweep tells groups apart by self-loops alone.
-    "spectral": by the main directions of the first interval's counts (see spectral_shares()), and rates from these shares before the first sweep."""
+    "spectral": by the main directions of the first interval's counts (see spectral_shares()), and rates from these shares before the first sweep.
+    tolerance (known and groups modes): sweeps after an interval's first read only edges of nodes whose shares have moved by more than this since
+    their neighbours heard of them (see _told()); none: all edges in every sweep."""
 
     k: int
     delta: float
@@ -52,12 +54,15 @@ class Options:
     n_sweeps: int = 3
     literal_sticks: bool = False
     begin: str = "lean"
+    tolerance: float | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in ("known", "graph", "groups"):
             raise ValueError("mode is known, graph or groups: the graph and the number of groups aren't inferred together")
         if min(self.k, self.k_prime, self.n_cavi, self.n_sweeps) < 1 or min(self.alpha, self.beta, self.nu, self.eta, self.zeta, self.delta) <= 0:
             raise ValueError("counts are at least 1, parameters above 0")
+        if self.tolerance is not None and (self.mode == "graph" or self.tolerance < 0):
+            raise ValueError("a tolerance is at least 0, and not for the graph mode")
         if self.begin not in ("lean", "spectral"):
             raise ValueError("shares begin lean or spectral")
         if self.mode == "graph" and not 0 < self.sigma < 1:
@@ -80,6 +85,8 @@ class State:
     ways: DataFrame | None = None  # the interval's edges from both ends
     tables: tuple = ()  # of the graph mode, see _graph_tables()
     rate_log: list[tuple] = field(default_factory=list)
+    front: DataFrame | None = None  # nodes' shares, those their neighbours have heard of, and sums over neighbours; with a tolerance
+    edges_read: list[int] = field(default_factory=list)  # of the last interval, by each sweep and its neighbours
     energies: list[float] = field(default_factory=list)  # of the last interval, after each iteration; see _energy()
 
 
@@ -169,18 +176,57 @@ def _log_weight(state: State) -> np.ndarray:
 
 
 def _sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
-    k, p = state.options.k, state.params
+    k, p, o = state.options.k, state.params, state.options
     # Parameters come as a row, not as literals, so that every interval runs the same generated code.
     numbers = {"w": _log_weight(state), "l": (psi(p["alpha"]) - np.log(p["beta"])).ravel(), "r": (p["alpha"] / p["beta"]).ravel()}
     row = F.broadcast(tau.sparkSession.createDataFrame([tuple(float(x) for v in numbers.values() for x in v)], ", ".join(f"{n}{i} double" for n, v in numbers.items() for i in range(len(v)))))
     square = lambda n: [[f"{n}{i * k + j}" for j in range(k)] for i in range(k)]
-    for _ in range(state.options.n_sweeps):
-        rows = _joined(state, tau, counts, k)
-        scores = node_scores(rows.crossJoin(row), [f"w{i}" for i in range(k)], square("l"), square("r"), state.options.delta, self_weight=state.options.mode == "graph")
-        tau = staged(softmax(scores, k, ["node"]))  # the next sweep reads it more than once
+    scored = lambda rows: node_scores(rows.crossJoin(row), [f"w{i}" for i in range(k)], square("l"), square("r"), o.delta, self_weight=o.mode == "graph")
+    if o.tolerance is not None:
+        if state.front is None:
+            _hear_all(state, tau, counts)
+        for _ in range(o.n_sweeps):
+            _told(state, staged(softmax(scored(_front_rows(state)), k, [c for c in state.front.columns if c not in {f"p{i}" for i in range(k)}])))
+        return staged(state.front.select("node", *(f"p{i}" for i in range(k))))
+    for _ in range(o.n_sweeps):
+        tau = staged(softmax(scored(_joined(state, tau, counts, k)), k, ["node"]))  # the next sweep reads it more than once
     return tau
 
 
+def _hear_all(state: State, tau: DataFrame, counts: DataFrame) -> None:
+    """The front of an interval: all nodes' sums over all their edges."""
+    k = state.options.k
+    rows = _joined(state, tau, counts, k)
+    sums = [f"{x}{i}" for i in range(k) for x in (("so", "si", "to", "ti") if state.edges is not None else ("so", "si"))]
+    state.front = staged(rows.select("node", *(f"p{i}" for i in range(k)), *(F.col(f"p{i}").alias(f"h{i}") for i in range(k)), "own_n", "own_w", *sums))
+    state.edges_read.append(state.ways.count())
+
+
+def _front_rows(state: State) -> DataFrame:
+    """The front with all sums that scores need; on a complete network those of shares alone are the same for all nodes."""
+    if state.edges is not None:
+        return state.front
+    k = state.options.k
+    mass = state.front.agg(*(F.sum(f"p{i}").alias(f"{x}{i}") for i in range(k) for x in ("to", "ti")))
+    return state.front.crossJoin(F.broadcast(mass))
+
+
+def _told(state: State, swept: DataFrame) -> None:
+    """Puts the shares of a sweep into the front: nodes whose shares differ by more than the tolerance from what their neighbours have heard (h) tell them the difference.
+
+    Only edges of such nodes are joined; their neighbours' sums are patched. What isn't told stays within the tolerance for each share, however many sweeps follow."""
+    k = state.options.k
+    far = " OR ".join(f"abs(p{i} - h{i}) > {float(state.options.tolerance)!r}D" for i in range(k))
+    moved = staged(swept.where(far).select("node", *((F.col(f"p{i}") - F.col(f"h{i}")).alias(f"p{i}") for i in range(k))))
+    sums = [c for c in swept.columns if c[:2] in ("so", "si", "to", "ti")]
+    news = staged(neighbour_sums(state.ways, if_small(moved, 200_000), k, more=("count(*) AS edges",)).select("node", *(F.col(c).alias(f"d{c}") for c in sums), "edges"))
+    state.edges_read.append(news.agg(F.sum("edges")).first()[0] or 0)
+    told = swept.where(far).select("node", F.lit(True).alias("told"))
+    rows = swept.join(news, "node", "left").join(told, "node", "left")
+    heard = [F.when(F.col("told"), F.col(f"p{i}")).otherwise(F.col(f"h{i}")).alias(f"h{i}") for i in range(k)]
+    state.front = staged(rows.select("node", *(f"p{i}" for i in range(k)), *heard, "own_n", "own_w", *((F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in sums)))
+
+
 def _prime_sweeps(state: State, tau: DataFrame, counts: DataFrame) -> DataFrame:
     k, p = state.options.k_prime, state.params
     d1, d2 = (psi(p[x]) - psi(p["eta"] + p["zeta"]) for x in ("eta", "zeta"))
@@ -262,7 +308,8 @@ def advance(state: State, counts: DataFrame) -> State:
             new.tau = _sweeps(new, new.tau, counts)
             if o.mode == "graph":
                 new.tau_prime = _prime_sweeps(new, new.tau_prime, counts)
-            got, guard = _contract(_joined(new, new.tau, counts, k), k, ("so", "to")), p["guard"]
+            rows = _front_rows(new) if o.tolerance is not None else _joined(new, new.tau, counts, k)
+            got, guard = _contract(rows, k, ("so", "to")), p["guard"]
             _apply(new, prior, got, guard)
             if o.mode != "graph":
                 new.energies.append(_energy(new, prior, got, guard))
@@ -270,7 +317,7 @@ def advance(state: State, counts: DataFrame) -> State:
             if o.mode == "graph":
                 _update_graph(new, prior, counts)
         scope.keep(new.tau, new.tau_prime, new.kinds, new.big, new.seen)
-    new.ways, new.tables = None, ()
+    new.ways, new.front, new.tables = None, None, ()
     new.rate_log = state.rate_log + [(new.step, i, j, float(p["alpha"][i, j]), float(p["beta"][i, j])) for i in range(k) for j in range(k)]
     return new
 

@@ -108,12 +108,12 @@ def both_ways(counts: DataFrame, weight: str = "w") -> DataFrame:
     return out.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *more, F.lit(False).alias("out")))
 
 
-def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w", by: tuple[str, ...] = ("node",), total: str = "w") -> DataFrame:
+def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w", by: tuple[str, ...] = ("node",), total: str = "w", more: tuple[str, ...] = ()) -> DataFrame:
     """sums(node, own_n, own_w, so*, si*, to*, ti*): for every node, over its edges (src, dst, n, w):
     s: sum of w n tau_j, t: sum of w tau_j, o: over edges from it, i: over edges to it; own: its self-loop.
 
     Both directions are one join on the other end and one aggregate. counts may also come from both_ways().
-    total: the column that own_w and t add up instead of w."""
+    total: the column that own_w and t add up instead of w; more: further aggregates, as SQL."""
     ways = counts if "other" in counts.columns else both_ways(counts, weight)
     both = ways.join(tau.withColumnRenamed("node", "other"), "other")
     # As SQL text: a column built call by call costs more than the work on a small network.
@@ -121,7 +121,7 @@ def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w",
     for i in range(k):
         for name, way in (("o", "out"), ("i", "NOT out")):
             sums += [f"sum(if({way}, w * p{i} * n, 0D)) AS s{name}{i}", f"sum(if({way}, {total} * p{i}, 0D)) AS t{name}{i}"]
-    return both.groupBy(*by).agg(*map(F.expr, sums))
+    return both.groupBy(*by).agg(*map(F.expr, (*sums, *more)))
 
 
 OWN_LOOP = "node = other AND out"

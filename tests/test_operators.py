@@ -253,6 +253,24 @@ def test_energy_is_the_plain_sum(spark, mode):
         assert state.energies == [pytest.approx(value)]
 
 
+@pytest.mark.parametrize("complete", [True, False])
+def test_sweeps_of_the_front(spark, complete):
+    """With tolerance 0 the numbers are those of full sweeps; with more, they are near, and fewer edges are read."""
+    rng, truth = np.random.default_rng(13), np.repeat([0, 1], [16, 14])
+    counts = rng.poisson(np.array([[5.0, 0.4], [0.3, 7.0]])[truth][:, truth], (2, 30, 30))
+    rows = spark.createDataFrame([(int(s), int(i), int(j), int(counts[s, i, j])) for s, i, j in zip(*np.nonzero(counts), strict=True)], "step int, src int, dst int, n long")
+    nodes = spark.range(30).select(F.col("id").cast("int").alias("node"))
+    edges = None if complete else spark.createDataFrame([(i, j) for i in range(30) for j in range(30) if counts[:, i, j].sum() or (i + j) % 3 == 0], "src int, dst int")
+    run = lambda tolerance: on.run_online(rows, nodes, on.Options(k=2, delta=1.0, mode="groups" if complete else "known", forget_rate=0.3, n_cavi=2, n_sweeps=2, begin="spectral", tolerance=tolerance), 2, edges)
+    (tau, _, full), (exact, _, zero), (close, _, some) = run(None), run(0.0), run(1e-3)
+    of = lambda t: shares(t.where("step = 2"), 2)
+    assert of(exact) == pytest.approx(of(tau), abs=1e-9) and of(close) == pytest.approx(of(tau), abs=0.02)
+    for x in ("alpha", "beta"):
+        assert zero.params[x] == pytest.approx(full.params[x]) and some.params[x] == pytest.approx(full.params[x], rel=0.02)
+    assert some.energies == pytest.approx(full.energies, rel=1e-2)
+    assert len(some.edges_read) == 5 and sum(some.edges_read[1:]) < sum(zero.edges_read[1:]) and sum(some.edges_read[1:]) < 2 * some.edges_read[0]
+
+
 def shares(table, k):
     return np.array([[r[f"p{i}"] for i in range(k)] for r in table.orderBy("node").collect()])
 
