@@ -280,16 +280,10 @@ def softmax_rows(s):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def test_online_number_of_groups_against_loops(spark):
-    """Two intervals of the groups mode in plain numpy: stick-breaking weights, their update, rates."""
-    psi, (n, k) = np.vectorize(digamma_of), (9, 3)
-    _, _, counts, _ = network(n, k, 11)
-    o = on.Options(k=k, delta=0.5, mode="groups", forget_rate=0.4, forget_u=0.9, forget_z=0.8, nu=1.7, n_cavi=2, n_sweeps=3)
-    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
-    rows = edges_of(spark, np.ones((n, n)), counts).where("n > 0").select("src", "dst", "n")
-    tau, p, full = shares(state.tau, k), {x: y.copy() for x, y in state.params.items()}, np.ones((n, n))
-    for _ in range(2):
-        state = on.advance(state, rows)
+def groups_loops(o, tau, p, matrices):
+    """Intervals of the groups mode in plain numpy: stick-breaking weights, their update, rates."""
+    psi, k, full = np.vectorize(digamma_of), o.k, np.ones_like(matrices[0])
+    for counts in matrices:
         prior = {x: y.copy() for x, y in p.items()}
         for _ in range(o.n_cavi):
             for _ in range(o.n_sweeps):
@@ -301,23 +295,14 @@ def test_online_number_of_groups_against_loops(spark):
             p["alpha"] = p["guard"] * (prior["alpha"] - 1) + tau.T @ counts @ tau + 1
             p["beta"] = p["guard"] * prior["beta"] + o.delta * np.outer(mass, mass)
             p["guard"] = np.where(np.outer(mass, mass) < 0.1, 1.0, o.forget_rate)
-    assert shares(state.tau, k) == pytest.approx(tau)
-    for x in ("alpha", "beta", "omega", "nu", "guard"):
-        assert state.params[x] == pytest.approx(p[x]), x
+    return tau, p
 
 
-def test_online_graph_against_loops(spark):
-    """Two intervals of the graph mode over the whole matrix of edge probabilities, which the operator never builds."""
-    psi, (n, k) = np.vectorize(digamma_of), (8, 2)
-    o = on.Options(k=k, delta=0.3, mode="graph", k_prime=2, forget_rate=0.5, forget_rho=0.9, sigma=0.4, n_cavi=2, n_sweeps=2)
-    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
-    start = shares(state.tau, k)
-    state.tau_prime = on.staged(frame(spark, start[:, ::-1]))  # equal shares would stay equal
-    tau, prime, p = start, start[:, ::-1], {x: y.copy() for x, y in state.params.items()}
+def graph_loops(o, tau, prime, p, matrices):
+    """Intervals of the graph mode over the whole matrix of edge probabilities, which the operator never builds."""
+    psi, k, n = np.vectorize(digamma_of), o.k, len(tau)
     sigma, big, seen = np.full((n, n), o.sigma), np.zeros((n, n)), np.zeros((n, n), bool)
-    for seed in (5, 6):
-        _, _, counts, _ = network(n, k, seed, 0.3)
-        state = on.advance(state, spark.createDataFrame([(int(i), int(j), int(counts[i, j])) for i, j in zip(*np.nonzero(counts), strict=True)], "src int, dst int, n long"))
+    for counts in matrices:
         prior = {x: y.copy() for x, y in p.items()}
         for _ in range(o.n_cavi):
             for _ in range(o.n_sweeps):
@@ -325,10 +310,10 @@ def test_online_graph_against_loops(spark):
                 tau = softmax_rows(loop_scores(sigma, counts, tau, weight, (psi(p["alpha"]) - np.log(p["beta"])).tolist(), (p["alpha"] / p["beta"]).tolist(), o.delta, True))
             there, gone = (psi(p[x]) - psi(p["eta"] + p["zeta"]) for x in ("eta", "zeta"))
             for _ in range(o.n_sweeps):
-                s = np.zeros((n, k))
-                for i, g in product(range(n), range(k)):
+                s = np.zeros((n, o.k_prime))
+                for i, g in product(range(n), range(o.k_prime)):
                     s[i, g] = psi(p["xi"][g]) - digamma_of(p["xi"].sum()) + sigma[i, i] * there[g, g] + (1 - sigma[i, i]) * gone[g, g]
-                    for j, m in product(range(n), range(k)):
+                    for j, m in product(range(n), range(o.k_prime)):
                         if j != i or m != g:
                             s[i, g] += prime[j, m] * (sigma[i, j] * there[g, m] + (1 - sigma[i, j]) * gone[g, m] + sigma[j, i] * there[m, g] + (1 - sigma[j, i]) * gone[m, g])
                 prime = softmax_rows(s)
@@ -345,12 +330,67 @@ def test_online_graph_against_loops(spark):
             rho = (p["eta"] / (p["eta"] + p["zeta"]))[g][:, g]
             seen |= counts > 0
             sigma = np.where(seen, 1.0, rho * np.exp(-o.delta * big) / (1 - rho + rho * np.exp(-o.delta * big)))
+    return tau, prime, p, sigma
+
+
+def test_online_number_of_groups_against_loops(spark):
+    n, k = 9, 3
+    _, _, counts, _ = network(n, k, 11)
+    o = on.Options(k=k, delta=0.5, mode="groups", forget_rate=0.4, forget_u=0.9, forget_z=0.8, nu=1.7, n_cavi=2, n_sweeps=3)
+    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
+    rows = edges_of(spark, np.ones((n, n)), counts).where("n > 0").select("src", "dst", "n")
+    tau, p = groups_loops(o, shares(state.tau, k), {x: y.copy() for x, y in state.params.items()}, [counts] * 2)
+    for _ in range(2):
+        state = on.advance(state, rows)
+    assert shares(state.tau, k) == pytest.approx(tau)
+    for x in ("alpha", "beta", "omega", "nu", "guard"):
+        assert state.params[x] == pytest.approx(p[x]), x
+
+
+def test_online_graph_against_loops(spark):
+    n, k = 8, 2
+    o = on.Options(k=k, delta=0.3, mode="graph", k_prime=2, forget_rate=0.5, forget_rho=0.9, sigma=0.4, n_cavi=2, n_sweeps=2)
+    state = on.start(spark.range(n).select(F.col("id").cast("int").alias("node")), o)
+    start, matrices = shares(state.tau, k), [network(n, k, seed, 0.3)[2] for seed in (5, 6)]
+    state.tau_prime = on.staged(frame(spark, start[:, ::-1]))  # equal shares would stay equal
+    tau, prime, p, sigma = graph_loops(o, start, start[:, ::-1], {x: y.copy() for x, y in state.params.items()}, matrices)
+    for counts in matrices:
+        state = on.advance(state, spark.createDataFrame([(int(i), int(j), int(counts[i, j])) for i, j in zip(*np.nonzero(counts), strict=True)], "src int, dst int, n long"))
     assert shares(state.tau, k) == pytest.approx(tau) and shares(state.tau_prime, k) == pytest.approx(prime)
     for x in ("alpha", "beta", "gamma", "xi", "eta", "zeta", "guard"):
         assert state.params[x] == pytest.approx(p[x]), x
     assert {(r.src, r.dst): r.sigma for r in on.edge_probabilities(state).collect()} == pytest.approx({(i, j): sigma[i, j] for i, j in product(range(n), repeat=2)})
 
 
+def test_registered_online_queries_against_loops(spark):
+    """The three online queries' own runs over all trades of sf0.001, in three intervals of 900 days, against plain loops."""
+    from eventweave.plans import queries as qs
+
+    sf, delta = "/root/testdata/sf0.001", 900.0
+    events = nw.trade_events(spark, sf).collect()
+    matrices = [np.zeros((25, 25)) for _ in range(qs._steps(spark, sf, delta))]
+    for r in events:
+        matrices[int(r.t // delta)][r.src, r.dst] += 1
+    assert len(matrices) == 3
+    for options in ({"k": 3}, {"k": 5, "mode": "groups"}, {"k": 2, "mode": "graph", "k_prime": 2}):
+        tau, rates, state = qs._online(spark, sf, delta, **options)
+        o, k = state.options, state.options.k
+        begin = on.start(spark.range(25).select(F.col("id").cast("int").alias("node")), o)
+        p = {x: y.copy() for x, y in begin.params.items()}
+        if o.mode == "known":
+            found = shares(begin.tau, k)
+            for counts in matrices:
+                found = reference_step(np.ones((25, 25)), counts, found, p, o)
+        elif o.mode == "groups":
+            found, p = groups_loops(o, shares(begin.tau, k), p, matrices)
+        else:
+            found, _, p, sigma = graph_loops(o, shares(begin.tau, k), np.full((25, 2), 0.5), p, matrices)
+            assert {(r.src, r.dst): r.sigma for r in on.edge_probabilities(state).collect()} == pytest.approx({(i, j): sigma[i, j] for i, j in product(range(25), repeat=2)})
+        assert shares(tau.where("step = 3"), k) == pytest.approx(found, abs=1e-6), o.mode
+        last = {(r.k, r.m): (r.alpha, r.beta) for r in rates.where("step = 3").collect()}
+        assert last == {(i, j): pytest.approx((p["alpha"][i, j], p["beta"][i, j])) for i, j in product(range(k), repeat=2)}
+
+
 def test_option_checks():
     for bad in ({"mode": "both"}, {"k": 0}, {"alpha": 0.0}, {"mode": "graph", "sigma": 1.0}):
         with pytest.raises(ValueError):
