@@ -23,11 +23,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LABEL = re.compile(r"^[A-Za-z_-]+[:=]+")
 LOCAL, HOST = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
-# The small labelled table. {e} e-mail, {i} address, {c} card, {p} phone; all else is O.
+# The small labelled table. {e} e-mail, {i} address, {c} card, {p} phone, {q} phone that only a word before it tells, {g} phone in groups, {n} other numbers; all else is O.
 TEMPLATES = (
     "please write to {e} or call {p} today", "mail: {e}, phone: {p}.", "the server {i} is down", "from {i} to {i} in 25 days", "card {c} expires 12/27",
     "paid with {c} on 2024-01-05", "the price is 1,250.00 or 3.5 % of 1999", "in 1984 there were 120 of them, and 37 left", "see chapter 3.2 and page 417", "version 2.10.4 came in May",
     "no names here, only plain words and more of them", "{e}", "{p} {p}", "call {p}", "IP={i}", "order 4471 of 12 items at 9:30", "THE WORDS!! ARE LOUD!! AND LONG!!", "a### b$$$ c%%% d&&&", "at home, at work", "id 8831-A, room 12b, 1st floor", "words around {c} and words", "und der {e} ist da", "que la {p} de los", "dans le {i} et la", "sum 123456789 of 98765",
+    "call {q}", "phone {q} ok", "Tel. {q}", "please ring {q} after six", "mobile: {q}, home", "fax {q}", "my phone is {q}", "the {g} line is open", "or {g}", "{g}", "reach me on {g} at home", "call {g}",
+    "number {n} of the list", "id {n}", "{n}", "order {n} was paid", "at {n} in the log", "call me in {n} days", "phone number and {n} more", "account {n} is closed", "{n} {n}", "sum of 120 555 and 1984", "in 2019 2020 2021", "rows 100 200 3000 of it",
     "tel:{p}", "mailto:{e}", "phone={p} or IP={i}", "order 4471-2281-9034 of 2024", "part 555-010 and 12-34-56", "build 10.2.33 and 1.2.3.4.5", "ref: 2024-11-05/0093",
 )
 VALUES = {
@@ -35,7 +37,12 @@ VALUES = {
     "ip": ("10.0.0.1", "192.168.12.254", "8.8.4.4", "172.16.0.33", "203.0.113.77"),
     "card": ("4111111111111111", "5500000000000004", "4716 3300 1122 0099", "4485-2759-5174-8871", "340000000000009"),
     "phone": ("+1 (555) 010-0199", "+44 20 7946 0958", "+1-202-555-0143", "(202) 555-0171", "555-010-4477"),
+    "local": ("2125550134", "040 7654321", "0151-9876543", "5550104477", "089 1234567"),
+    "grouped": ("212 555 0134", "415 555 2671", "555 010 4477", "303 555 0122", "646 555 0190"),
+    "number": ("1699999999", "20240105", "0098-7654321", "123-45-6789", "978-0-306-40615-7"),
 }
+#: Words before which a number is likely to be a phone's.
+CUES = ("phone", "telephone", "tel", "call", "ring", "mobile", "cell", "fax", "dial", "whatsapp")
 
 
 def luhn(digits: str) -> bool:
@@ -70,7 +77,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def shape(word: str) -> str:
-    """Letters to a, digits to 0 (runs of digits with their length up to 5, the rest marked by +), signs kept, runs of letters and signs cut to one."""
+    """Cue for the CUES, else letters to a, digits to 0 (runs of digits with their length up to 5, the rest marked by +), signs kept, runs of letters and signs cut to one."""
+    if word in cue_words():
+        return "cue"
     word = word.rstrip(TRAILING)
     if word.isalpha():
         return "a"
@@ -79,8 +88,14 @@ def shape(word: str) -> str:
     return re.sub(r"([^\w+])\1+", r"\1", word)
 
 
+@functools.cache
+def cue_words() -> frozenset[str]:
+    """The cues as they are written, with a sign behind or none."""
+    return frozenset(c + sign for cue in CUES for c in (cue, cue.title(), cue.upper()) for sign in ("", ".", ":", ".:"))
+
+
 def features(s: str) -> list[str]:
-    return ["bias", f"s={s}", f"at={'@' in s and '.' in s.partition('@')[2]}", f"digits={min(s.count('0'), 12)}", f"dots={min(s.count('.'), 4)}", f"plain={s == 'a'}", f"head={s[:1]}", f"long={'+' in s[1:]}", f"paren={s.startswith('(')}", f"signs={bool(re.search(r'[#$%&*!=/]', s))}"]
+    return ["bias", f"s={s}", f"at={'@' in s and '.' in s.partition('@')[2]}", f"digits={min(s.count('0'), 12)}", f"dots={min(s.count('.'), 4)}", f"plain={s == 'a'}", f"cue={s == 'cue'}", f"head={s[:1]}", f"long={'+' in s[1:]}", f"paren={s.startswith('(')}", f"signs={bool(re.search(r'[#$%&*!=/]', s))}"]
 
 
 class Crf:
@@ -116,26 +131,31 @@ class Crf:
         for _ in range(steps):
             e = np.einsum("sf,fdk->sdk", has, self.w)
             e = (e[grid[:-2], 0] + e[grid[1:-1], 1] + e[grid[2:], 2]) * live[:, :, None]
-            a, b = e.copy(), np.zeros_like(e)
-            for t in range(1, n):
-                a[t] = np.where(live[t, :, None], e[t] + np.logaddexp.reduce(a[t - 1][:, :, None] + self.trans, axis=1), a[t - 1])
-            for t in range(n - 2, -1, -1):
-                b[t] = np.where(live[t + 1, :, None], np.logaddexp.reduce(self.trans + (e[t + 1] + b[t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(a[-1], axis=1)
-            d = np.where(live[:, :, None], gold - np.exp(a + b - z[:, None]), 0)
+            one, two = self.chances(e, live)
+            d = np.where(live[:, :, None], gold - one, 0)
             gw = -l2 * self.w
             for side in range(3):
                 by_shape = np.zeros((len(shapes) + 1, k))
                 np.add.at(by_shape, grid[side : side + n], d)
                 gw[:, side] += has.T @ by_shape
-            pairs = a[:-1, :, :, None] + self.trans + (e[1:] + b[1:])[:, :, None, :] - z[:, None, None]
-            gt = -l2 * self.trans + np.where(live[1:, :, None, None], gold[:-1, :, :, None] * gold[1:, :, None, :] - np.exp(np.minimum(pairs, 0)), 0).sum(axis=(0, 1))
+            gt = -l2 * self.trans + np.where(live[1:, :, None, None], gold[:-1, :, :, None] * gold[1:, :, None, :] - two, 0).sum(axis=(0, 1))
             seen_w += gw * gw
             seen_t += gt * gt
             self.w += rate * gw / np.sqrt(seen_w)
             self.trans += rate * gt / np.sqrt(seen_t)
         return self
 
+    def chances(self, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of each label and of each pair of labels in a row, by forward-backward: e (steps, rows, labels), live (steps, rows)."""
+        n, a, b = len(e), e.copy(), np.zeros_like(e)
+        for t in range(1, n):
+            a[t] = np.where(live[t, :, None], e[t] + np.logaddexp.reduce(a[t - 1][:, :, None] + self.trans, axis=1), a[t - 1])
+        for t in range(n - 2, -1, -1):
+            b[t] = np.where(live[t + 1, :, None], np.logaddexp.reduce(self.trans + (e[t + 1] + b[t + 1])[:, None, :], axis=2), 0)
+        z = np.logaddexp.reduce(a[-1], axis=1)
+        pairs = a[:-1, :, :, None] + self.trans + (e[1:] + b[1:])[:, :, None, :] - z[:, None, None]
+        return np.exp(a + b - z[:, None]), np.exp(np.minimum(pairs, 0))
+
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels for a batch: emissions (steps, rows, labels), rows by falling length; padding stays O."""
         steps, rows, k = emissions.shape
@@ -157,7 +177,8 @@ class Crf:
 
 def labelled_table() -> list[tuple[list[str], list[int]]]:
     """The training rows: every template with each turn of values, as shapes and labels."""
-    rows, marks = [], {"{e}": "email", "{i}": "ip", "{c}": "card", "{p}": "phone"}
+    rows, marks = [], {"{e}": "email", "{i}": "ip", "{c}": "card", "{p}": "phone", "{q}": "local", "{g}": "grouped", "{n}": "number"}
+    label = {"local": "phone", "grouped": "phone", "number": "O"}
     for template in TEMPLATES:
         for turn in range(5):
             x, y = [], []
@@ -166,7 +187,7 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
                 value = word.replace(mark, VALUES[marks[mark]][turn]) if mark else word
                 for part in value.split():
                     x.append(shape(part))
-                    y.append(Crf.LABELS.index(marks[mark]) if mark else 0)
+                    y.append(Crf.LABELS.index(label.get(marks[mark], marks[mark])) if mark else 0)
             rows.append((x, y))
     return rows
 
@@ -214,6 +235,11 @@ def model() -> Shapes:
     return Shapes(Crf().fit(labelled_table()))
 
 
+@functools.cache
+def cue_hashes() -> np.ndarray:
+    return np.concatenate([w.hashes() for w in scan(sorted(cue_words()))])
+
+
 def _shape_numbers(words: Words, shapes: Shapes) -> np.ndarray:
     """Shapes of all words of a chunk; words of letters with at most one sign behind are seen to in numpy."""
     letters = (CLASSES[np.minimum(words.code, 0x2FFF)] & (LOWER | UPPER) > 0) & (words.code < 0x3000)
@@ -221,7 +247,8 @@ def _shape_numbers(words: Words, shapes: Shapes) -> np.ndarray:
     odd = others[words.end] - others[words.start]
     last = np.isin(words.code[words.end - 1], [ord(c) for c in TRAILING]) & (words.end - words.start > 1)
     out, text = np.zeros(len(words.start), np.int32), "\n".join(words.texts)
-    for i in np.flatnonzero(odd > last):
+    cue = np.isin(words.hashes(), cue_hashes()) if len(words.start) else np.zeros(0, bool)
+    for i in np.flatnonzero((odd > last) | cue):
         out[i] = shapes[text[words.start[i] : words.end[i]]]
     return out
 
