@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.storage import if_small, shared_root, staged, unstaged
 
-__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged"]
+__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "mark_perhaps", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,17 +61,22 @@ def prefix_sums(rows: DataFrame, by: list[str], order: list[str], sums: dict[str
     return out.drop("__part", *(f"__{k}" for k in sums), *(f"__before_{k}" for k in sums))
 
 
-def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:
-    """Rows whose id is in ids, and a few more: a filter before a join, so that it shuffles less of what it drops.
+def mark_perhaps(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:
+    """rows with __perhaps: true where their id is in ids, and for a few others; no row is shuffled.
 
     A bit for each hash; the bitmaps that are broadcast have at most bits / 8 bytes (8 MB), however many ids there are.
-    With far more ids than bits all rows pass, and the join does all the work."""
+    With far more ids than bits nearly all rows are marked."""
     at = F.pmod(F.xxhash64(name), F.lit(bits)) + 1
     maps = ids.select(at.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__map"))
     place = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring("__map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__bucket")
-    return found.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0).select(rows.columns)
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__bucket", "left")
+    return found.select(*rows.columns, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0, F.lit(False)).alias("__perhaps"))
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:
+    """Rows whose id is in ids, and a few more (see mark_perhaps()): a filter before a join, so that it shuffles less of what it drops."""
+    return mark_perhaps(rows, ids, name, bits).where("__perhaps").select(rows.columns)
 
 
 def ascii_lower(text: Column) -> Column:
