@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm.common import if_small, one_of_repeats, staged
+from eventweave.llm.common import if_small, mark_perhaps, one_of_repeats, staged
 from eventweave.llm.exact_dedup import exact_dedup
 from eventweave.llm.mixing import mix_sources
 from eventweave.llm.ngram_join import one_of_each
@@ -53,12 +53,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.xxhash64(*docs.columns)
     copies = mix_sources(docs.select("doc_id", "source", "text", row.alias("__row")), extra=("__row",))
     copies = staged(copies.groupBy(F.col("doc_id").alias("__id"), "__row").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__same")))
-    # Most rows are taken once: only the others' numbers are joined.
-    other = copies.where("__copies <> __same")
+    # Most rows are taken once: a bitmap of the others' hashes leaves their texts where they are, and the others' numbers are joined.
+    other = staged(copies.where("__copies <> __same"))
+    marked = mark_perhaps(docs.withColumn("__hash", row), other.select(F.col("__row").alias("__hash")), "__hash")
+    once, some = marked.where("not __perhaps").select(docs.columns), marked.where("__perhaps").select(docs.columns)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (row == F.col("__row"))
-    alike = if_small(staged(other.where("__same > 1")), 200_000)
-    rows = docs.join(alike, on, "left_anti").join(if_small(other.where("__same = 1"), 200_000), on, "left").select(*docs.columns, "__copies")
-    rows = rows.unionByName(docs.dropDuplicates().join(alike, on).select(*docs.columns, "__copies")) if not alike.isEmpty() else rows
+    alike, apart = if_small(other.where("__same > 1"), 200_000), if_small(other.where("__same = 1"), 200_000)
+    rows = some.join(alike, on, "left_anti").join(apart, on, "left").select(*docs.columns, "__copies")
+    rows = rows.unionByName(some.join(alike, on, "left_semi").dropDuplicates().join(alike, on).select(*docs.columns, "__copies"))
+    rows = rows.unionByName(once.withColumn("__copies", F.lit(1)))
     return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1))))).select(docs.columns)
 
 
