@@ -14,7 +14,11 @@ from .storage import if_small
 
 def adjusted_rand(labels: DataFrame, by: list[str], a: str = "truth", b: str = "found") -> DataFrame:
     """by columns and ari: the adjusted Rand index of two labellings, from their contingency table; 1 where both put all in one group or all apart."""
-    cells = labels.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    return rand_of_cells(labels.groupBy(*by, a, b).agg(F.count("*").alias("n")), by, a, b)
+
+
+def rand_of_cells(cells: DataFrame, by: list[str], a: str = "truth", b: str = "found") -> DataFrame:
+    """The same from the contingency table (by, a, b, n)."""
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     inside = cells.groupBy(*by).agg(two("n").alias("both"), F.sum("n").alias("total"))
     for name in (a, b):

@@ -162,6 +162,9 @@ SQL = {
       w AS (SELECT step, b, a * c / (total * (total - 1) / 2.0::DOUBLE) AS e, (a + c) / 2 AS m FROM x JOIN y USING (step) JOIN z USING (step))
       SELECT step, {r6('CASE WHEN m = e THEN 1 ELSE (b - e) / (m - e) END')} AS ari FROM w""",
     "churn_series": f"{HISTORY} SELECT a.step, CAST(sum(CASE WHEN a.grp <> b.grp THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM lab a LEFT JOIN lab b ON a.node = b.node AND b.step = a.step - 1 GROUP BY a.step",
+    "membership_intervals": f"""{HISTORY}, st AS (SELECT *, lag(grp) OVER (PARTITION BY node ORDER BY step) AS old, max(step) OVER (PARTITION BY node) AS fin FROM lab)
+      SELECT node, step AS first, CAST(coalesce(lead(step) OVER (PARTITION BY node ORDER BY step) - 1, fin) AS INTEGER) AS last, grp FROM st WHERE old IS NULL OR old <> grp""",
+    "interval_sizes": f"{HISTORY} SELECT s.step, g.grp, (SELECT count(*) FROM lab l WHERE l.step = s.step AND l.grp = g.grp) AS n FROM (SELECT DISTINCT step FROM lab) s, (SELECT DISTINCT grp FROM lab) g",
     "changed_nodes": f"{HISTORY} SELECT a.step, a.node, b.grp AS old, a.grp FROM lab a JOIN lab b ON a.node = b.node AND b.step = a.step - 1 WHERE a.step IN (5, 12, 20) AND a.grp <> b.grp",
     "group_share": f"""{HISTORY}, s AS (SELECT step, avg(CAST(grp = 0 AS INTEGER)) AS x FROM lab GROUP BY step), f AS (SELECT x AS first FROM s WHERE step = 0)
       SELECT step, {r6('CASE WHEN abs(first - 0.4::DOUBLE) < abs(first - 0.6::DOUBLE) THEN 1 - x ELSE x END')} AS share FROM s, f""",
@@ -186,3 +189,4 @@ SQL = {
     "weekly_file_grid": """WITH w AS (SELECT CAST(unnest(range(DATE '2019-01-02', DATE '2022-01-05', INTERVAL 7 DAYS)) AS DATE) AS d), n AS (SELECT d, row_number() OVER (ORDER BY d) - 1 + 143 AS i FROM w), x AS (SELECT d, CAST(CASE WHEN i > 246 THEN i - 1 ELSE i END AS BIGINT) AS no FROM n)
       SELECT no, no || 'JourneyDataExtract' || strftime(d, '%d%b%Y') || '-' || strftime(d + INTERVAL 6 DAYS, '%d%b%Y') || '.csv' AS name FROM x""",
 }
+SQL["interval_churn"], SQL["rand_by_moves"] = SQL["churn_series"], SQL["adjusted_rand"]

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import changepoint as cp
 from ..operators import counts as ct
 from ..operators import evaluate as ev
+from ..operators import intervals as iv
 from ..operators import online as on
 from ..operators import posterior as po
 from ..operators import relabel as rl
@@ -269,6 +270,23 @@ def changed_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return ev.changed_nodes(_labels(spark, sf), [5, 12, 20])
 
 
+def membership_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return iv.to_intervals(_labels(spark, sf)).withColumnsRenamed({"from": "first", "to": "last"})
+
+
+def interval_churn(spark: SparkSession, sf: str) -> DataFrame:
+    return iv.interval_churn(iv.to_intervals(_labels(spark, sf)))
+
+
+def interval_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return iv.interval_sizes(iv.to_intervals(_labels(spark, sf)))
+
+
+def rand_by_moves(spark: SparkSession, sf: str) -> DataFrame:
+    truth = _groups(spark, sf).select("node", F.col("grp").alias("truth"))
+    return rounded(iv.rand_by_moves(iv.to_intervals(_labels(spark, sf)), truth), "ari")
+
+
 def group_share(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.group_share(_labels(spark, sf), 0, 0.6, 0.4), "share")
 
@@ -340,5 +358,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
     week_bucket, haversine_pairs, near_customers, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
-    churn_series, changed_nodes, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
+    churn_series, changed_nodes, membership_intervals, interval_churn, interval_sizes, rand_by_moves, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}

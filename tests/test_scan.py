@@ -221,3 +221,28 @@ def test_histories_that_no_longer_matter_are_one(spark):
             sigma = lambda b, r=rho[group[i], group[j]]: r * math.exp(-delta * b) / (1 - r + r * math.exp(-delta * b))
             assert sigma(kept[c[i][0], c[j][0]]) == pytest.approx(sigma(big[i, j]), abs=1e-300)
     assert max(classes) > 4 and classes[-1] <= 3
+
+
+def test_intervals_tell_what_the_dense_table_tells(spark):
+    from eventweave.operators import intervals as iv
+
+    rng, rows = random.Random(14), []
+    for node in range(60):
+        grp = rng.randrange(3)
+        for step in range(2, 22):
+            grp = rng.randrange(3) if rng.random() < 0.1 else grp
+            rows.append((step, node, grp))
+    dense = spark.createDataFrame(rows, "step int, node int, grp int")
+    spans = iv.to_intervals(dense).cache()
+    changes = sum(a[1] == b[1] and a[2] != b[2] for a, b in zip(rows, rows[1:]))
+    assert spans.count() == 60 + changes
+    assert sorted(map(tuple, iv.to_memberships(spans).collect())) == sorted(rows)
+    assert sorted(map(tuple, iv.interval_churn(spans).collect())) == sorted(map(tuple, ev.churn(dense).collect()))
+    assert {(r.step, r.grp): r.n for r in iv.interval_sizes(spans).collect()} == {(s, g): sum(x == (s, n, g) for n in range(60) for x in [next(r for r in rows if r[:2] == (s, n))]) for s in range(2, 22) for g in range(3)}
+    truth = spark.createDataFrame([(n, n % 4) for n in range(50)], "node int, truth int")
+    got = {r.step: r.ari for r in iv.rand_by_moves(spans, truth).collect()}
+    want = {r.step: r.ari for r in ev.adjusted_rand(dense.withColumnRenamed("grp", "found").join(truth, "node"), ["step"]).collect()}
+    assert got == pytest.approx(want)
+    moved = {(r.step, r.node, r.old, r.grp) for r in iv.moves(spans).where("old is not null and step in (5, 9)").collect()}
+    assert moved == {tuple(r) for r in ev.changed_nodes(dense, [5, 9]).collect()}
+    assert iv.to_intervals(dense.limit(0)).collect() == iv.interval_churn(spans.limit(0)).collect() == []
