@@ -100,15 +100,12 @@ def _most_agreement(table: np.ndarray) -> int:
     return int(sum(table[held[c] - 1, c - 1] for c in range(1, size + 1)))
 
 
-def best_alignment(labels: DataFrame, k: int) -> DataFrame:
-    """mapping(found, truth): the renaming of groups that agrees most, from the k x k contingency table; of equals, the first in order.
+def _renaming(table: np.ndarray) -> list[tuple[int, int]]:
+    """(found, truth) of the renaming that agrees most; of equals, the first in order.
 
     Groups are fixed one after another, each to the least label with which the best agreement can still be had."""
-    table = np.zeros((k, k), np.int64)
-    for r in labels.where(F.col("found").between(0, k - 1) & F.col("truth").between(0, k - 1)).groupBy("found", "truth").count().collect():
-        table[r["found"], r["truth"]] = r["count"]
-    best, left, chosen = _most_agreement(table), list(range(k)), []
-    for i in range(k):
+    best, left, chosen = _most_agreement(table), list(range(len(table))), []
+    for i in range(len(table)):
         for t in left:
             others = [u for u in left if u != t]
             if table[i, t] + _most_agreement(table[i + 1 :][:, others]) == best:
@@ -116,7 +113,28 @@ def best_alignment(labels: DataFrame, k: int) -> DataFrame:
         best -= int(table[i, t])
         left.remove(t)
         chosen.append((i, t))
-    return labels.sparkSession.createDataFrame(chosen, "found int, truth int")
+    return chosen
+
+
+def best_alignment(labels: DataFrame, k: int) -> DataFrame:
+    """mapping(found, truth): the renaming of groups that agrees most, from the k x k contingency table; of equals, the first in order."""
+    table = np.zeros((k, k), np.int64)
+    for r in labels.where(F.col("found").between(0, k - 1) & F.col("truth").between(0, k - 1)).groupBy("found", "truth").count().collect():
+        table[r["found"], r["truth"]] = r["count"]
+    return labels.sparkSession.createDataFrame(_renaming(table), "found int, truth int")
+
+
+def alignments(labels: DataFrame, k: int, by: str = "step") -> DataFrame:
+    """mapping(by, found, truth): best_alignment() for each value of by, each from its k x k table in a task."""
+    cells = labels.where(F.col("found").between(0, k - 1) & F.col("truth").between(0, k - 1)).groupBy(by, "found", "truth").count()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((k, k), np.int64)
+        table[pdf["found"], pdf["truth"]] = pdf["count"]
+        found, truth = zip(*_renaming(table), strict=True)
+        return pd.DataFrame({by: pdf[by].iloc[0], "found": found, "truth": truth})
+
+    return cells.groupBy(by).applyInPandas(run, f"{by} {labels.schema[by].dataType.simpleString()}, found int, truth int")
 
 
 def rate_envelope(rates: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -179,6 +179,11 @@ SQL = {
         SELECT list_append(p, g), CAST(total + coalesce(n, 0) AS BIGINT) FROM pe CROSS JOIN (SELECT unnest(range({GROUPS})) AS g) LEFT JOIN cells ON f = len(p) AND t = g WHERE len(p) < {GROUPS} AND NOT list_contains(p, g)),
       best AS (SELECT p FROM pe WHERE len(p) = {GROUPS} ORDER BY total DESC, p LIMIT 1)
       SELECT CAST(unnest(range({GROUPS})) AS INTEGER) AS found, CAST(unnest(p) AS INTEGER) AS truth FROM best""",
+    "alignment_by_step": f"""{HISTORY.replace("WITH", "WITH RECURSIVE", 1)}, cells AS (SELECT step, l.grp AS f, g.grp AS t, count(*) AS n FROM lab l JOIN grp g USING (node) GROUP BY ALL),
+      pe AS (SELECT CAST([] AS BIGINT[]) AS p UNION ALL SELECT list_append(p, g) FROM pe CROSS JOIN (SELECT unnest(range({GROUPS})) AS g) WHERE len(p) < {GROUPS} AND NOT list_contains(p, g)),
+      totals AS (SELECT s.step, p, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT step FROM cells) s CROSS JOIN (SELECT p FROM pe WHERE len(p) = {GROUPS}) q LEFT JOIN cells c ON c.step = s.step AND q.p[c.f + 1] = c.t GROUP BY s.step, p),
+      best AS (SELECT step, p FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY total DESC, p) AS r FROM totals) WHERE r = 1)
+      SELECT step, CAST(unnest(range({GROUPS})) AS INTEGER) AS found, CAST(unnest(p) AS INTEGER) AS truth FROM best""",
     "truth_regions": """WITH c AS (SELECT o_custkey AS node, o_orderdate AS t, max(CAST(o_orderkey % 4 AS INTEGER)) AS grp FROM orders GROUP BY ALL), y AS (SELECT CAST(unnest(range(1995, 2003)) AS INTEGER) AS step)
       SELECT step, node, arg_max(grp, t) AS grp FROM c JOIN y ON t <= make_date(step, 1, 1) GROUP BY step, node""",
     "ccd_dnf": f"""WITH {COUNTS}, f AS (SELECT src AS run, step * 0.25::DOUBLE AS t, dst % 2 AS k, (dst // 2) % 2 AS m FROM (SELECT *, median(n) OVER (PARTITION BY src, dst) AS md FROM cnt) WHERE 2 * n >= 3 * md),

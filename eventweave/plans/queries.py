@@ -310,6 +310,11 @@ def label_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return ev.best_alignment(last.join(truth, "node"), GROUPS)
 
 
+def alignment_by_step(spark: SparkSession, sf: str) -> DataFrame:
+    truth = _groups(spark, sf).select("node", F.col("grp").alias("truth"))
+    return ev.alignments(_labels(spark, sf).withColumnRenamed("grp", "found").join(truth, "node"), GROUPS)
+
+
 def ccd_dnf(spark: SparkSession, sf: str) -> DataFrame:
     """Detection scores of a plain detector: each nation's sales are a run, flagged where an edge has at least 1.5 times its median."""
     counts = _counts(spark, sf)
@@ -358,5 +363,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
     week_bucket, haversine_pairs, near_customers, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
-    churn_series, changed_nodes, membership_intervals, interval_churn, interval_sizes, rand_by_moves, group_share, carried_labels, truth_regions, label_alignment, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
+    churn_series, changed_nodes, membership_intervals, interval_churn, interval_sizes, rand_by_moves, group_share, carried_labels, truth_regions, label_alignment, alignment_by_step, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
 )}
