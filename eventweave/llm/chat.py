@@ -27,7 +27,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     Places are prefix sums in two steps: inside blocks of block_turns turn numbers, then over
     block totals. Null or blank roles are "unknown"; null text is empty; "<|" in texts and roles
     becomes "< |" and line ends in roles spaces; repeated rows are turns of their own; a
-    conversation of system turns only, and an empty table, give no rows; a null conversation is
+    conversation of system turns only, and an empty table, give no rows; texts of any length are rendered whole, a turn in one row; a null conversation is
     one like others; other columns don't matter.
     """
     role = F.when(F.coalesce(F.col(role_col), F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$"), F.lit("unknown")).otherwise(F.col(role_col))

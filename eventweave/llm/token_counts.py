@@ -166,8 +166,8 @@ def count_with_edits(docs: DataFrame, tokenizer_path: str, pattern: str, edits_c
     as the ones before left it; places and sizes beyond the text are cut to it. tokens are those of
     the whole text, tokens_after those after the edits; chars_encoded is what the edits had encoded
     anew. Null text counts as empty, null edits as none; null parts of an edit as 0 or "". Repeated
-    rows and null ids are counted each for itself; other columns don't matter; an empty table
-    gives an empty result.
+    rows and null ids are counted each for itself; other columns don't matter; texts of any length are
+    counted whole, a document and its tree in one task's memory; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.col(edits_col).alias("__edits"))

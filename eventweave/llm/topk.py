@@ -162,6 +162,7 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     and searches them in pairs. The shards' best are merged in two steps. Nothing is dropped unless its
     bound shows that it can't be among the k. The driver holds the pivots and one row for each cell.
 
+    Ids are whole numbers, of any integer type; columns of other types are an error where they don't cast to one.
     Vectors that are null, or hold null or non-finite components, and null ids take no part.
     Rows that repeat an id and vector are one; candidates exclude every row of the query's id.
     Only vectors of a query's own dimension are its candidates. Ties go to the smaller id. Scores are

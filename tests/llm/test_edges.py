@@ -92,3 +92,24 @@ def test_topk_edges(spark):
     assert [(r.vec_id, r.score) for r in out] == [(8, 2**63 - 1), (9, 2**63 - 1), (7, 2**20 * (2**40 + 2)), (5, 2**20 * (2**40 + 1)), (6, 2**60)]
     empty = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in top_k(empty, F.col("vec_id") == 0).collect()] == [(1, 0)]
+
+
+def test_very_long_texts_in_chat_and_token_counts(spark):
+    text = "wide " * 300_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "bot", "short")], "conv_id long, turn long, role string, text string")
+    out = {(r.speaker, r.position): r for r in rotate_perspectives(turns).collect()}
+    assert len(out) == 4 and out["user", 0].rendered == f"<|im_start|>assistant\n{text}<|im_end|>\n" and out["bot", 1].seg_start == len(out["bot", 0].rendered)
+    edits = "array(named_struct('at', 700000, 'delete', 5, 'insert', 'X'))"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("edits", F.expr(edits))
+    row = count_with_edits(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first()
+    after = spark.createDataFrame([(1, text[:700_000] + "X" + text[700_005:])], "doc_id long, text string").withColumn("edits", F.expr(edits))
+    assert row.tokens_after == count_with_edits(after, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first().tokens and row.chars_encoded < 1000
+
+
+def test_mixing_of_many_rows_with_one_id_and_size(spark):
+    rows = spark.createDataFrame([(None, None, "a")] * 3000 + [(1, "two words", "a")] * 2000 + [(2, "three words here", "b")], "doc_id long, text string, source string")
+    out = mix_sources(rows).collect()
+    assert len(out) == 5001 and all(r.taken <= 3 * r.size for r in out)
+    taken = {s: sum(r.taken for r in out if (r["size"] == 3) == (s == "b")) for s in "ab"}
+    target = {s: next(r.target for r in out if r["size"] == (3 if s == "b" else 2)) for s in "ab"}
+    assert all(abs(taken[s] - target[s]) <= 3 for s in "ab")
