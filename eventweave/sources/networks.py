@@ -66,6 +66,17 @@ def parameter_grid(spark: SparkSession, **values: list[float]) -> DataFrame:
     return out
 
 
+def write_network(events: DataFrame, nodes: DataFrame, path: str) -> None:
+    """A network as two tables in a folder, events and the map of its nodes; one that is there is replaced."""
+    for name, table in (("events", events), ("nodes", nodes)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, nodes) of a folder that write_network() wrote."""
+    return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/nodes")
+
+
 def write_grid(grid: DataFrame, path: str) -> None:
     """The grid as JSON lines."""
     grid.write.json(path)

@@ -46,6 +46,10 @@ def test_trip_network(spark, tmp_path):
     number = {r.place: r.node for r in nodes.collect()}
     assert number["A "] == 0 and set(number) == {"A ", "twin", "B"}  # twin stands for x, which shares its place
     assert sorted((r.src, r.dst, r.t) for r in events.collect()) == sorted([(number["A "], number["twin"], 0.5), (number["twin"], number["B"], 1.5), (number["twin"], number["A "], 1.5)])
+    for _ in range(2):  # the second takes the place of the first
+        nw.write_network(events, nodes, str(tmp_path / "network"))
+    again = nw.read_network(spark, str(tmp_path / "network"))
+    assert [sorted(map(str, t.collect())) for t in again] == [sorted(map(str, t.collect())) for t in (events, nodes)]
     nw.write_run(events, str(tmp_path / "out"), "trips", 1, 0)
     assert spark.read.parquet(str(tmp_path / "out")).where("study = 'trips' and idx = 1").count() == 3
 
@@ -452,6 +456,16 @@ def test_monitor(spark):
     assert {r.grp for r in out if r.node != 7} == {0}
 
 
+def test_alignments_by_step(spark):
+    rng = random.Random(3)
+    rows = [(s, rng.randrange(3), rng.randrange(3)) for s in range(6) for _ in range(25)] + [(9, 7, 1)]
+    labels = spark.createDataFrame(rows, "step int, found int, truth int")
+    got = {(r.step, r.found): r.truth for r in ev.alignments(labels, 3).collect()}
+    assert len(got) == 18
+    for step in range(6):
+        assert {r.found: r.truth for r in ev.best_alignment(labels.where(F.col("step") == step), 3).collect()} == {f: got[step, f] for f in range(3)}
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 6])
 def test_alignment_against_permutations(spark, k):
     from itertools import permutations
