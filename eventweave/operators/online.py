@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_of
@@ -90,14 +90,19 @@ class State:
     energies: list[float] = field(default_factory=list)  # of the last interval, after each iteration; see _energy()
 
 
+def lean_shares(k: int, seed: int = 0) -> list[Column]:
+    """p0 .. p{k-1} of a node: equal but for a hundredth more of the group that a hash of the node gives."""
+    lean = [1.0 + F.when(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(k)) == i, 0.01 * k).otherwise(0.0) for i in range(k)]
+    return [(x / (k + 0.01 * k)).alias(f"p{i}") for i, x in enumerate(lean)]
+
+
 def start(nodes: DataFrame, options: Options, edges: DataFrame | None = None, seed: int = 0) -> State:
     """The state before the first interval; edges: those of a known graph (none: all pairs, loops too).
 
     Uniform shares are a fixed point of simultaneous sweeps, so each node's shares lean by a
     hundredth to a group that a hash of the node gives."""
     k = options.k
-    lean = [1.0 + F.when(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(k)) == i, 0.01 * k).otherwise(0.0) for i in range(k)]
-    tau = staged(nodes.select("node", *((x / (k + 0.01 * k)).alias(f"p{i}") for i, x in enumerate(lean))))
+    tau = staged(nodes.select("node", *lean_shares(k, seed)))
     p = {"alpha": np.full((k, k), options.alpha), "beta": np.full((k, k), options.beta), "guard": np.full((k, k), options.forget_rate)}
     p |= {"gamma": np.resize(np.array(options.gamma, float), k), "omega": np.ones(k), "nu": np.full(k, options.nu)}
     state = State(tau, options, params=p, edges=edges)

@@ -101,8 +101,8 @@ def connection_update(sigma: DataFrame, groups: DataFrame, eta_0: float, zeta_0:
 
 
 def both_ways(counts: DataFrame, weight: str = "w") -> DataFrame:
-    """(node, other, n, w, out): every edge (src, dst, n, w) as seen from either end."""
-    edges = counts.select("src", "dst", "n", F.col(weight).alias("w"), *(c for c in ("step", "more") if c in counts.columns))
+    """(node, other, n, w, out): every edge (src, dst, n, w) as seen from either end, of its run where there is one."""
+    edges = counts.select("src", "dst", "n", F.col(weight).alias("w"), *(c for c in ("run", "step", "more") if c in counts.columns))
     more = edges.columns[2:]
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *more, F.lit(True).alias("out"))
     return out.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *more, F.lit(False).alias("out")))
@@ -115,7 +115,7 @@ def neighbour_sums(counts: DataFrame, tau: DataFrame, k: int, weight: str = "w",
     Both directions are one join on the other end and one aggregate. counts may also come from both_ways().
     total: the column that own_w and t add up instead of w; more: further aggregates, as SQL."""
     ways = counts if "other" in counts.columns else both_ways(counts, weight)
-    both = ways.join(tau.withColumnRenamed("node", "other"), "other")
+    both = ways.join(tau.withColumnRenamed("node", "other"), [*_run(tau), "other"])
     # As SQL text: a column built call by call costs more than the work on a small network.
     sums = [f"sum(if({OWN_LOOP}, n * w, 0D)) AS own_n", f"sum(if({OWN_LOOP}, {total}, 0D)) AS own_w"]
     for i in range(k):

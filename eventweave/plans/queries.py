@@ -12,6 +12,7 @@ from ..operators import changepoint as cp
 from ..operators import counts as ct
 from ..operators import evaluate as ev
 from ..operators import intervals as iv
+from ..operators import many
 from ..operators import online as on
 from ..operators import posterior as po
 from ..operators import relabel as rl
@@ -349,6 +350,19 @@ def online_infer_graph(spark: SparkSession, sf: str) -> DataFrame:
     return on.edge_probabilities(_online(spark, sf, 360.0, k=2, mode="graph", k_prime=2)[2])
 
 
+def runs_online(spark: SparkSession, sf: str, delta: float) -> tuple[DataFrame, DataFrame]:
+    """(counts, rate_post) of the trades in RUNS runs by customer, all runs inferred at once."""
+    counts = ct.interval_counts(nw.trade_events(spark, sf, RUNS), delta)
+    nodes = _groups(spark, sf).select("node").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    options = on.Options(k=3, delta=delta, forget_rate=0.1, n_cavi=2, n_sweeps=3)
+    return counts, many.run_many(counts, nodes, options, _steps(spark, sf, delta))[1]
+
+
+def online_many_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole record of every run in intervals of 360 days."""
+    return runs_online(spark, sf, 360.0)[1]
+
+
 def group_changes(spark: SparkSession, sf: str) -> DataFrame:
     return cp.monitor(_history(spark, sf), GROUPS, 3, 8, 2, 0.4)
 
@@ -363,5 +377,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     edge_interval_counts, edge_cumulative_counts, edge_first_seen, edge_arrival_lists, transition_network, bipartite_network, node_dense_relabel, known_node_filter, text_normalise, time_to_minutes,
     week_bucket, haversine_pairs, near_customers, block_counts, block_exposure, block_soft_counts, rate_posterior_recursion, rate_posterior_mean, rate_envelope, rate_mean_over_runs, aligned_runs, group_dirichlet_update, stick_breaking_update,
     edge_sigma_posterior, connection_beta_update, membership_scores, membership_softmax, membership_argmax, gamma_kl_lag, rate_mad_score, rate_changes, js_divergence_lag, js_flag, adjusted_rand,
-    churn_series, changed_nodes, membership_intervals, interval_churn, interval_sizes, rand_by_moves, group_share, carried_labels, truth_regions, label_alignment, alignment_by_step, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, group_changes, station_groups,
+    churn_series, changed_nodes, membership_intervals, interval_churn, interval_sizes, rand_by_moves, group_share, carried_labels, truth_regions, label_alignment, alignment_by_step, ccd_dnf, param_grid, weekly_file_grid, online_known_graph, online_infer_groups, online_infer_graph, online_many_runs, group_changes, station_groups,
 )}

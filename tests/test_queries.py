@@ -11,7 +11,7 @@ from eventweave.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"online_known_graph", "online_infer_groups", "online_infer_graph"}  # their operators are tested on smaller networks
+SLOW = {"online_known_graph", "online_infer_groups", "online_infer_graph", "online_many_runs"}  # their operators are tested on smaller networks
 
 
 @pytest.fixture(scope="module")
