@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import gamma_kl, gamma_kl_of, js_term
-from .scan import exact_medians
+from .scan import large_groups, medians_of
 from .storage import staged
 
 
@@ -29,9 +29,13 @@ def mad_score(value: Column, median: Column, mad: Column) -> Column:
 
 
 def mad_scores(rows: DataFrame, value: str, by: list[str], most_rows: int = 100_000) -> DataFrame:
-    """Adds median, mad and score of value among the rows with the same by columns. Two rounds of exact_medians(), joined back on by."""
-    joined = rows.join(exact_medians(rows, value, by, most_rows=most_rows), by)
-    mads = exact_medians(joined.withColumn("__off", F.abs(F.col(value) - F.col("median"))), "__off", by, "mad", most_rows)
+    """Adds median, mad and score of value among the rows with the same by columns. Two exact medians (see exact_medians()), joined back on by.
+
+    The rows are staged, as every pass reads them; groups are counted once for both medians."""
+    rows = staged(rows)
+    hot = large_groups(rows, value, by, most_rows)
+    joined = rows.join(medians_of(rows, value, by, hot), by)
+    mads = medians_of(joined.withColumn("__off", F.abs(F.col(value) - F.col("median"))), "__off", by, hot, "mad")
     return joined.join(mads, by).withColumn("score", mad_score(F.col(value), F.col("median"), F.col("mad")))
 
 
@@ -59,8 +63,9 @@ def js_flags(js: DataFrame, most: int, window: int, limit: float, most_rows: int
     js = staged(js.withColumn("log_js", F.log(F.abs("js"))))
     reach = F.sequence(F.col("step") + 1, F.col("step") + (window - most - 1))
     pool = js.select(F.explode(reach).alias("step"), "log_js")
-    medians = staged(exact_medians(pool, "log_js", ["step"], most_rows=most_rows))  # as many rows as steps
-    mads = exact_medians(pool.join(medians, "step").withColumn("off", F.abs(F.col("log_js") - F.col("median"))), "off", ["step"], "mad", most_rows)
+    hot = large_groups(pool, "log_js", ["step"], most_rows)
+    medians = staged(medians_of(pool, "log_js", ["step"], hot))  # as many rows as steps
+    mads = medians_of(pool.join(medians, "step").withColumn("off", F.abs(F.col("log_js") - F.col("median"))), "off", ["step"], hot, "mad")
     now = js.join(medians, "step").join(mads, "step")
     score = F.coalesce(mad_score(F.col("log_js"), F.col("median"), F.col("mad")), F.lit(0.0))
     out = now.groupBy("step", "node").agg(F.min(score).alias("low"), F.bool_and("moved").alias("moved"))

@@ -50,13 +50,13 @@ def fill_steps(blocks: DataFrame, pairs: DataFrame, steps: int) -> DataFrame:
     return grid.join(blocks, [*_run(blocks), "step", "k", "m"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def rate_recursion(blocks: DataFrame, forget: float, delta: float, alpha_0: float = 1.0, beta_0: float = 1.0, chunk: int = 64) -> DataFrame:
+def rate_recursion(blocks: DataFrame, forget: float, delta: float, alpha_0: float = 1.0, beta_0: float = 1.0, chunk: int = 64, steps: int | None = None) -> DataFrame:
     """rate_post(step, k, m, alpha, beta): the gamma posterior after each step, with forgetting; of each run by itself where blocks have a column run.
 
     alpha' - 1 = forget (alpha - 1) + n, beta' = forget beta + delta pairs: affine maps, scanned in chunks of
-    steps (see affine_scan()), so that a long record of one pair of groups is work for many tasks."""
+    steps (see affine_scan()), so that a long record of one pair of groups is work for many tasks. steps: how many there are, if known; it spares writing short records."""
     adds = {"alpha": F.col("n"), "beta": F.col("pairs") * delta}
-    post = affine_scan(blocks, [*_run(blocks), "k", "m"], "step", F.lit(float(forget)), adds, {"alpha": alpha_0 - 1, "beta": beta_0}, chunk)
+    post = affine_scan(blocks, [*_run(blocks), "k", "m"], "step", F.lit(float(forget)), adds, {"alpha": alpha_0 - 1, "beta": beta_0}, chunk, None if steps is None else max(steps - 1, 0))
     return post.select(*_run(blocks), F.col("step").cast("int").alias("step"), "k", "m", (F.col("alpha") + 1).alias("alpha"), "beta")
 
 

@@ -24,34 +24,37 @@ def carry_last(rows: DataFrame, by: list[str], order: list[str], value: str) ->
     return rows.withColumn(value, F.coalesce("__here", "__before")).drop("__part", "__here", "__before")
 
 
-def affine_scan(rows: DataFrame, by: list[str], index: str, mult: Column, adds: dict[str, Column], first: dict[str, float], chunk: int = 64) -> DataFrame:
+def affine_scan(rows: DataFrame, by: list[str], index: str, mult: Column, adds: dict[str, Column], first: dict[str, float], chunk: int = 64, last: int | None = None) -> DataFrame:
     """rows' by and index with, for each name of adds, y = mult * y before + add, in order of index (whole numbers from 0) inside a group; first: y before all.
 
     Each row is an affine map. Maps of a chunk of indices are composed in a fold over an array of at most `chunk` rows; a chunk as a whole is a map
     again, and the maps of chunks go through the same scan, level by level, until a group is one chunk. What a chunk begins with is then
-    put into its rows. So the work is linear in a group's rows and spread over tasks. An index occurs once in a group."""
+    put into its rows. So the work is linear in a group's rows and spread over tasks. An index occurs once in a group.
+    last: the highest index there may be, if the caller knows it; a record of one chunk is then one lazy plan that nothing is written or counted for."""
     names = list(adds)
     rows = rows.select(*by, F.col(index).cast("long").alias("__i"), mult.cast("double").alias("__m"), *(adds[n].cast("double").alias(f"__{n}") for n in names))
-    found = _scan(rows, by, names, first, chunk)
+    found = _scan(rows, by, names, first, chunk, last)
     return found.select(*by, F.col("__i").alias(index), *(F.col(f"__{n}").alias(n) for n in names))
 
 
-def _scan(rows: DataFrame, by: list[str], names: list[str], first: dict[str, float], chunk: int) -> DataFrame:
+def _scan(rows: DataFrame, by: list[str], names: list[str], first: dict[str, float], chunk: int, last: int | None) -> DataFrame:
     """(by, __i, __old_n, __n): each n before and after the row's map."""
     state = F.struct(F.lit(-1).cast("long").alias("i"), F.lit(1.0).alias("om"), F.lit(1.0).alias("m"), *(F.lit(0.0).alias(f"{x}{n}") for n in names for x in ("o", "y")))
 
     def compose(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        ys = [y for n in names for y in (last[f"y{n}"].alias(f"o{n}"), (x["__m"] * last[f"y{n}"] + x[f"__{n}"]).alias(f"y{n}"))]
-        return F.concat(done, F.array(F.struct(x["__i"].alias("i"), last["m"].alias("om"), (x["__m"] * last["m"]).alias("m"), *ys)))
+        end = F.element_at(done, -1)
+        ys = [y for n in names for y in (end[f"y{n}"].alias(f"o{n}"), (x["__m"] * end[f"y{n}"] + x[f"__{n}"]).alias(f"y{n}"))]
+        return F.concat(done, F.array(F.struct(x["__i"].alias("i"), end["m"].alias("om"), (x["__m"] * end["m"]).alias("m"), *ys)))
 
     steps = F.array_sort(F.collect_list(F.struct("__i", "__m", *(f"__{n}" for n in names))))
     folded = rows.groupBy(*by, F.floor(F.col("__i") / chunk).alias("__chunk")).agg(F.aggregate(steps, F.array(state), compose).alias("__maps"))
-    folded = staged(folded)
     whole = F.element_at("__maps", -1)
-    if (folded.agg(F.max("__chunk")).first()[0] or 0) > 0:
+    if last is None or last >= chunk:
+        folded = staged(folded)
+        last = (folded.agg(F.max("__chunk")).first()[0] or 0) * chunk
+    if last >= chunk:
         maps = folded.select(*by, F.col("__chunk").alias("__i"), whole["m"].alias("__m"), *(whole[f"y{n}"].alias(f"__{n}") for n in names))
-        begins = _scan(maps, by, names, first, chunk).select(*by, F.col("__i").alias("__chunk"), *(F.col(f"__old_{n}").alias(f"__begin_{n}") for n in names))
+        begins = _scan(maps, by, names, first, chunk, last // chunk).select(*by, F.col("__i").alias("__chunk"), *(F.col(f"__old_{n}").alias(f"__begin_{n}") for n in names))
         folded = folded.join(begins, [*by, "__chunk"])
     else:
         folded = folded.withColumns({f"__begin_{n}": F.lit(float(first[n])) for n in names})
@@ -60,14 +63,24 @@ def _scan(rows: DataFrame, by: list[str], names: list[str], first: dict[str, flo
     return out.select(*by, F.col("x.i").alias("__i"), *ends)
 
 
+def large_groups(rows: DataFrame, value: str, by: list[str], most_rows: int) -> DataFrame | None:
+    """(by, __n): groups of more than most_rows values that aren't null, staged; none if there is no such group."""
+    hot = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most_rows)
+    return None if hot.isEmpty() else staged(hot)
+
+
 def exact_medians(rows: DataFrame, value: str, by: list[str], name: str = "median", most_rows: int = 100_000) -> DataFrame:
     """by columns and the exact median of value (double; nulls left out, NaN the largest) in each group.
 
     Groups of up to most_rows values take Spark's own median. Larger ones are counted out: values fall into buckets by sign and power
     of two, then into even parts of the bucket that holds the middle, until it holds one value. A round is one aggregate of all such groups at once that
-    combines before the shuffle, so no task holds a group; with 4096 parts there are some six rounds at most."""
-    hot = staged(rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most_rows))
-    if hot.isEmpty():
+    combines before the shuffle, so no task holds a group; with 4096 parts there are some six rounds at most. rows are read once more to count groups: best staged."""
+    return medians_of(rows, value, by, large_groups(rows, value, by, most_rows), name)
+
+
+def medians_of(rows: DataFrame, value: str, by: list[str], hot: DataFrame | None, name: str = "median") -> DataFrame:
+    """exact_medians() with the large groups known: those of large_groups() for the same rows, or for another value that is null where this one is."""
+    if hot is None:
         return rows.groupBy(*by).agg(F.median(value).alias(name))
     keys = if_small(hot, 100_000)
     few = rows.join(keys, by, "left_anti").groupBy(*by).agg(F.median(value).alias(name))

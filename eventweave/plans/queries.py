@@ -128,9 +128,9 @@ def block_soft_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rates(spark: SparkSession, sf: str, forget: float) -> DataFrame:
-    groups = _groups(spark, sf)
-    blocks = po.fill_steps(po.block_counts(_counts(spark, sf), groups), po.block_pairs(groups), _steps(spark, sf))
-    return po.rate_recursion(blocks, forget, DELTA)
+    groups, steps = _groups(spark, sf), _steps(spark, sf)
+    blocks = po.fill_steps(po.block_counts(_counts(spark, sf), groups), po.block_pairs(groups), steps)
+    return po.rate_recursion(blocks, forget, DELTA, steps=steps)
 
 
 def rate_posterior_recursion(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +153,8 @@ def _run_rates(spark: SparkSession, sf: str) -> DataFrame:
     """rate_post(run, step, k, m, alpha, beta): the trades in RUNS runs by customer, nations in two groups; all runs in one plan."""
     counts = ct.interval_counts(nw.trade_events(spark, sf, RUNS), DELTA)
     groups = _groups(spark, sf).withColumn("grp", F.col("grp") % 2)
-    return po.rate_recursion(po.fill_steps(po.block_counts(counts, groups), po.block_pairs(groups), _steps(spark, sf)), 0.1, DELTA)
+    steps = _steps(spark, sf)
+    return po.rate_recursion(po.fill_steps(po.block_counts(counts, groups), po.block_pairs(groups), steps), 0.1, DELTA, steps=steps)
 
 
 def rate_mean_over_runs(spark: SparkSession, sf: str) -> DataFrame:
