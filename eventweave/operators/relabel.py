@@ -44,15 +44,29 @@ def distances(stations: DataFrame) -> DataFrame:
 #: Cells of the finest level have an edge of 2 ** -FINEST of the earth's radius, less than a metre; those of level 0 one of 2, which covers the sphere.
 FINEST = 24
 
+#: Rows of a task of nearest_stations(), asks (27 a station) and stations in cubes: with more rows come more tasks, not larger ones.
+TASK_ROWS = 200_000
+
+
+def _tasks(rows: int) -> int:
+    return rows // TASK_ROWS + 1
+
 
 def nearest_stations(stations: DataFrame, k: int) -> DataFrame:
     """near(name, rank, other, km): the k nearest other stations of each, ties by name; exact, on the whole sphere, without pairing all with all.
 
     Stations are points on the unit sphere in three dimensions, so that poles and the date line are nothing special, in cubes of edge 2, 1, 1/2 ... A station begins at
     the finest level at which more than k share its cube, and looks into the 27 cubes around: they hold all within an edge's length. If its k-th
-    lies within that, it is done; else it goes on at the next coarser level. Cubes are counted at all levels by one aggregate. Names are unique."""
+    lies within that, it is done; else it goes on at the next coarser level. Cubes are counted at all levels by one aggregate. Of stations at the very same
+    place only the k + 1 first names are looked at by others, as these are all that anyone's k nearest can hold. Tasks are cut by the rows counted, before rows are
+    multiplied, so that a task's memory doesn't grow with the table, nor with a small file that holds it all. Names are unique."""
     lat, lon = F.radians("latitude"), F.radians("longitude")
     points = stations.select("name", "latitude", "longitude", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+    points = staged(points)
+    n = points.count()
+    points = points.repartition(_tasks(n * (FINEST + 1)), "name")
+    same = Window.partitionBy("latitude", "longitude").orderBy("name")
+    seen = staged(points.withColumn("no", F.row_number().over(same)).where(F.col("no") <= k + 1).drop("no"))
     cube = ["level", "i", "j", "l"]
     edge = F.pow(F.lit(2.0), 1 - F.col("level"))
     in_cubes = lambda rows: rows.select("*", *(F.floor((F.col(c) + 1) / edge).cast("long").alias(n) for c, n in zip("xyz", cube[1:], strict=True)))
@@ -62,15 +76,16 @@ def nearest_stations(stations: DataFrame, k: int) -> DataFrame:
     open_ = staged(points.join(first, "name", "left").withColumn("level", F.coalesce("level", F.lit(0))))
     done = None
     while True:
-        levels = [r[0] for r in open_.select("level").distinct().collect()]  # at most FINEST + 1
+        levels = dict(open_.groupBy("level").count().collect())  # at most FINEST + 1
         if not levels:
             break
-        data = in_cubes(points.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))))
+        tasks = _tasks(27 * sum(levels.values()) + n * len(levels))
+        data = in_cubes(seen.repartition(tasks, "name").withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))))
         data = data.select(*cube, *(F.col(c).alias(f"other_{c}") for c in ("name", "latitude", "longitude")))
-        asks = in_cubes(open_)
+        asks = in_cubes(open_.repartition(tasks, "name"))
         for c in cube[1:]:
             asks = asks.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-        near = asks.join(data, cube).where("name <> other_name").withColumn("km", haversine(*(F.col(c) for c in ("latitude", "longitude", "other_latitude", "other_longitude"))))
+        near = asks.repartition(tasks, *cube).join(data.repartition(tasks, *cube), cube).where("name <> other_name").repartition(tasks, "name").withColumn("km", haversine(*(F.col(c) for c in ("latitude", "longitude", "other_latitude", "other_longitude"))))
         best = near.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("km", "other_name"))).where(F.col("rank") <= k).select("name", "level", "rank", "other_name", "km")
         best = staged(best)
         chord = 2 * F.sin(F.max("km") / (2 * EARTH_RADIUS))

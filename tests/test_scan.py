@@ -246,3 +246,20 @@ def test_intervals_tell_what_the_dense_table_tells(spark):
     moved = {(r.step, r.node, r.old, r.grp) for r in iv.moves(spans).where("old is not null and step in (5, 9)").collect()}
     assert moved == {tuple(r) for r in ev.changed_nodes(dense, [5, 9]).collect()}
     assert iv.to_intervals(dense.limit(0)).collect() == iv.interval_churn(spans.limit(0)).collect() == []
+
+
+def test_tasks_of_nearest_stations_do_not_grow(spark, tmp_path, monkeypatch):
+    """A table in one small file: no stage writes more rows a task than a few times TASK_ROWS, and the results are those of one large task."""
+    places = [(i, -90.0 + i * 7919 % 18001 * 0.01, -180.0 + i * 104729 % 36000 * 0.01) for i in range(8000)]
+    places += [(8000 + i, 12.0, 34.0) for i in range(300)]  # many at one place
+    spark.createDataFrame(places, "name long, latitude double, longitude double").coalesce(1).write.parquet(str(tmp_path / "stations"))
+    stations, rows = spark.read.parquet(str(tmp_path / "stations")), lambda df: sorted(map(tuple, df.select("name", "rank", "other", "km").collect()))
+    want = rows(rl.nearest_stations(stations, 3))
+    monkeypatch.setattr(rl, "TASK_ROWS", 10_000, raising=False)
+    store, java = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: {s.stageId(): s for s in (lambda x: (x.apply(i) for i in range(x.size())))(store.stageList(None, False, False, java.new_array(java.jvm.double, 0), None))}
+    before = set(stages())
+    assert rows(rl.nearest_stations(stations, 3)) == want
+    own = [s for i, s in stages().items() if i not in before and s.numCompleteTasks()]
+    assert own and max(s.shuffleWriteRecords() / s.numCompleteTasks() for s in own) < 4 * 10_000
+    assert {(n, o) for n, r, o, _ in want if n >= 8000 and r == 1} == {(8000, 8001), *((8000 + i, 8000) for i in range(1, 300))}
