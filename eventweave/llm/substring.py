@@ -50,6 +50,9 @@ AT, GAP = 31, 6
 #: Words on either side of a seed whose 64 bits are its context, and those whose least hash tells who holds the seed in like surroundings.
 NEAR, WIDE = 12, 24
 
+#: Holders of a seed that are paired as a list; more are joined.
+LISTED = 64
+
 
 def _windows(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     """op over `width` values (a power of two) from each place on, by doubling."""
@@ -296,6 +299,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier documents: with all of them for seeds in up to `few` documents, else with the first
     holder (the least id), which stands for all, and with the first that holds it where the least hash of the 24 words before, or of those behind,
     is the same; so a passage in n documents gives n - 1 pairs at least, and common lines put together anew meet where they were put together so first.
+    Changed passages made of such seeds alone may so be told with another holder than the likest, or be missed. `few` above the number of documents lets
+    all holders of every seed meet, with no such loss: the same joins, spread over tasks, but pairs grow with the square of a seed's holders.
     Anchors are left out unless at least `alike` of 64 bits agree that stand for the 12 words on either side, in any order. Where the holder or the shift changes from
     a seed to the next and all seeds around occur before, each run of min_words equal words is
     joined with its own first holder too: later holders of a passage of common pieces meet there.
@@ -361,8 +366,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = staged(seeds.join(staged(first).hint("shuffle_hash"), "seed"))
     holders = staged(shared.where("id = first").select("seed", F.col("spot").alias("other_spot"), F.col("context").alias("other_context")))
     by_first = staged(shared.where("id <> first").join(holders.hint("shuffle_hash"), "seed").withColumnRenamed("first", "other").drop("seed", "near"))
-    lists = shared.where(F.col("n").between(3, few)).groupBy("seed").agg(F.collect_list(F.struct("id", "spot", "context")).alias("in"))
-    each = lists.select(F.explode("in").alias("a"), "in").select("a", F.explode("in").alias("b")).where("a.id > b.id")
+    several = shared.where(F.col("n").between(3, few)).select("seed", F.struct("id", "spot", "context").alias("a"))
+    if few <= LISTED:
+        lists = several.groupBy("seed").agg(F.collect_list("a").alias("in"))
+        each = lists.select(F.explode("in").alias("a"), "in").select("a", F.explode("in").alias("b")).where("a.id > b.id")
+    else:  # a seed's holders fill no row of a task, and AQE splits hot seeds
+        each = several.join(several.withColumnRenamed("a", "b").hint("merge"), "seed").where("a.id > b.id")
     anchors = by_first.where((F.col("n") > few) | (F.col("n") == 2)).drop("n").unionByName(each.select("a.*", F.col("b.id").alias("other"), F.col("b.spot").alias("other_spot"), F.col("b.context").alias("other_context")))
     # Seeds of many holders: the first in like surroundings, on either side.
     sides = F.array(F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from eventweave.llm import substring
 from eventweave.llm.substring import NEAR, WIDE, gapped_gain, longest, shared_passages, spots_of
 from eventweave.llm.words import mix
 
@@ -59,6 +60,26 @@ def test_changed_passages_are_told(spark):
     assert all(r.identity >= 0.8 - 1e-9 and r.end - r.start >= 50 for r in rows)
 
 
+def test_all_holders_meet(spark, monkeypatch):
+    """Edited passages of lines that five documents hold: with few beyond all holders each is told with its own original; lists and joins of holders agree."""
+    rng, docs, pairs, each = random.Random(23), [], set(), 60
+    around = lambda n: [word(rng) for _ in range(n)]
+    lines = [around(12) for _ in range(5 * each)]
+    order = [i for i in range(len(lines)) for _ in range(5)]
+    rng.shuffle(order)
+    for i in order:
+        docs.append((len(docs), " ".join(around(30) + lines[i] + around(30))))
+    for j in range(each):
+        passage = sum(lines[5 * j : 5 * j + 5], [])
+        docs += [(len(docs), " ".join(around(30) + passage + around(30))), (len(docs) + 1, " ".join(around(20) + edited(passage, rng, "rep", 7) + around(30)))]
+        pairs.add((len(docs) - 1, len(docs) - 2))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    joined = sorted(map(tuple, shared_passages(table, few=1 << 40).collect()))
+    assert {r[0] for r in joined} == {a for a, _ in pairs} and {(r[0], r[3]) for r in joined} == pairs
+    monkeypatch.setattr(substring, "LISTED", 1 << 40)
+    assert sorted(map(tuple, shared_passages(table, few=1 << 40).collect())) == joined
+
+
 def test_contexts_hold_the_words_around():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 1 << 63, 90).astype(np.uint64)
