@@ -362,8 +362,10 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = seeds.groupBy("seed").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     own = scanned.where("span is not null").select("id", *(F.col("span")[i].cast("long").alias(n) for i, n in ((0, "start"), (1, "end"))), F.col("id").alias("other_id"), *(F.col("span")[i].cast("long").alias(n) for i, n in ((2, "other_start"), (3, "other_end"), (4, "matches"))))
     own = staged(own)
-    # Both sides of the join are read back, so that AQE splits it at hot seeds.
-    shared = staged(seeds.join(staged(first).hint("shuffle_hash"), "seed"))
+    # Most seeds stand in one document: bitmaps of the others spare their shuffle. Both sides of the join are read back, so that AQE splits it at hot seeds.
+    first = staged(first)
+    bits = 1 << min(max((8 * first.count()).bit_length(), 20), 30)
+    shared = staged(perhaps_in(seeds, first, "seed", bits).join(first.hint("shuffle_hash"), "seed"))
     holders = staged(shared.where("id = first").select("seed", F.col("spot").alias("other_spot"), F.col("context").alias("other_context")))
     by_first = staged(shared.where("id <> first").join(holders.hint("shuffle_hash"), "seed").withColumnRenamed("first", "other").drop("seed", "near"))
     several = shared.where(F.col("n").between(3, few)).select("seed", F.struct("id", "spot", "context").alias("a"))
