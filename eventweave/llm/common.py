@@ -68,10 +68,15 @@ def mark_perhaps(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int =
     With far more ids than bits nearly all rows are marked."""
     at = F.pmod(F.xxhash64(name), F.lit(bits)) + 1
     maps = ids.select(at.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__map"))
+    # As an array of ints, four bytes each, read out once for each map: a row then takes a bit of one number.
+    number = lambda i: F.conv(F.hex(F.substring("__map", 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
+    count = F.expr("octet_length(__map) div 4 - 1").cast("int")
+    maps = maps.select("__bucket", F.transform(F.sequence(F.lit(0), count), lambda i: signed(number(i))).alias("__map"))
     place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("__map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.bit_get(F.get("__map", F.shiftright(place, 5).cast("int")), (24 - 8 * F.shiftright(place, 3).bitwiseAND(F.lit(3)) + place.bitwiseAND(F.lit(7))).cast("int"))
     found = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__bucket", "left")
-    return found.select(*rows.columns, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0, F.lit(False)).alias("__perhaps"))
+    return found.select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias("__perhaps"))
 
 
 def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", bits: int = 1 << 26) -> DataFrame:

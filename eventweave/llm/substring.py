@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,42 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def seed_places(words: np.ndarray, k: int, sparse: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def long_grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, by doubling: in log n steps, other values than grams()."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    h, step = words, 1
+    while step < n:
+        on = min(step, n - step)  # the last two halves may overlap
+        h = mix(h[:-on] * _MUL + h[on:])
+        step += on
+    return h
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def seed_places(words: np.ndarray, k: int, sparse: int, window: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of one in `sparse` k-mers, chosen by their hash alone, and of the least of any window of k-mers without such a one.
 
     So a k-mer that two texts share is a seed of both or of neither, whatever stands around it, and
-    any run of k + window - 1 equal words shares a seed."""
+    any run of k + window - 1 equal words shares a seed. first: where the documents in words begin, and the end of the last; no k-mer reaches from one into the next."""
+    first = np.array([0, len(words)]) if first is None else first
+    start, end = first[:-1], first[1:] - k + 1  # the places of k-mers
+    start, end = start[start < end], end[start < end]
     h = grams(words, k)
     at = np.flatnonzero(h <= np.uint64((1 << 64) // sparse - 1))
-    edges = np.concatenate([[-1], at, [len(h)]])
-    wide = np.flatnonzero(np.diff(edges) > window)
+    doc = np.searchsorted(start, at, side="right") - 1
+    inside = (doc >= 0) & (at < end[doc]) if len(start) else np.zeros(len(at), bool)
+    at, doc = at[inside], doc[inside]
+    edges = np.sort(np.concatenate([doc << 40 | at + 1, np.arange(len(start)) << 40 | start, np.arange(len(start)) << 40 | end + 1]))
+    wide = np.flatnonzero((np.diff(edges) > window) & (edges[1:] >> 40 == edges[:-1] >> 40))
     if len(wide):
         more = [at]
         for i in wide:
-            lo, hi = edges[i] + 1, edges[i + 1]
+            lo, hi = (edges[i : i + 2] & (1 << 40) - 1) - (0, 1)
             view = np.lib.stride_tricks.sliding_window_view(h[lo:hi], window)
             more.append(np.unique(view.argmin(axis=1) + np.arange(lo, lo + len(view))))
         at = np.sort(np.concatenate(more))
@@ -63,22 +87,32 @@ def _windows(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return values
 
 
-def _around(values: np.ndarray, at: np.ndarray, k: int, side: int, op: np.ufunc, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """op over the `side` words before each seed, and over those behind it; op doesn't mind a value twice."""
-    pad = np.full(side, none, values.dtype)
+def _around(values: np.ndarray, at: np.ndarray, k: int, side: int, op: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """op over the `side` values before each place, and over those behind it and the k - 1 next; op doesn't mind a value twice."""
     width = 1 << (side.bit_length() - 1)
-    over, rest = _windows(np.concatenate([pad, values, pad]), width, op), side - width
-    return op(over[at], over[at + rest]), op(over[at + side + k], over[at + side + k + rest])
+    over, rest = _windows(values, width, op), side - width
+    return op(over[at - side], over[at - width]), op(over[at + k], over[at + k + rest])
 
 
-def spots_of(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spots, contexts, near): three longs for each seed, all that later steps need to know of it and the words around.
+def spots_of(words: np.ndarray, at: np.ndarray, k: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spots, contexts, near): three longs for each seed, all that later steps need to know of it and the words around in its document.
 
     A context has a bit for each of the NEAR words before and behind, wherever among them it stands; near has the least hashes
-    of the WIDE words before and of those behind, 32 bits each."""
-    spots = at | np.diff(at, prepend=-1) << AT | np.diff(at, append=len(words) - k + 1) << (AT + GAP)
-    bits = _around(np.left_shift(np.uint64(1), words & np.uint64(63)), at, k, NEAR, np.bitwise_or, 0)
-    least = _around((mix(words) >> np.uint64(32)).astype(np.uint64), at, k, WIDE, np.minimum, (1 << 32) - 1)
+    of the WIDE words before and of those behind, 32 bits each. first: see seed_places()."""
+    first = np.array([0, len(words)]) if first is None else first
+    doc = np.searchsorted(first, at, side="right") - 1
+    start, end = first[doc], first[doc + 1] - k + 1
+    new = np.diff(doc, prepend=-1) > 0
+    before = np.where(new, start - 1, np.append(0, at[:-1])[: len(at)])
+    behind = np.where(np.append(new[1:], True)[: len(at)], end, np.append(at[1:], 0)[: len(at)])
+    spots = at - start | at - before << AT | behind - at << (AT + GAP)
+    # WIDE empty places around each document keep its words apart from its neighbours'.
+    to = np.arange(len(words)) + np.repeat(np.arange(1, len(first)) * WIDE, np.diff(first))
+    bits, least = np.zeros((2, len(words) + len(first) * WIDE), np.uint64)
+    least[:] = (1 << 32) - 1
+    bits[to], least[to] = np.left_shift(np.uint64(1), words & np.uint64(63)), mix(words) >> np.uint64(32)
+    at = at + (doc + 1) * WIDE
+    bits, least = _around(bits, at, k, NEAR, np.bitwise_or), _around(least, at, k, WIDE, np.minimum)
     return spots, (bits[0] | bits[1]).view(np.int64), (least[0] << np.uint64(32) | least[1]).view(np.int64)
 
 
@@ -122,6 +156,8 @@ def chain(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float) -> list[np.ndar
     of y, the best score plus gap_cost times the places, so an anchor takes two steps of log n."""
     order = np.lexsort((y, x))
     x, y, n = x[order], y[order], len(x)
+    if n and (x - y == x[0] - y[0]).all() and (x[1:] > x[:-1]).all():
+        return [order[i] for i in _chain_at_one_shift(x.tolist(), y.tolist(), k, gap_cost)]
     ranks = np.unique(y, return_inverse=True)[1] + 1
     top = int(ranks.max()) + 1
     best, arg = [-np.inf] * (top + 1), [-1] * (top + 1)
@@ -152,15 +188,32 @@ def chain(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float) -> list[np.ndar
                     best[r], arg[r] = value, m
                 r += r & -r
         i = j
-    used, out = [False] * n, []
-    for end in sorted(range(n), key=lambda m: -score[m]):
+    return [order[i] for i in _traced(score, back)]
+
+
+def _chain_at_one_shift(xs: list[int], ys: list[int], k: int, gap_cost: float) -> list[np.ndarray]:
+    """chain() of rising anchors at one shift: the best anchor before one is then always the last, as each adds more than its distance costs."""
+    score, back, last = [float(k)], [-1], float(k)
+    for m in range(1, len(xs)):
+        found = last + gap_cost * (xs[m - 1] + ys[m - 1] + 2 * k) - gap_cost * (xs[m] + ys[m]) + min(k, xs[m] - xs[m - 1])
+        linked = found > k
+        last = found if linked else float(k)
+        score.append(last)
+        back.append(m - 1 if linked else -1)
+    return _traced(score, back)
+
+
+def _traced(score: list[float], back: list[int]) -> list[np.ndarray]:
+    """Indices of the anchors of each chain, best end first; an anchor goes to the first chain that reaches it."""
+    used, out = [False] * len(score), []
+    for end in sorted(range(len(score)), key=lambda m: -score[m]):
         part, m = [], end
         while m >= 0 and not used[m]:
             used[m] = True
             part.append(m)
             m = back[m]
         if part:
-            out.append(order[np.array(part[::-1])])
+            out.append(np.array(part[::-1]))
     return out
 
 
@@ -206,13 +259,22 @@ def gapped_gain(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.nda
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs, row by row."""
-    if len(a) == len(b) and (same := int((a == b).sum())) == len(a):
-        return same
+    if len(a) > len(b):
+        a, b = b, a
+    # Words alike at the start and at the end are part of a longest one.
+    n = len(a)
+    differ = np.flatnonzero(a != b[:n])
+    if not len(differ):
+        return n
+    head = int(differ[0])
+    differ = np.flatnonzero(a[head:][::-1] != b[len(b) - n + head :][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b = a[head : n - tail], b[head : len(b) - tail]
     row = np.zeros(len(b) + 1, np.int64)
     for w in a:
         row[1:] = np.maximum(row[1:], np.where(b == w, row[:-1] + 1, 0))
         np.maximum.accumulate(row, out=row)
-    return int(row[-1])
+    return head + tail + int(row[-1])
 
 
 def step_matches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -221,7 +283,16 @@ def step_matches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k:
     if not np.diff(edges_x - edges_y).any():
         same = np.append(0, np.cumsum(a[x[0] : x[-1] + k] == b[y[0] : y[-1] + k]))
         return np.diff(same[edges_x - x[0]])
-    return np.array([common_words(a[edges_x[i] : edges_x[i + 1]], b[edges_y[i] : edges_y[i + 1]]) for i in range(len(x))])
+    got, across = np.diff(edges_x), np.diff(edges_y)
+    level = np.flatnonzero(got == across)
+    unlike = np.ones(len(x), bool)
+    if len(level):
+        on = np.append(0, np.cumsum(got[level]))
+        differ = a[ranges(edges_x[level], got[level])] != b[ranges(edges_y[level], got[level])]
+        unlike[level] = np.logical_or.reduceat(differ, on[:-1])
+    for i in np.flatnonzero(unlike):
+        got[i] = common_words(a[edges_x[i] : edges_x[i + 1]], b[edges_y[i] : edges_y[i + 1]])
+    return got
 
 
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similarity: float, margin: int, min_words: int, cut_before: bool = False, cut_behind: bool = False) -> tuple[list[tuple[int, int, int, int, int]], bool]:
@@ -278,6 +349,56 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, si
     return out, bool(wide)
 
 
+def _ends_alike(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, size: np.ndarray, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(same, there), a row for each end: whether the words of a and b from two places on, forwards or backwards, are alike, and which of them there are."""
+    on = np.arange(most)
+    there = on < size[:, None]
+    same = np.take(a, from_a[:, None] + step * on, mode="clip") == np.take(b, from_b[:, None] + step * on, mode="clip")
+    return same & there, there
+
+
+def _extended(same: np.ndarray, there: np.ndarray, drop: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(words, open) of extend(), a row for each end."""
+    score = np.cumsum(np.where(there, np.where(same, 1, -2), -4 * same.shape[1] - drop), axis=1, dtype=np.int32)
+    fallen = np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > drop
+    fallen = np.logical_or.accumulate(fallen, axis=1)
+    best = np.where(fallen, 0, score)
+    words = np.where(best.max(axis=1) > 0, best.argmax(axis=1) + 1, 0)
+    return words, there[:, 0] & ~(fallen & there).any(axis=1)
+
+
+def may_be_long(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], low: np.ndarray, more: np.ndarray, k: int, similarity: float, margin: int, min_words: int) -> np.ndarray:
+    """For each chain, whether align() may find min_words words or ask for more words around it; False only where it surely does neither.
+
+    Lists as (offsets, values): the words of both sides and the places of anchors in them; low, more: their first words
+    follow others in both documents, others follow their last words in both. Told for chains at one shift and of less than
+    half of min_words, which is most of those that common phrases make: their ends grow along that shift alone, so from no anchor
+    further than from the outer ones, and align() puts no gaps there."""
+    out = np.ones(len(low), bool)
+    if not min_words <= margin <= 256:
+        return out
+    shift = x[1] - y[1]
+    one = np.maximum.reduceat(shift, x[0][:-1]) == np.minimum.reduceat(shift, x[0][:-1])
+    head, tail = x[1][x[0][:-1]], x[1][x[0][1:] - 1] + k
+    span = tail - head
+    c = np.flatnonzero(one & (2 * span < min_words))
+    if not len(c):
+        return out
+    head, tail, span, low, more = head[c], tail[c], span[c], low[c], more[c]
+    other, size_a, size_b = head - shift[x[0][c]], np.diff(a[0])[c], np.diff(b[0])[c]
+    at, to = a[0][c] + head, b[0][c] + other
+    ends = [_ends_alike(a[1], b[1], at - 1, to - 1, np.minimum(head, other), -1, margin), _ends_alike(a[1], b[1], at + span, to + span, np.minimum(size_a - tail, size_b - other - span), 1, margin)]
+    (left, open_left), (right, open_right) = (_extended(*e) for e in ends)
+    found = (span + left + right >= min_words) | open_left & low | open_right & more
+    # Longer ends that are alike enough all the same: longest(), from the most that the core may add.
+    before, behind = (np.hstack([np.zeros((len(c), 1)), np.cumsum(np.where(there, same - similarity, -np.inf), axis=1)])[:, : min_words + 1] for same, there in ends)
+    behind = np.maximum.accumulate(behind[:, ::-1], axis=1)[:, ::-1]
+    rest = np.maximum((min_words - span)[:, None] - np.arange(min_words + 1), 0)
+    found |= (before + np.take_along_axis(behind, rest, axis=1) + ((1 - similarity) * span)[:, None] >= -1e-6).any(axis=1)
+    out[c] = found
+    return out
+
+
 def own_repeats(words: np.ndarray, at: np.ndarray, to: np.ndarray, k: int, gap_cost: float, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Passages of a document that stand in it before; at, to: places of seeds and where each stands last before."""
     out = []
@@ -331,22 +452,25 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 owner, seeds, spots, contexts, near, to, spans, i = [], [], [], [], [], [], [], lo
                 for words in scan([t.lower() for t in b.column(1)[lo : lo + 500].to_pylist()]):
                     h = words.hashes()
-                    for p, q in zip(words.first[:-1], words.first[1:], strict=True):
-                        at, found = seed_places(h[p:q], k, sparse, window)
-                        if len(at):
-                            order = np.argsort(found, kind="stable")
-                            last = np.full(len(at), -1, np.int32)
-                            same = np.flatnonzero(found[order[1:]] == found[order[:-1]])
-                            last[order[same + 1]] = at[order[same]]
-                            owner.append(np.full(len(at), i))
-                            seeds.append(found.view(np.int64))
-                            for x, y in zip((spots, contexts, near), spots_of(h[p:q], at, k), strict=True):
-                                x.append(y)
-                            to.append(last)
-                            if len(same):
-                                here = np.flatnonzero(last >= 0)
-                                spans += [(i, s) for s in own_repeats(h[p:q], at[here], last[here].astype(np.int64), k, gap_cost, min_words, similarity)]
-                        i += 1
+                    at, found = seed_places(h, k, sparse, window, words.first)
+                    if len(at):
+                        doc = np.searchsorted(words.first, at, side="right") - 1
+                        place = at - words.first[doc]
+                        order = np.argsort(found, kind="stable")  # those of one document stay in a row
+                        last = np.full(len(at), -1, np.int32)
+                        same = np.flatnonzero((found[order[1:]] == found[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]))
+                        last[order[same + 1]] = place[order[same]]
+                        owner.append(i + doc)
+                        seeds.append(found.view(np.int64))
+                        for x, y in zip((spots, contexts, near), spots_of(h, at, k, words.first), strict=True):
+                            x.append(y)
+                        to.append(last)
+                        here = np.flatnonzero(last >= 0)
+                        bounds = np.flatnonzero(np.diff(doc[here], prepend=-1, append=len(words.texts)))
+                        for u, v in itertools.pairwise(bounds.tolist()):
+                            d, some = int(doc[here[u]]), here[u:v]
+                            spans += [(i + d, s) for s in own_repeats(h[words.first[d] : words.first[d + 1]], place[some], last[some].astype(np.int64), k, gap_cost, min_words, similarity)]
+                    i += len(words.texts)
                 if owner:
                     first = np.concatenate(to) < 0
                     columns = [ids.take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(seeds), mask=~first), pa.array(np.concatenate(spots)), *(pa.array(np.concatenate(x), mask=~first) for x in (contexts, near)), pa.array(np.concatenate(to), mask=first), pa.nulls(len(first), ints)]
@@ -404,18 +528,20 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             ids = b.column(0)
             for lo in range(0, len(ids), 50):
-                asked, i = b.column(2)[lo : lo + 50].to_pylist(), lo
+                asked, i = b.column(2)[lo : lo + 50], 0
+                counts, asked = asked.value_lengths().to_numpy(zero_copy_only=False), asked.flatten()
+                upto = np.append(0, np.cumsum(counts))
+                least, most = (asked.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
                 for words in scan([t.lower() for t in b.column(1)[lo : lo + 50].to_pylist()]):
-                    h, owner, places, hashes = words.hashes(), [], [], []
-                    for p, q in zip(words.first[:-1], words.first[1:], strict=True):
-                        for spot in asked[i - lo]:
-                            found = grams(h[p:q][spot["lo"] : spot["hi"] + min_words], min_words)
-                            owner.append(np.full(len(found), i))
-                            places.append(np.arange(spot["lo"], spot["lo"] + len(found), dtype=np.int32))
-                            hashes.append(found.view(np.int64))
-                        i += 1
-                    if owner:
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], names=["id", "at", "run"])
+                    n = len(words.texts)
+                    some = slice(upto[i], upto[i + n])
+                    doc = np.repeat(np.arange(n), counts[i : i + n])
+                    begin = words.first[doc]
+                    size = np.maximum(np.minimum(most[some] + 1, words.first[doc + 1] - begin - min_words + 1) - least[some], 0)
+                    places = ranges(least[some], size)
+                    found = long_grams(words.hashes(), min_words)[places + np.repeat(begin, size)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + i + np.repeat(doc, size))), pa.array(places.astype(np.int32)), pa.array(found.view(np.int64))], names=["id", "at", "run"])
+                    i += n
 
     runs = staged(perhaps_in(rows, spots).join(spots.hint("shuffle_hash"), "id").select("id", "text", "spots").mapInArrow(find_runs, f"id {kind}, at int, run long"))
     whole = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
@@ -479,44 +605,55 @@ def _align_chains(rows: DataFrame, chains: DataFrame, k: int, margin: int, simil
 
     names = ["id", "other", "part", "side", "lo", "more", "words", "x", "y"]
     ints = pa.list_(pa.int32())
-    kinds = (arrow, arrow, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), ints, ints, ints)
-    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 50):
-                asked = iter(b.column(1)[lo : lo + 50].to_pylist())
+                asked, i = b.column(1)[lo : lo + 50], 0
+                upto, asked = np.append(0, np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))), asked.flatten()
+                column = {asked.type.field(j).name: x for j, x in enumerate(asked.flatten())}
+                low, high = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
                 for words in scan([t.lower() for t in b.column(0)[lo : lo + 50].to_pylist()]):
-                    h = words.hashes().astype(np.uint32).view(np.int32)
-                    for p, q in zip(words.first[:-1], words.first[1:], strict=True):
-                        for a in next(asked):
-                            out.append((a["id"], a["other"], a["part"], a["side"], a["lo"], a["hi"] < q - p, h[p:q][a["lo"] : a["hi"]], a["x"], a["y"]))
-                            held += len(out[-1][6])
-                            if held > 1_000_000:  # many documents may ask for all of a long one
-                                yield batch_of(out)
-                                out, held = [], 0
-            if out:
-                yield batch_of(out)
-                out, held = [], 0
+                    h, n = words.hashes().astype(np.uint32).view(np.int32), len(words.texts)
+                    some = slice(upto[i], upto[i + n])
+                    doc = np.repeat(np.arange(n), np.diff(upto[i : i + n + 1]))
+                    begin, length = words.first[doc], (words.first[1:] - words.first[:-1])[doc]
+                    size, more = np.maximum(np.minimum(high[some], length) - low[some], 0), high[some] < length
+                    ends = np.append(0, np.cumsum(size))
+                    u = 0
+                    while u < len(doc):  # many documents may ask for all of a long one
+                        v = max(u + 1, int(np.searchsorted(ends, ends[u] + 1_000_000, side="right")) - 1)
+                        cut, taken = slice(some.start + u, some.start + v), h[ranges((begin + low[some])[u:v], size[u:v])]
+                        parts = [column[c].slice(cut.start, v - u) for c in ("id", "other", "part", "side", "lo")]
+                        lists = pa.ListArray.from_arrays(pa.array((ends[u : v + 1] - ends[u]).astype(np.int32)), pa.array(taken))
+                        yield pa.RecordBatch.from_arrays([*parts, pa.array(more[u:v]), lists, *(column[c].slice(cut.start, v - u) for c in "xy")], names=names)
+                        u = v
+                    i += n
 
     read = staged(texts.mapInArrow(read_words, f"id {kind}, other {kind}, part int, side int, lo int, more boolean, words array<int>, x array<int>, y array<int>"))
     one_of = lambda side, x, *more: read.where(F.col("side") == side).select("id", "other", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "more", "words")), *more)
     both = one_of(0, "x", "x", "y").join(one_of(1, "y"), ["id", "other", "part"])
 
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))), lists.flatten().to_numpy(zero_copy_only=False)
+
     def make_alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             out = []
-            x, y, lo_x, more_x, a, lo_y, more_y, w = (b.column(n) for n in ("x", "y", "lo_x", "more_x", "words_x", "lo_y", "more_y", "words_y"))
-            ids, others, parts = (b.column(n).to_pylist() for n in ("id", "other", "part"))
-            values = lambda c, i: c[i].values.to_numpy(zero_copy_only=False)
-            for i in range(b.num_rows):
-                p, q = lo_x[i].as_py(), lo_y[i].as_py()
-                found, wide = align(values(a, i), values(w, i), values(x, i) - p, values(y, i) - q, k, similarity, margin, min_words, p > 0 and q > 0, more_x[i].as_py() and more_y[i].as_py())
+            p, q, more_x, more_y = (b.column(n).to_numpy(zero_copy_only=False) for n in ("lo_x", "lo_y", "more_x", "more_y"))
+            low, more = (p > 0) & (q > 0), more_x & more_y
+            (o, a), (u, w), (o_x, x), (o_y, y) = (flat(b.column(n)) for n in ("words_x", "words_y", "x", "y"))
+            x, y = x - np.repeat(p, np.diff(o_x)), y - np.repeat(q, np.diff(o_y))
+            ask = np.flatnonzero(may_be_long((o, a), (u, w), (o_x, x), (o_y, y), low, more, k, similarity, margin, min_words))
+            ids, others, parts = (b.column(n).take(pa.array(ask)).to_pylist() for n in ("id", "other", "part"))
+            for j, i in enumerate(ask.tolist()):
+                found, wide = align(a[o[i] : o[i + 1]], w[u[i] : u[i + 1]], x[o_x[i] : o_x[i + 1]], y[o_y[i] : o_y[i + 1]], k, similarity, margin, min_words, bool(low[i]), bool(more[i]))
                 if wide:
-                    out.append((ids[i], None, None, others[i], None, None, None, parts[i], True))
+                    out.append((ids[j], None, None, others[j], None, None, None, parts[j], True))
                 else:
-                    out += [(ids[i], s + p, e + p, others[i], t + q, f + q, m, parts[i], False) for s, e, t, f, m in found]
+                    out += [(ids[j], int(s + p[i]), int(e + p[i]), others[j], int(t + q[i]), int(f + q[i]), m, parts[j], False) for s, e, t, f, m in found if e - s >= min_words]
             columns = list(zip(*out, strict=True)) or [[]] * 9
             kinds = (arrow, pa.int64(), pa.int64(), arrow, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "start", "end", "other_id", "other_start", "other_end", "matches", "part", "wide"])
