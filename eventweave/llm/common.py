@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.storage import if_small, shared_root, staged, unstaged
 
-__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "mark_perhaps", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged"]
+__all__ = ["arrow_type", "ascii_lower", "connected_components", "if_small", "mark_perhaps", "one_of_repeats", "prefix_sums", "shared_root", "small_batches", "staged", "unstaged", "without_old_shuffles"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,6 +28,24 @@ def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
         spark.conf.set(key, f"{most_mb}m")
 
 
+def without_old_shuffles(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Has Spark remove the shuffle files of each table that the operator stages as soon as it is written, not when the driver's JVM happens to collect garbage.
+
+    For operators that stage all they shuffle: nothing reads those files again. The session's setting comes back at the end."""
+
+    @functools.wraps(operator)
+    def run(rows: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", rows.sparkSession.conf
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            return operator(rows, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     """The Arrow type of a column, ids of any kind included."""
     return to_arrow_type(df.schema[name].dataType)

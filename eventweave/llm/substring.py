@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, if_small, perhaps_in, small_batches, staged, unstaged
+from .common import arrow_type, if_small, perhaps_in, small_batches, staged, unstaged, without_old_shuffles
 from .words import mix, scan
 
 _MUL = np.uint64(0xA0761D6478BD642F)
@@ -408,6 +408,7 @@ def own_repeats(words: np.ndarray, at: np.ndarray, to: np.ndarray, k: int, gap_c
     return out
 
 
+@without_old_shuffles
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, sparse: int = 4, window: int = 40, few: int = 4, alike: int = 9, gap_cost: float = 0.02, min_words: int = 50, similarity: float = 0.8, margin: int = 64, request_rows: int = 200) -> DataFrame:
     """Pairs of passages of at least min_words words that a document shares with an earlier one, or with an earlier place of its own.
 
@@ -486,10 +487,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = seeds.groupBy("seed").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     own = scanned.where("span is not null").select("id", *(F.col("span")[i].cast("long").alias(n) for i, n in ((0, "start"), (1, "end"))), F.col("id").alias("other_id"), *(F.col("span")[i].cast("long").alias(n) for i, n in ((2, "other_start"), (3, "other_end"), (4, "matches"))))
     own = staged(own)
+    further = staged(scanned.where("to is not null").select("id", "spot", "to"))
     # Most seeds stand in one document: bitmaps of the others spare their shuffle. Both sides of the join are read back, so that AQE splits it at hot seeds.
     first = staged(first)
     bits = 1 << min(max((8 * first.count()).bit_length(), 20), 30)
     shared = staged(perhaps_in(seeds, first, "seed", bits).join(first.hint("shuffle_hash"), "seed"))
+    unstaged(scanned, first)
     holders = staged(shared.where("id = first").select("seed", F.col("spot").alias("other_spot"), F.col("context").alias("other_context")))
     by_first = staged(shared.where("id <> first").join(holders.hint("shuffle_hash"), "seed").withColumnRenamed("first", "other").drop("seed", "near"))
     several = shared.where(F.col("n").between(3, few)).select("seed", F.struct("id", "spot", "context").alias("a"))
@@ -518,11 +521,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = list(zip(*found, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["id", "lo", "hi"])
 
-    held = by_first.select("id", "spot", "other", place(F.col("other_spot")).alias("to")).union(scanned.where("to is not null").select("id", "spot", F.col("id").alias("other"), "to"))
+    held = by_first.select("id", "spot", "other", place(F.col("other_spot")).alias("to")).union(further.select("id", "spot", F.col("id").alias("other"), "to"))
     by_doc = held.groupBy("id").agg(F.collect_list(F.struct("spot", "other", "to")).alias("held"))
     spots = staged(by_doc.mapInArrow(find_joints, f"id {kind}, lo int, hi int").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spots")))
 
-    unstaged(scanned)
+    unstaged(further)
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,7 +3,9 @@
 import itertools
 
 import numpy as np
+import pytest
 
+from eventweave.llm.common import without_old_shuffles
 from eventweave.llm.substring import align, chain, long_grams, may_be_long, seed_places, spots_of, step_matches
 
 
@@ -106,3 +108,19 @@ def test_few_short_chains_are_aligned():
     told = np.array(told)
     assert told[~kept].sum() == 0 and told.sum() > 200
     assert kept.sum() < 1.5 * told.sum() < len(kept)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """The setting holds while the operator runs, also through an error, and is the session's own again afterwards."""
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    @without_old_shuffles
+    def step(rows, fail):
+        seen.append(spark.conf.get(key))
+        return 1 // (not fail)
+
+    before = spark.conf.get(key)
+    assert step(spark.range(1), fail=False) == 1 and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError):
+        step(spark.range(1), fail=True)
+    assert seen == ["true", "true"] and spark.conf.get(key) == before
